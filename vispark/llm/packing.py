@@ -115,7 +115,7 @@ def pack_documents(
         def bins() -> Iterator[tuple]:
             enc, part = encoder(vocabulary), TaskContext.get().partitionId()
             items: list[tuple[int, list]] = []
-            serial = 0
+            serial, limit = 0, BLOCK
             for batch in batches:
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                     for k, (start, n, crc) in enumerate(cut_document(enc.encode(text.as_py()) + end, length)):
@@ -125,7 +125,7 @@ def pack_documents(
                             serial += 1
                         else:
                             items.append((n, [piece]))
-                if len(items) >= BLOCK:
+                if len(items) >= limit:
                     again = []
                     for row in _repacked(items, length, near, part, part, serial):
                         if row[3]:
@@ -133,7 +133,7 @@ def pack_documents(
                         else:
                             again.append((row[2], row[4]))
                         serial += 1
-                    items = again
+                    items, limit = again, max(BLOCK, 2 * len(again))
             yield from _repacked(items, length, near, part, part // FAN_IN, serial)
 
         return _batches(bins())
