@@ -42,7 +42,7 @@ BASE = (
     Generator("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "instr(text, '@') > 0"),
     Generator("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "instr(text, '.') > 0 and " + _DIGITS),
     Generator("card", r"[0-9](?:[\x20-]?[0-9])++", _DIGITS),
-    Generator("phone", r"\+[0-9][\x20().0-9-]++(?<=[0-9])", "instr(text, '+') > 0"),
+    Generator("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "instr(text, '+') > 0"),
 )
 PROPOSED = (
     Generator(

@@ -148,13 +148,22 @@ def fit_severity(docs: DataFrame, labels: DataFrame, max_rows_per_class: int = M
     return fit_texts([tuple(r) for r in rows.collect()])
 
 
-def score_severity(docs: DataFrame, model: SeverityModel) -> DataFrame:
+def score_severity(docs: DataFrame, model: SeverityModel, keep: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, severity (expected grade), grade (likeliest), toxic, hits.
 
-    hits counts the known features in the whole text.  Null and empty texts have the severity of no features;
-    other columns are ignored; an empty table gives no rows.
+    hits counts the known features in the whole text.  keep: return the columns of docs instead, and toxic behind them
+    (docs then has no toxic of its own).  Null and empty texts have the severity of no features; other columns are
+    ignored; an empty table gives no rows.
     """
     small_arrow_batches(docs.sparkSession)
+    rows = docs.select(
+        docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).alias("text"), *([F.struct(*docs.columns).alias("row")] if keep else [])
+    )
+    out = _ROW
+    if keep:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        out = _ROW.append(pa.field("row", to_arrow_type(rows.schema["row"].dataType)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[str, ...]] = {}
@@ -163,11 +172,11 @@ def score_severity(docs: DataFrame, model: SeverityModel) -> DataFrame:
         def look_up(piece: str) -> tuple[str, ...]:
             if len(cache) > CACHE_WORDS:
                 cache.clear()
-            cache[piece] = out = tuple(f for f in features(piece) if f in known)
-            return out
+            cache[piece] = found = tuple(f for f in features(piece) if f in known)
+            return found
 
         for batch in batches:
-            rows = []
+            made = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 hits: Counter[str] = Counter()
                 for piece, n in Counter(text.as_py().split()).items():
@@ -175,9 +184,10 @@ def score_severity(docs: DataFrame, model: SeverityModel) -> DataFrame:
                     for f in look_up(piece) if found is None else found:
                         hits[f] += n
                 severity, grade = model.severity(hits)
-                rows.append((doc_id, severity, grade, severity >= model.cut, sum(hits.values())))
-            columns = zip(*rows) if rows else [[]] * len(_ROW)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ROW)], schema=_ROW)
+                made.append((doc_id, severity, grade, severity >= model.cut, sum(hits.values())))
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*made) if made else [[]] * len(_ROW), _ROW)]
+            yield pa.RecordBatch.from_arrays([*columns, *([batch.column(2)] if keep else [])], names=out.names)
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).alias("text"))
-    return rows.mapInArrow(score, _ROW_SQL)
+    sql = _ROW_SQL + (f", row {rows.schema['row'].dataType.simpleString()}" if keep else "")
+    scored = rows.mapInArrow(score, sql)
+    return scored.select("row.*", F.col("toxic")) if keep else scored
