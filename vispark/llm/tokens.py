@@ -18,8 +18,12 @@ import zlib
 import numpy as np
 
 #: Distinct words kept per Python worker in each of two generations of the cache.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
+#: Distinct runs of marks behind words, likewise.
+CACHE_TAILS = 20_000
 
+#: ASCII marks that may end a word; the apostrophe may begin a pre-token of its own and is left out.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: The byte-level alphabet: printable Latin-1 stands for itself, other bytes for U+0100 on, in order.
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -49,17 +53,35 @@ class CachedEncoder:
         self.pre_tokens = regex.compile(public_tokenizers.PATTERN).findall
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
         """Ids of the text encoded in one go."""
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a cut, from the model alone: it takes pre-tokens in the byte-level alphabet."""
-        parts = [word] if word[1:].isalpha() else self.pre_tokens(word)
-        ids = [t.id for p in parts for t in self.model.tokenize(p.encode().decode("latin-1").translate(_BYTE_LEVEL))]
+    def _ids(self, pre_tokens: list[str]) -> bytes:
+        """Ids of pre-tokens in the byte-level alphabet, from the model alone."""
+        ids = [t.id for p in pre_tokens for t in self.model.tokenize(p)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a space-led word: mostly letters and then marks, which are a pre-token each."""
+        letters = word.rstrip(_MARKS)
+        if not letters.isalpha():
+            return self._ids([p.encode().decode("latin-1").translate(_BYTE_LEVEL) for p in self.pre_tokens(" " + word)])
+        ids = self.young.get(letters) or self.old.get(letters)
+        if ids is None:
+            plain = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTE_LEVEL)
+            self.young[letters] = ids = self._ids(["\u0120" + plain])
+        if len(letters) == len(word):
+            return ids
+        marks = word[len(letters) :]
+        if (tail := self.tails.get(marks)) is None:
+            if len(self.tails) > CACHE_TAILS:
+                self.tails.clear()
+            self.tails[marks] = tail = self._ids([marks])
+        return ids + tail
+
     def _learn(self, words: list[str]) -> bool:
         """Puts the ids of each space-led word into the young generation; false if the cut was unsafe."""
         missing = [w for w in dict.fromkeys(words) if w not in self.young]
@@ -70,7 +92,7 @@ class CachedEncoder:
             missing = list(dict.fromkeys(words))
         for w in missing:
             known = self.old.get(w)
-            self.young[w] = self._word(" " + w) if known is None else known
+            self.young[w] = self._word(w) if known is None else known
         return True
 
     def encode(self, text: str | None) -> bytes:
