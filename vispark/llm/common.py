@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,3 +38,16 @@ def whole_text(df: DataFrame, column: str = "text") -> Column:
 def small_arrow_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of few rows, as a single text may be megabytes long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes staged tables that no later result reads, and lets Spark drop shuffle files nobody refers to."""
+    jvm = spark.sparkContext._jvm
+    for table in tables:
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    for _ in range(2):
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.7)

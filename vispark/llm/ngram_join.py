@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vispark.llm.common import small_arrow_batches, staged, whole_text
+from vispark.llm.common import release, small_arrow_batches, staged, whole_text
 from vispark.llm.components import components
 from vispark.llm.shingles import digest, shingle_set
 
@@ -42,7 +42,7 @@ MAX_BROADCAST_ROWS = 500_000
 
 _SIG_SQL = "doc_id long, n long, set_key binary, group_key binary, prefix binary"
 _SIG = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("group_key", pa.binary()), ("prefix", pa.binary())])
-_POSTING = np.dtype([("token", "<u8"), ("prev", "<u8"), ("gid", "<i8"), ("n", "<u4")])
+_POSTING = np.dtype([("token", "<u8"), ("prev", "<u8"), ("gid", "<i8"), ("n", "<u4"), ("at", "<u4")])
 _MET = pa.schema([("list", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("prev", pa.int64())])
 _MET_SQL = "list long, a long, b long, n long, prev long"
 
@@ -128,11 +128,15 @@ def _meet(token: int, part: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     if size <= SHORT_LIST:
         yield pairs(*np.triu_indices(size, 1))
         return
-    # the pivots come from the entries that met before, if there are any, so that only the others meet them here
+    # Of near copies, the one with the fewest rare elements before this one is nearest to all others: the pivot.  A second one
+    # comes from the entries that met before, if there are any, so that only the others meet it here.
+    early = np.lexsort((gid, part["at"][order]))
     kinds, at, often = np.unique(prev, return_inverse=True, return_counts=True)
     most = int(often.argmax())
-    pool = np.flatnonzero(at == most) if often[most] > 1 and kinds[most] != 0 else np.arange(size)
-    for p in {int(pool[len(pool) // 2]), int(pool[len(pool) // 10]), int(pool[-1 - len(pool) // 10])}:
+    pivots = {int(early[0])}
+    if often[most] > 1 and kinds[most] != 0:
+        pivots.add(int(early[at[early] == most][0]))
+    for p in pivots:
         yield pairs(np.full(size, p), np.arange(size))
     zero = np.zeros(size, np.int64)
     yield np.ones(size, bool), np.full(size, token, np.uint64).view(np.int64), gid, zero, n, prev.view(np.int64)
@@ -147,7 +151,7 @@ def _meetings(groups: DataFrame, buckets: int) -> DataFrame:
             for gid, n, prefix in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 token = np.frombuffer(prefix, "<u8")
                 p = np.empty(len(token), _POSTING)
-                p["token"], p["gid"], p["n"] = token, gid, n
+                p["token"], p["gid"], p["n"], p["at"] = token, gid, n, np.arange(len(token))
                 p["prev"][1:] = token[:-1]
                 p["prev"][:1] = 0
                 made.append(p)
@@ -233,10 +237,14 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
             kept = batch.filter(pa.array(good, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["u", "v"])
 
-    elements = staged(texts.mapInArrow(sets, "nid long, elements binary").dropDuplicates(["nid"]), "elements")
+    elements = staged(texts.mapInArrow(sets, "nid long, elements binary"), "elements")
+    if elements.count() > elements.select("nid").distinct().count():  # repeated rows
+        elements = elements.dropDuplicates(["nid"])
     left = pairs.join(elements.select(F.col("nid").alias("b"), F.col("elements").alias("y")), "b")
     both = left.join(elements.select(F.col("nid").alias("a"), F.col("elements").alias("x")), "a").select("a", "b", "x", "y")
-    return staged(both.mapInArrow(compare, "u long, v long"), "links")
+    links = staged(both.mapInArrow(compare, "u long, v long"), "links")
+    release(docs.sparkSession, elements, needed)
+    return links
 
 
 def _residual(lists: DataFrame) -> DataFrame:
@@ -275,12 +283,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = full.groupBy("set_key", "group_key").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.count("*").alias("copies"))
     classes = classes.join(groups.select("group_key", "gid"), "group_key").drop("group_key")
     classes = staged(classes.withColumn("nid", F.monotonically_increasing_id()), "classes")
+    whole, sig = sig, staged(sig.select("doc_id", "n", "set_key"), "set_names")
     members = staged(classes.groupBy("gid").agg(F.min("nid").alias("rep"), F.count("*").alias("size")), "members")
     many = members.where("size > 1")
 
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     postings = groups.agg(F.sum(F.length("prefix")) / 8).first()[0] or 0
     met = _meetings(groups, max(4 * partitions, int(postings) // BUCKET_POSTINGS + 1))
+    release(docs.sparkSession, groups, whole)
     met_pairs = staged(met.where("list is null").select("a", "b").distinct(), "met_pairs")
 
     # first: representatives of the groups that met, and each group's members with its representative
@@ -314,7 +324,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = joined.groupBy("comp").agg(F.min("first_doc").alias("component"), F.count("*").alias("parts"))
     named = joined.join(least, "comp").where("copies > 1 or parts > 1").select("set_key", "component", "copies")
     named = staged(named, "named")
-    return sig.select("doc_id", "n", "set_key").join(named, "set_key", "left").select(
+    return sig.join(named, "set_key", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
