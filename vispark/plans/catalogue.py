@@ -1,8 +1,324 @@
-"""The query catalogue: every registered query and its SQL."""
+"""The query catalogue: every registered query over the driver's tables, with its SQL where SQL can express it.
+
+No table holds Vietnamese text or model logits.  Rule queries therefore run over documents with the sentences of
+RULE_TEXTS added, and decision queries over logits that a hash makes of document and position.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vispark.functions import syllable as sy
+from vispark.functions import text as tx
+from vispark.functions.alphabet import strip_tone, to_ascii
+from vispark.operators import corpus, decisions, issues, metrics, rules
+from vispark.sources.files import corpus_sentences, page_text
+from vispark.streaming import events as ev
+
+RULE_TEXTS = (
+    "Cả nhóm nổ lực, chia sẽ cùng nhau.",
+    "NỔ LỰC của đội, Chia sẽ",
+    "Anh ấy sữa chửa xe trong một tiếng nữa thôi",
+    "Tôi mất nữa tiếng chờ",
+    "Chúng tôi sử lý việc này; 😀 sản suất",
+    "Hôm nay trời đẹp.",
+)
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source")
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    return tx.token_rows(_docs(spark, d))
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct lower-case words with their counts, of Latin letters only."""
+    return _tokens(spark, d).groupBy(F.col("lower").alias("word")).agg(F.count("*").alias("n"))
+
+
+def _rule_docs(spark: SparkSession, d: str) -> DataFrame:
+    extra = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(RULE_TEXTS)], "doc_id long, text string")
+    return _docs(spark, d).select("doc_id", "text").unionByName(extra)
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbouring tokens as (wrong, want) pairs: a token is an error where its hash is small."""
+    rows = _tokens(spark, d)
+    before = F.lag("lower").over(Window.partitionBy("doc_id").orderBy("pos"))
+    u = tx.unit_hash(3, F.col("doc_id"), F.col("pos"))
+    return rows.withColumn("prev", before).where("prev is not null").select(
+        "doc_id", "pos", F.when(u < 0.2, F.col("prev")).otherwise(F.col("lower")).alias("wrong"), F.col("lower").alias("want")
+    )
+
+
+def _predicted(spark: SparkSession, d: str, seed: int = 9) -> DataFrame:
+    """_pairs with got: right for most errors, and now and then a change where none is due."""
+    u = tx.unit_hash(seed, F.col("doc_id"), F.col("pos"))
+    error = F.col("wrong") != F.col("want")
+    got = F.when(error & (u < 0.6), F.col("want")).when(error & (u < 0.7), F.lit("?")).when(~error & (u < 0.01), F.lit("?"))
+    return _pairs(spark, d).withColumn("got", F.coalesce(got, F.col("wrong")))
+
+
+def _logits(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, pos, tags, logits: four tags for each fifth document's tokens' first letters, by hash."""
+    rows = _tokens(spark, d).select("doc_id", "pos")
+    names = ("KEEP", "TONE_HOI", "CH_TR", "N_NG")
+    x = [tx.unit_hash(20 + i, F.col("doc_id"), F.col("pos")) * 8.0 for i in range(len(names))]
+    return rows.select("doc_id", "pos", F.array(*[F.lit(t) for t in names]).alias("tags"), F.array(*x).alias("logits"))
+
+
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    """Issues of one to three tokens that start at hashed tokens, with a hashed confidence."""
+    u = lambda s: tx.unit_hash(s, F.col("doc_id"), F.col("pos"))
+    rows = _tokens(spark, d).where(u(40) < 0.3)
+    start, length = (F.col("pos") * 10).cast("int"), (F.floor(u(41) * 3) * 10 + 5).cast("int")
+    return rows.select(
+        "doc_id", start.alias("start"), (start + length).alias("end"), F.round(u(42), 2).alias("confidence"),
+        F.when(u(43) < 0.5, "rule").otherwise("model").alias("source"), F.col("lower").alias("suggestion"),
+    )
+
+
+def syllable_lexicon(spark, d):
+    return corpus.lexicon(_tokens(spark, d), 20)
+
+
+def tone_strip(spark, d):
+    return _words(spark, d).select("word", strip_tone(F.col("word")).alias("flat"), "n")
+
+
+def ascii_fold(spark, d):
+    return _words(spark, d).select("word", to_ascii(F.col("word")).alias("plain"))
+
+
+def tone_detect(spark, d):
+    return _words(spark, d).select("word", F.coalesce(sy.tone(F.col("word")), F.lit(-1)).alias("tone"))
+
+
+def initial_final_split(spark, d):
+    w = F.col("word")
+    return _words(spark, d).select("word", sy.initial(w).alias("initial"), sy.rime(w).alias("rime"), sy.final(w).alias("final"))
+
+
+def tone_positions(spark, d):
+    return _words(spark, d).select("word", sy.tone_place(F.col("word")).alias("place"))
+
+
+def token_offsets(spark, d):
+    return tx.token_spans(_docs(spark, d)).select("doc_id", "pos", "tok", "start", "end")
+
+
+def tag_candidates(spark, d):
+    return corpus.tag_candidates(_words(spark, d), _words(spark, d))
+
+
+def tag_between_pairs(spark, d):
+    words = _pairs(spark, d).select(F.col("wrong").alias("src"), F.col("want").alias("dst")).distinct()
+    return corpus.tags_between(words)
+
+
+def sentence_clean(spark, d):
+    # the corpora here are not Vietnamese: the share of accented words is left open
+    rows = corpus_sentences(_docs(spark, d)).where(tx.is_clean(F.col("sentence"), accented=0.0))
+    return rows.select("sentence").distinct()
+
+
+def gap_sentences(spark, d):
+    rows = tx.token_spans(_docs(spark, d))
+    cut = (F.col("pos") > 0) & F.col("gap").rlike(r"[.!?…\n]")
+    number = F.sum(F.when(cut, 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("pos"))
+    return rows.withColumn("sent", number).groupBy("doc_id", "sent").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n_tokens"))
+
+
+def phrase_match(spark, d):
+    return rules.phrase_hits(tx.token_spans(_rule_docs(spark, d)), rules.phrase_table(spark)).select("doc_id", "pos", "n", "right")
+
+
+def context_issues(spark, d):
+    return rules.context_hits(tx.token_spans(_rule_docs(spark, d)), rules.pair_table(spark)).select("doc_id", "pos", "other", "confidence")
+
+
+def check_text(spark, d):
+    return rules.check_text(_rule_docs(spark, d))
+
+
+def dedupe_issues(spark, d):
+    return issues.dedupe_issues(_spans(spark, d))
+
+
+def merge_rule_first(spark, d):
+    rows = _spans(spark, d)
+    return issues.merge_rule_first(rows.where("source = 'rule'"), rows.where("source = 'model'"))
+
+
+def interval_hit(spark, d):
+    rows = _spans(spark, d)
+    ranges = _docs(spark, d).select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    ranges = ranges.select("doc_id", (F.col("k") * 200).alias("begin"), (F.col("k") * 200 + 100).alias("stop"))
+    hit = issues.hits_in_ranges(rows, ranges)
+    return hit.groupBy("begin").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+def html_text(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", page_text(F.col("html")).alias("text"))
+
+
+def hash_split(spark, d):
+    return _docs(spark, d).select("doc_id", corpus.mine_split(F.coalesce("text", F.lit(""))).alias("half"), corpus.train_split(F.coalesce("text", F.lit(""))).alias("split"))
+
+
+def class_weights(spark, d):
+    rows = _pairs(spark, d).where("wrong <> want").select(F.substring("want", 1, 1).alias("class"))
+    return corpus.class_weights(rows)
+
+
+def propensity(spark, d):
+    return corpus.propensity(_pairs(spark, d))
+
+
+def oov_rate(spark, d):
+    known = corpus.lexicon(_tokens(spark, d), 20)
+    missing = _tokens(spark, d).join(known, F.col("lower") == F.col("word"), "left_anti")
+    return missing.groupBy("doc_id").agg(F.count("*").alias("unknown"))
+
+
+def softmax_gate(spark, d):
+    out = decisions.gate(_logits(spark, d), 0.5, 0.25, 0.45)
+    return out.select("doc_id", "pos", "best", F.round("best_p", 6).alias("best_p"), F.round("keep_p", 6).alias("keep_p"), "decision")
+
+
+def gate_argmax(spark, d):
+    return decisions.gate_argmax(_logits(spark, d)).groupBy("decision").agg(F.count("*").alias("n"))
+
+
+def policy_sweep(spark, d):
+    policies = spark.createDataFrame([("P0", 0.95, 0.25, False), ("P1", 0.9, 0.0, True), ("T80", 0.8, 0.0, False)], "policy string, threshold double, margin double, drop_keep boolean")
+    out = decisions.sweep(decisions.gate(_logits(spark, d)).select("best_p", "keep_p"), policies)
+    return out.groupBy("policy").agg(F.count("*").alias("n"), F.count_if("fires").alias("fires"))
+
+
+def confusion_full(spark, d):
+    out = metrics.confusion(_predicted(spark, d))
+    return out.select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def confusion_scoped(spark, d):
+    """Without the errors that no tag expresses; here those of words of unequal first letters."""
+    rows = _predicted(spark, d).where("wrong = want or substring(wrong, 1, 1) = substring(want, 1, 1)")
+    return metrics.confusion(rows).select("tp", "fp", "fn")
+
+
+def outcome_pivot(spark, d):
+    rows = metrics.outcome(_predicted(spark, d)).withColumn("letter", F.substring("want", 1, 1))
+    out = rows.rollup("letter").pivot("outcome", ["fixed", "missed", "wrong_fix", "false_alarm", "clean"]).agg(F.count("*"))
+    return out.fillna(0)
+
+
+def sentence_buckets(spark, d):
+    return metrics.sentence_buckets(_predicted(spark, d), "doc_id")
+
+
+def false_alarm_report(spark, d):
+    rows = _predicted(spark, d).where("wrong = want").join(_docs(spark, d).select("doc_id", "source"), "doc_id")
+    return metrics.false_alarms(rows.withColumn("fires", F.col("got") != F.col("wrong")), "source", "doc_id")
+
+
+def paired_discordance(spark, d):
+    kept = lambda seed: _predicted(spark, d, seed).where("got <> wrong").select("doc_id", "pos", F.col("got").alias("result"))
+    return metrics.paired(kept(9), kept(10), ["doc_id", "pos"]).withColumn("se", F.round("se", 9))
+
+
+def latency_quantiles(spark, d):
+    return metrics.quantiles(spark.read.parquet(f"{d}/events.parquet"), "value", ["event_type"])
+
+
+def corrupt_options(spark, d):
+    return corpus.corruptions(_words(spark, d), corpus.lexicon(_tokens(spark, d), 20))
+
+
+def corrupt_sentences(spark, d):
+    options = corpus.corruptions(_words(spark, d), corpus.lexicon(_tokens(spark, d), 20)).select("word", "broken", "fix")
+    return corpus.corrupt(_tokens(spark, d), options)
+
+
+def balanced_cases(spark, d):
+    rows = _pairs(spark, d).where("wrong <> want").select(F.substring("want", 1, 1).alias("tag"), F.col("want").alias("word"), "doc_id", "pos")
+    return corpus.balanced(rows)
+
+
+def mix_report(spark, d):
+    rows = metrics.outcome(_predicted(spark, d)).join(_docs(spark, d).select("doc_id", "source"), "doc_id")
+    return rows.rollup("source").agg(F.count("*").alias("tokens"), F.count_if(F.col("wrong") != F.col("want")).alias("errors"))
+
+
+def run_plan_f2(spark, d):
+    rows = corpus_sentences(_docs(spark, d)).select("doc_id", F.transform(tx.tokens(F.col("sentence")), lambda w: F.ceil(F.length(w) / 3).cast("int")).alias("counts")).distinct()
+    return rows.select("doc_id", "counts", corpus.run_plan(F.col("counts"), 64, 32, 94).alias("plan"))
+
+
+def run_plan_f1(spark, d):
+    rows = corpus_sentences(_docs(spark, d)).select("doc_id", F.transform(tx.tokens(F.col("sentence")), lambda w: F.ceil(F.length(w) / 3).cast("int")).alias("counts")).distinct()
+    return rows.select("doc_id", "counts", corpus.run_plan(F.col("counts"), 40, 40, 40).alias("plan"))
+
+
+def centred_pick(spark, d):
+    """For each word of a sentence in several windows, the one in which it is farthest from an edge; of equals the first."""
+    rows = run_plan_f2(spark, d).withColumn("key", F.md5(F.concat_ws("|", "doc_id", F.to_json("counts"))))
+    wide = rows.select("key", F.posexplode("plan").alias("run", "w")).select("key", "run", "w.from", "w.to", F.explode(F.expr("sequence(w.from, w.to - 1)")).alias("word"))
+    centred = F.least(F.col("word") - F.col("from"), F.col("to") - 1 - F.col("word"))
+    return wide.groupBy("key", "word").agg(F.min_by("run", F.struct(-centred, F.col("run"))).alias("run"))
+
+
+def top_tags(spark, d):
+    rows = _tokens(spark, d).groupBy(F.substring("lower", 1, 2).alias("tag")).agg(F.count("*").alias("n"))
+    rows = rows.orderBy(F.desc("n"), "tag").limit(10)
+    return rows.withColumn("bar", F.round(F.col("n") / F.max("n").over(Window.partitionBy()), 6))
+
+
+def weekly_tag_counts(spark, d):
+    return ev.weekly_counts(spark.read.parquet(f"{d}/events.parquet"), "ts", ["event_type"], 8)
+
+
+def debounce_latest(spark, d):
+    return ev.debounce(spark.read.parquet(f"{d}/events.parquet"), "user_id", "ts", "6 hours", "event_id")
+
+
+def burst_metrics(spark, d):
+    out = ev.debounce(spark.read.parquet(f"{d}/events.parquet"), "user_id", "ts", "6 hours", "event_id")
+    return out.groupBy("user_id").agg(F.count("*").alias("bursts"), F.max("inputs").alias("most"), F.sum("inputs").alias("inputs"))
+
+
+def latest_wins(spark, d):
+    return ev.latest(spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
+
+
+def change_only(spark, d):
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return ev.changes(rows, "conv_id", ["turn"], "text").select("conv_id", "turn")
+
+
+def acceptance_ratio(spark, d):
+    rows = spark.read.parquet(f"{d}/events.parquet").groupBy(ev.week_key(F.col("ts")).alias("week"))
+    out = rows.agg(F.count("*").alias("shown"), F.count_if(F.col("event_type") == "purchase").alias("accepted"))
+    return out.withColumn("ratio", F.round(F.when(F.col("shown") > 0, F.col("accepted") / F.col("shown")), 6))
+
+
+QUERIES: dict[str, Callable] = {
+    f.__name__: f
+    for f in (
+        syllable_lexicon, tone_strip, ascii_fold, tone_detect, tone_positions, initial_final_split, token_offsets, tag_candidates,
+        tag_between_pairs, sentence_clean, gap_sentences, phrase_match, context_issues, check_text, dedupe_issues, merge_rule_first,
+        interval_hit, html_text, hash_split, class_weights, propensity, oov_rate, softmax_gate, gate_argmax, policy_sweep, confusion_full,
+        confusion_scoped, outcome_pivot, sentence_buckets, false_alarm_report, paired_discordance, latency_quantiles, corrupt_options,
+        corrupt_sentences, balanced_cases, mix_report, run_plan_f2, run_plan_f1, centred_pick, top_tags, weekly_tag_counts,
+        debounce_latest, burst_metrics, latest_wins, change_only, acceptance_ratio,
+    )
+}
+
+from vispark.plans.oracle import complete  # noqa: E402
+
+ORACLE_SQL: dict[str, str] = complete()

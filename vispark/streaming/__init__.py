@@ -1,0 +1 @@
+"""Event processing: the same functions take batch tables and streams."""
