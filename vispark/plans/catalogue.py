@@ -160,7 +160,7 @@ def interval_hit(spark, d):
     ranges = _docs(spark, d).select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
     ranges = ranges.select("doc_id", (F.col("k") * 200).alias("begin"), (F.col("k") * 200 + 100).alias("stop"))
     hit = issues.hits_in_ranges(rows, ranges)
-    return hit.groupBy("begin").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    return hit.groupBy(F.coalesce("begin", F.lit(-1)).alias("begin")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
 def html_text(spark, d):
@@ -214,8 +214,9 @@ def confusion_scoped(spark, d):
 
 def outcome_pivot(spark, d):
     rows = metrics.outcome(_predicted(spark, d)).withColumn("letter", F.substring("want", 1, 1))
-    out = rows.rollup("letter").pivot("outcome", ["fixed", "missed", "wrong_fix", "false_alarm", "clean"]).agg(F.count("*"))
-    return out.fillna(0)
+    kinds = ("fixed", "missed", "wrong_fix", "false_alarm", "clean")  # fixed columns: a pivot and the totals in one pass
+    out = rows.rollup("letter").agg(*[F.count_if(F.col("outcome") == k).alias(k) for k in kinds])
+    return out
 
 
 def sentence_buckets(spark, d):
@@ -233,7 +234,8 @@ def paired_discordance(spark, d):
 
 
 def latency_quantiles(spark, d):
-    return metrics.quantiles(spark.read.parquet(f"{d}/events.parquet"), "value", ["event_type"])
+    out = metrics.quantiles(spark.read.parquet(f"{d}/events.parquet"), "value", ["event_type"])
+    return out.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("median", "p75", "p90", "p50", "p95", "p99")])
 
 
 def corrupt_options(spark, d):
@@ -255,14 +257,18 @@ def mix_report(spark, d):
     return rows.rollup("source").agg(F.count("*").alias("tokens"), F.count_if(F.col("wrong") != F.col("want")).alias("errors"))
 
 
+def _piece_counts(spark, d):
+    """doc_id, counts: for each distinct sentence, a piece for every three letters of a word."""
+    pieces = F.transform(tx.tokens(F.col("sentence")), lambda w: F.ceil(F.length(w) / 3).cast("int"))
+    return corpus_sentences(_docs(spark, d)).select("doc_id", pieces.alias("counts")).distinct()
+
+
 def run_plan_f2(spark, d):
-    rows = corpus_sentences(_docs(spark, d)).select("doc_id", F.transform(tx.tokens(F.col("sentence")), lambda w: F.ceil(F.length(w) / 3).cast("int")).alias("counts")).distinct()
-    return rows.select("doc_id", "counts", corpus.run_plan(F.col("counts"), 64, 32, 94).alias("plan"))
+    return corpus.run_plan(_piece_counts(spark, d), 64, 32, 94)
 
 
 def run_plan_f1(spark, d):
-    rows = corpus_sentences(_docs(spark, d)).select("doc_id", F.transform(tx.tokens(F.col("sentence")), lambda w: F.ceil(F.length(w) / 3).cast("int")).alias("counts")).distinct()
-    return rows.select("doc_id", "counts", corpus.run_plan(F.col("counts"), 40, 40, 40).alias("plan"))
+    return corpus.run_plan(_piece_counts(spark, d), 40, 40, 40)
 
 
 def centred_pick(spark, d):

@@ -122,7 +122,7 @@ ORACLE_SQL: dict[str, str] = {
     "merge_rule_first": f"""WITH {_SPANS} SELECT * FROM i WHERE source = 'rule' UNION ALL
         SELECT * FROM i WHERE source = 'model' AND NOT EXISTS (SELECT 1 FROM i r WHERE r.source = 'rule' AND r.doc_id = i.doc_id AND i.start < r."end" AND r.start < i."end")""",
     "interval_hit": f"""WITH {_SPANS}, r AS (SELECT doc_id, k * 200 AS begin_, k * 200 + 100 AS stop FROM documents, range(5) x(k))
-        SELECT CAST(r.begin_ AS INTEGER) AS "begin", count(*) AS n, count(DISTINCT i.doc_id) AS docs
+        SELECT CAST(coalesce(r.begin_, -1) AS INTEGER) AS "begin", count(*) AS n, count(DISTINCT i.doc_id) AS docs
         FROM i LEFT JOIN r ON i.doc_id = r.doc_id AND r.begin_ <= i.start AND i.start < r.stop GROUP BY 1""",
     "hash_split": f"""SELECT doc_id, CASE WHEN CAST('0x' || substr(sha256(text), 1, 2) AS INTEGER) < 128 THEN 'mine' ELSE 'eval' END AS half,
         CASE WHEN u < 0.90 THEN 'train' WHEN u < 0.95 THEN 'dev' ELSE 'test' END AS split
@@ -164,9 +164,9 @@ ORACLE_SQL: dict[str, str] = {
         SELECT *, only_b - only_a AS delta, round(sqrt(only_a + only_b) / n, 9) AS se FROM c""",
     "latency_quantiles": """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i,
         count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
-        SELECT event_type, count(*) AS n, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS p75, quantile_cont(value, 0.9) AS p90,
-        max(value) FILTER (i = least(n - 1, floor(n * 0.5))) AS p50, max(value) FILTER (i = least(n - 1, floor(n * 0.95))) AS p95,
-        max(value) FILTER (i = least(n - 1, floor(n * 0.99))) AS p99 FROM r GROUP BY 1""",
+        SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS p75,
+        round(quantile_cont(value, 0.9), 6) AS p90, round(max(value) FILTER (i = least(n - 1, floor(n * 0.5))), 6) AS p50,
+        round(max(value) FILTER (i = least(n - 1, floor(n * 0.95))), 6) AS p95, round(max(value) FILTER (i = least(n - 1, floor(n * 0.99))), 6) AS p99 FROM r GROUP BY 1""",
     "balanced_cases": f"""WITH {_PAIR}, c AS (SELECT substr(want, 1, 1) AS tag, want AS word, doc_id, pos FROM p WHERE wrong <> want),
         h AS (SELECT *, {_u(5, 'tag', 'word', 'doc_id', 'pos')} AS u FROM c),
         k AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY tag, lower(word) ORDER BY u, doc_id, pos) <= 3)
