@@ -35,13 +35,15 @@ MAX_FREQUENT = 1_000_000
 MIN_FREQUENT, LOCAL_COUNT = 12, 3
 #: Posting lists up to this length are paired at once.
 SHORT_LIST = 24
+#: Bins of a sketch, by the upper seven bits of an element.
+SKETCH_BINS = 128
 #: Postings in a bucket, about.
 BUCKET_POSTINGS = 1_000_000
 #: Documents whose texts are fetched by a broadcast of their numbers, at most.
 MAX_BROADCAST_ROWS = 500_000
 
-_SIG_SQL = "doc_id long, n long, set_key binary, group_key binary, prefix binary"
-_SIG = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("group_key", pa.binary()), ("prefix", pa.binary())])
+_SIG_SQL = "doc_id long, n long, set_key binary, group_key binary, prefix binary, sketch binary"
+_SIG = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("group_key", pa.binary()), ("prefix", pa.binary()), ("sketch", pa.binary())])
 _POSTING = np.dtype([("token", "<u8"), ("prev", "<u8"), ("gid", "<i8"), ("n", "<u4"), ("at", "<u4")])
 _MET = pa.schema([("list", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("prev", pa.int64())])
 _MET_SQL = "list long, a long, b long, n long, prev long"
@@ -51,6 +53,12 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1 if n else 0
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """How many elements fall into each of SKETCH_BINS bins: two sets differ in as many elements at least as their sketches do."""
+    counts = np.bincount((elements >> np.uint64(57)).astype(np.int64), minlength=SKETCH_BINS)
+    return np.minimum(counts, 65535).astype("<u2").tobytes()
+
+
 def _frequent(docs: DataFrame) -> np.ndarray:
     """Sorted hashes of the elements that many documents have."""
 
@@ -101,8 +109,8 @@ def _signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 else:
                     ordered = s
                 prefix = ordered[: prefix_length(n)].tobytes()
-                rows.append((doc_id, n, digest(s.tobytes()), digest(struct.pack("<q", n) + prefix), prefix))
-            columns = zip(*rows) if rows else [[]] * 5
+                rows.append((doc_id, n, digest(s.tobytes()), digest(struct.pack("<q", n) + prefix), prefix, sketch(s)))
+            columns = zip(*rows) if rows else [[]] * len(_SIG)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SIG)], schema=_SIG)
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).alias("text"))
@@ -117,10 +125,11 @@ def _meet(token: int, part: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """Columns of _MET for one posting list: pairs to verify (list null), and the entries of a long list."""
     order = np.lexsort((part["gid"], part["n"]))
     gid, n, prev = part["gid"][order], part["n"][order].astype(np.int64), part["prev"][order]
-    size = len(gid)
+    size, before = len(gid), part["at"][order].astype(np.int64)
 
     def pairs(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
-        ok = (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * PERCENT) & ((prev[i] != prev[j]) | (prev[i] == 0)) & (gid[i] != gid[j])
+        # of a similar pair, what comes before its first common element is in one set only, and such are a ninth of both at most
+        ok = (9 * (before[i] + before[j]) <= n[i] + n[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * PERCENT) & ((prev[i] != prev[j]) | (prev[i] == 0)) & (gid[i] != gid[j])
         a, b = gid[i][ok], gid[j][ok]
         none = np.zeros(len(a), np.int64)
         return np.zeros(len(a), bool), none, np.minimum(a, b), np.maximum(a, b), none, none
@@ -130,7 +139,7 @@ def _meet(token: int, part: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         return
     # Of near copies, the one with the fewest rare elements before this one is nearest to all others: the pivot.  A second one
     # comes from the entries that met before, if there are any, so that only the others meet it here.
-    early = np.lexsort((gid, part["at"][order]))
+    early = np.lexsort((gid, before))
     kinds, at, often = np.unique(prev, return_inverse=True, return_counts=True)
     most = int(often.argmax())
     pivots = {int(early[0])}
@@ -205,8 +214,24 @@ def _met(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, schema=_MET)
 
 
+def _possible(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose sketches leave a similarity of 0.8 possible: the sets differ in a ninth of both sizes at most."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, SKETCH_BINS).astype(np.int64) for c in "xy")
+            ok = 9 * np.abs(x - y).sum(axis=1) <= np.asarray(batch.column("total"))
+            kept = batch.filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
+
+    side = lambda c, s: classes.select(F.col("nid").alias(c), F.col("sketch").alias(s), F.col("n").alias(f"n_{c}"))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y", (F.col("n_a") + F.col("n_b")).alias("total"))
+    return staged(both.mapInArrow(compare, "a long, b long"), "possible")
+
+
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of class numbers whose sets are similar enough, from their whole texts; as u, v."""
+    pairs = _possible(classes, pairs)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
     needed = staged(classes.join(needed, "nid", "left_semi").select("nid", "set_key", F.col("first_doc").alias("_id")), "needed")
     texts = docs.select(F.coalesce(docs["doc_id"].cast("long").cast("string"), F.lit("-")).alias("_id"), whole_text(docs).alias("text"))
@@ -280,7 +305,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = sig.where("n > 0")
     groups = full.groupBy("group_key", "n").agg(F.first("prefix").alias("prefix"))
     groups = staged(groups.withColumn("gid", F.monotonically_increasing_id()), "groups")
-    classes = full.groupBy("set_key", "group_key").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    classes = full.groupBy("set_key", "group_key").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
     classes = classes.join(groups.select("group_key", "gid"), "group_key").drop("group_key")
     classes = staged(classes.withColumn("nid", F.monotonically_increasing_id()), "classes")
     whole, sig = sig, staged(sig.select("doc_id", "n", "set_key"), "set_names")
