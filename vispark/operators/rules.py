@@ -39,28 +39,29 @@ def pair_table(spark: SparkSession, pairs=PAIRS) -> DataFrame:
 
 
 def phrase_hits(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
-    """token_spans -> doc_id, pos, n, start, end, right, tag: phrases from the left, the longest first, none overlapping.
+    """token_spans -> doc_id, pos, n, start, end, original, right, tag: phrases from the left, the longest first, none overlapping.
 
     A phrase is words joined by single blanks, whatever stood between them in the text.
     """
     by_doc = Window.partitionBy("doc_id").orderBy("pos")
-    key, grams = F.col("lower"), []
+    key, original, grams = F.col("lower"), F.col("tok"), []
     for n in range(1, MAX_WORDS + 1):
         if n > 1:
             key = F.concat(key, F.lit(" "), F.lead("lower", n - 1).over(by_doc))
+            original = F.concat(original, F.lead("gap", n - 1).over(by_doc), F.lead("tok", n - 1).over(by_doc))
         last = F.lead("end", n - 1).over(by_doc) if n > 1 else F.col("end")
-        grams.append(F.struct(F.lit(n).alias("n"), key.alias("key"), last.alias("end")))
+        grams.append(F.struct(F.lit(n).alias("n"), key.alias("key"), last.alias("end"), original.alias("original")))
     rows = tokens.select("doc_id", "pos", "start", F.array(*grams).alias("grams"))
     rows = rows.select("doc_id", "pos", "start", F.explode("grams").alias("g")).where("g.key is not null")
-    rows = rows.select("doc_id", "pos", "start", "g.n", "g.key", "g.end")
+    rows = rows.select("doc_id", "pos", "start", "g.n", "g.key", "g.end", "g.original")
     found = rows.join(F.broadcast(phrases), ["key", "n"])  # a fixed table
-    entry = F.struct("pos", (-F.col("n")).alias("short"), "n", "start", "end", "right", "tag")
+    entry = F.struct("pos", (-F.col("n")).alias("short"), "n", "start", "end", "original", "right", "tag")
     kept = F.expr(
         "aggregate(array_sort(hits), named_struct('free', -1, 'out', slice(hits, 1, 0)), (a, h) -> CASE WHEN h.pos >= a.free "
         "THEN named_struct('free', h.pos + h.n, 'out', array_append(a.out, h)) ELSE a END, a -> a.out)"
     )
     folded = found.groupBy("doc_id").agg(F.collect_list(entry).alias("hits")).select("doc_id", F.explode(kept).alias("h"))
-    return folded.select("doc_id", "h.pos", "h.n", "h.start", "h.end", "h.right", "h.tag")
+    return folded.select("doc_id", "h.pos", "h.n", "h.start", "h.end", "h.original", "h.right", "h.tag")
 
 
 def cue_scores(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def context_hits(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
     )
     rows = scored.withColumn("confidence", confidence).where("confidence is not null")
     best = F.row_number().over(Window.partitionBy("doc_id", "pos").orderBy(F.desc("confidence"), "entry"))
-    columns = ["doc_id", "pos", "start", "end", "lower", "other", "tag", "confidence", "gloss", "other_gloss"]
+    columns = ["doc_id", "pos", "start", "end", "tok", "lower", "other", "tag", "confidence", "gloss", "other_gloss"]
     return rows.withColumn("best", best).where("best = 1").select(*columns)
 
 
@@ -105,10 +106,8 @@ def rule_issues(docs: DataFrame, phrases: DataFrame | None = None, pairs: DataFr
     context = context_hits(tokens, pairs if pairs is not None else pair_table(spark)).join(taken, ["doc_id", "pos"], "left_anti")
     why_phrase = F.format_string("%s: %s", F.col("tag"), F.col("right"))
     why_pair = F.format_string('"%s" — %s. "%s" — %s.', F.col("other"), F.col("other_gloss"), F.col("lower"), F.col("gloss"))
-    found = hits.select("doc_id", "start", "end", F.col("right").alias("new"), why_phrase.alias("why"), "tag", F.lit(0.99).alias("confidence"))
-    found = found.unionByName(context.select("doc_id", "start", "end", F.col("other").alias("new"), why_pair.alias("why"), "tag", "confidence"))
-    texts = docs.select("doc_id", "text")
-    found = found.join(texts, "doc_id").withColumn("original", F.expr("substring(text, start + 1, end - start)"))
+    found = hits.select("doc_id", "start", "end", "original", F.col("right").alias("new"), why_phrase.alias("why"), "tag", F.lit(0.99).alias("confidence"))
+    found = found.unionByName(context.select("doc_id", "start", "end", F.col("tok").alias("original"), F.col("other").alias("new"), why_pair.alias("why"), "tag", "confidence"))
     return found.select(
         "doc_id", "start", "end", "original", match_case(F.col("original"), F.col("new")).alias("suggestion"), "why", "tag", "confidence", F.lit("rule").alias("source")
     )
