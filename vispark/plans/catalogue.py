@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from vispark.functions import syllable as sy
 from vispark.functions import text as tx
 from vispark.functions.alphabet import strip_tone, to_ascii
+from vispark.functions.nfc import nfc
 from vispark.operators import corpus, decisions, issues, metrics, rules
 from vispark.sources.files import corpus_sentences, page_text
 from vispark.streaming import events as ev
@@ -87,6 +88,12 @@ def syllable_lexicon(spark, d):
     return corpus.lexicon(_tokens(spark, d), 20)
 
 
+def nfc_normalise(spark, d):
+    """Documents in normal form C, and the same after their marks were split off."""
+    split = F.replace(F.col("text"), F.lit("é"), F.lit("e\u0301"))
+    return _docs(spark, d).select("doc_id", F.md5(nfc(F.col("text"))).alias("plain"), F.md5(nfc(split)).alias("joined"))
+
+
 def tone_strip(spark, d):
     return _words(spark, d).select("word", strip_tone(F.col("word")).alias("flat"), "n")
 
@@ -316,7 +323,7 @@ def acceptance_ratio(spark, d):
 QUERIES: dict[str, Callable] = {
     f.__name__: f
     for f in (
-        syllable_lexicon, tone_strip, ascii_fold, tone_detect, tone_positions, initial_final_split, token_offsets, tag_candidates,
+        syllable_lexicon, nfc_normalise, tone_strip, ascii_fold, tone_detect, tone_positions, initial_final_split, token_offsets, tag_candidates,
         tag_between_pairs, sentence_clean, gap_sentences, phrase_match, context_issues, check_text, dedupe_issues, merge_rule_first,
         interval_hit, html_text, hash_split, class_weights, propensity, oov_rate, softmax_gate, gate_argmax, policy_sweep, confusion_full,
         confusion_scoped, outcome_pivot, sentence_buckets, false_alarm_report, paired_discordance, latency_quantiles, corrupt_options,

@@ -102,6 +102,7 @@ _CLEAN_CUT = r"regexp_split_to_array(regexp_replace(replace(coalesce(text, ''),
 
 ORACLE_SQL: dict[str, str] = {
     "syllable_lexicon": f"WITH {_TOKENS} SELECT lower AS word, count(*) AS cnt, count(DISTINCT doc_id) AS docs FROM t GROUP BY 1 HAVING count(*) >= 20",
+    "nfc_normalise": "SELECT doc_id, md5(nfc_normalize(text)) AS plain, md5(nfc_normalize(replace(text, 'é', 'e\u0301'))) AS joined FROM documents",
     "tone_strip": f"WITH {_WORDS} SELECT word, translate(word, '{TONED}', '{FLATS * 5}') AS flat, n FROM w",
     "ascii_fold": f"WITH {_WORDS} SELECT word, translate(word, '{VOWELS}đĐ', '{_PLAIN}dD') AS plain FROM w",
     "tone_detect": f"WITH {_WORDS} SELECT word, CAST(coalesce({_TONE}, -1) AS INTEGER) AS tone FROM w",
