@@ -163,6 +163,14 @@ def test_personal_data(spark):
     assert find_pii(_docs(spark, [])).count() == 0
 
 
+def test_proposed_gates_are_necessary(spark):
+    mails = ("john.smith at gmail.com", "john.smith(AT)gmail(DOT)com", "john [At] gmail [DOT] com", "john AT gmail DOT com", "john(at)gmail.com")
+    docs = [(i, f"Please write to {m} soon") for i, m in enumerate(mails)]
+    docs += [(100, "It is available at github.com for free"), (101, "We met at noon.Then all left"), (102, "Look at this")]
+    spans = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in find_pii(_docs(spark, docs)).collect()}
+    assert spans == {i: [("email", 16, 16 + len(m)) for m in mails[i : i + 1]] for i, _ in docs}
+
+
 def test_trees_and_their_sql_agree(spark):
     import random
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from vispark.llm.boosting import BoostedTrees
 from vispark.llm.common import whole_text
-from vispark.llm.pii_training import labelled_spans
+from vispark.llm.pii_training import PLACED, labelled_spans
 
 #: Kinds in the order of the result: the base's, then those that only the generators know.
 KINDS = ("email", "ip", "card", "phone", "iban", "secret", "ssn")
@@ -47,9 +47,9 @@ BASE = (
 PROPOSED = (
     Generator(
         "email",
-        r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++(?:\x20?[(\[]at[)\]]\x20?|\x20at\x20|\x20?@\x20?)[A-Za-z0-9-]++"
+        r"(?i)(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++(?:\x20?[(\[]at[)\]]\x20?|\x20at\x20|\x20?@\x20?)[A-Za-z0-9-]++"
         r"(?:(?:\x20?[(\[]dot[)\]]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]++)++",
-        r"text rlike '[(\\[](at|dot)[)\\]]|\\x20dot\\x20|@'",
+        r"text rlike '(?i)[(\\[]at[)\\]]|\\x20at\\x20|@'",
     ),
     Generator("phone", r"(?<![0-9A-Za-z+.@-])\(?[0-9]{2,4}\)?(?:[\x20.-]?\(?[0-9]{2,4}\)?){1,5}(?![0-9A-Za-z])", _DIGITS),
     Generator("card", r"(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z])", _DIGITS),
@@ -131,6 +131,7 @@ FEATURES = (
     "length(x.d) / length(x.str)",
     "size(array_distinct(split(right(x.str, 40), '')))",
     "length(regexp_extract(x.str, '([0-9]*)$', 1))",
+    f"int(x.str rlike '(?i)^({'|'.join(PLACED)}) at ')",
 )
 
 

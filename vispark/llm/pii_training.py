@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 
 ROWS_PER_CASE = 60
+#: Words before "at" that say where something is: no one's name.
+PLACED = tuple("available found hosted online us me it out here look is are was up live page site website blog visit located".split())
 
 
 def _luhn_number(rnd: random.Random, prefix: str, n: int) -> str:
@@ -30,6 +32,9 @@ def labelled_spans(seed: int = 5) -> list[dict]:
         (0, 1, lambda: f"{word()} [at] {word()} [dot] {tld()}"),
         (0, 1, lambda: f"{word()} at {word()} dot {tld()}"),
         (0, 1, lambda: f"{word()} @ {word()}.{tld()}"),
+        (0, 1, lambda: f"{word()} at {word()}.{tld()}"),
+        (0, 1, lambda: f"{word()}.{word()} at {word()}.{tld()}"),
+        (0, 0, lambda: f"{rnd.choice(PLACED)} at {word()}.{tld()}"),
         (0, 0, lambda: f"{word()} at {word()}.{word().title()}"),
         (0, 0, lambda: f"{word()} at {word()} dot {word(5, 9)}"),
         (0, 0, lambda: f"{word()} at {digits(2)}.{digits(2)}"),
