@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from vispark.operators import issues, rules
+from vispark.operators.rule_tables import PAIRS
 
 FOUND = (
     ("Cả nhóm nổ lực, chia sẽ cùng nhau.", [(8, 14, "nỗ lực"), (16, 23, "chia sẻ")]),
@@ -38,3 +39,11 @@ def test_dedupe_issues(spark, empty):
     rows = [] if empty else [(1, 0, 3, 0.9, "a", "x"), (1, 0, 6, 0.8, "a", "y"), (1, 5, 9, 0.99, "a", "z"), (1, 6, 8, 0.9, "a", "w")]
     df = spark.createDataFrame(rows, "doc_id long, start int, end int, confidence double, source string, suggestion string")
     assert sorted(r.suggestion for r in issues.dedupe_issues(df).collect()) == ([] if empty else ["w", "y"])
+
+
+def test_all_twenty_pairs_are_built_in(spark):
+    assert len(PAIRS) == len(set(PAIRS)) == 20 and rules.pair_table(spark).count() == 40
+    cases = {1: ("thịt mở lợn", "mỡ"), 2: ("đội ngủ đông", "ngũ"), 3: ("hủ gạo", "hũ"), 4: ("cùng dành ngôi", "giành"), 5: ("đọc chuyện tranh", "truyện"), 6: ("giở ẹ", "dở"), 7: ("củng cố", None)}
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in cases.items()], "doc_id long, text string")
+    got = {r.doc_id: r.suggestion for r in rules.check_text(docs).where("confidence < 0.99").collect()}
+    assert got == {i: w for i, (_, w) in cases.items() if w}

@@ -189,4 +189,124 @@ PAIRS = (
             "một vài mấy luộc gọt",
             "khoai cải hành tỏi gừng nghệ sắn riềng cà"),
     ),
+    ("hoi-nga",
+        ("mở", "làm cho không đóng", False,
+            "đã vừa cần hãy đang chưa",
+            "cửa ra đầu rộng màn khóa lời đường bài quán mang"),
+        ("mỡ", "chất béo", False,
+            "thịt miếng lớp nhiều béo dầu",
+            "lợn màng bụng heo gan hành máu"),
+    ),
+    ("hoi-nga",
+        ("đổ", "làm tràn, sụp", False,
+            "làm bị xô sụp sập",
+            "nước vỡ xăng máu mồ nát bộ lỗi dồn"),
+        ("đỗ", "dừng lại, thi đạt", False,
+            "thi chỗ bãi hạt đậu điểm",
+            "xe đạt xanh đen tương đại trượt"),
+    ),
+    ("hoi-nga",
+        ("rảnh", "không bận", False,
+            "lúc khi đang hơi được thời nào",
+            "rỗi tay rang việc"),
+        ("rãnh", "đường lõm dài", False,
+            "cái con đường một đào",
+            "nước thoát mương sâu"),
+    ),
+    ("hoi-nga",
+        ("lỡ", "bỏ mất, trót", False,
+            "bị đã chẳng may nhỡ",
+            "hẹn tay dở chuyến làng thì miệng mất lời"),
+        ("lở", "sạt, loét", False,
+            "sạt đất bị núi",
+            "đất loét núi bờ mồm"),
+    ),
+    ("hoi-nga",
+        ("hũ", "đồ đựng", False,
+            "cái một chiếc trong",
+            "gạo rượu mắm đựng tương vàng"),
+        ("hủ", 'cũ nát — chỉ dùng trong "hủ tục, hủ hóa, hủ nho"', True,
+            "",
+            "tục hóa lậu nho bại"),
+    ),
+    ("hoi-nga",
+        ("vẻ", "dáng, bề ngoài", False,
+            "dáng có ra phong đầy làm",
+            "đẹp mặt ngoài vang duyên như buồn"),
+        ("vẽ", "tạo hình bằng nét", False,
+            "bức đang biết tập hình học",
+            "tranh hình vời đồ bản họa bậy"),
+    ),
+    ("hoi-nga",
+        ("cũng", "từ nối, biểu thị tương đồng", False,
+            "",
+            ""),
+        ("củng", 'chỉ dùng trong "củng cố"', True,
+            "",
+            "cố"),
+    ),
+    ("hoi-nga",
+        ("đã", "chỉ thì quá khứ", False,
+            "",
+            ""),
+        ("đả", 'đánh — chỉ dùng trong "đả kích, đả đảo, đả thương"', True,
+            "",
+            "kích đảo thương phá động"),
+    ),
+    ("hoi-nga",
+        ("ngủ", "trạng thái nghỉ", False,
+            "",
+            ""),
+        ("ngũ", 'năm — chỉ dùng trong "ngũ cốc, đội ngũ, ngã ngũ"', True,
+            "ngã đội đấu hàng",
+            "cốc quan hành vị sắc"),
+    ),
+    ("hoi-nga",
+        ("vẫn", "tiếp tục như trước", False,
+            "",
+            ""),
+        ("vẩn", 'đục — chỉ dùng trong "vẩn đục, vẩn vơ"', True,
+            "",
+            "đục vơ"),
+    ),
+    ("hoi-nga",
+        ("lãng", "buông thả, hoang phí", False,
+            "",
+            "phí mạn quên du tử"),
+        ("lảng", 'né tránh — "lảng tránh, nói lảng"', True,
+            "nói lấp",
+            "tránh vảng"),
+    ),
+    ("hoi-nga",
+        ("dở", "không tốt, chưa xong", False,
+            "hơi quá rất khóc",
+            "dang tệ khóc chứng ẹ òm hơi"),
+        ("dỡ", 'tháo xuống — "dỡ hàng, tháo dỡ"', True,
+            "tháo bốc",
+            "hàng xuống nhà bỏ"),
+    ),
+    ("d-gi-r",
+        ("dành", "cất giữ, để riêng cho", False,
+            "để ưu phần riêng",
+            "thời gian dụm riêng tặng cho sẵn lại"),
+        ("giành", "tranh lấy về mình", False,
+            "tranh đi cùng",
+            "chiến thắng giật lấy quyền độc giải ngôi huy"),
+    ),
+    ("ch-tr",
+        ("chuyện", "sự việc, lời kể", False,
+            "câu kể nói trò có những mọi vụ",
+            "gì này đó ấy riêng tình cũ lạ"),
+        ("truyện", "tác phẩm viết ra", False,
+            "đọc cuốn quyển viết tập bộ xem",
+            "tranh ngắn cổ tích dài kiếm ma"),
+    ),
+    ("d-gi-r",
+        ("dở", "không tốt, chưa xong", False,
+            "hơi quá rất",
+            "dang tệ ẹ òm"),
+        ("giở", 'mở ra, bày ra — "giở sách, giở trò"', True,
+            "",
+            "sách trang trò ra vở sổ"),
+    ),
 )
