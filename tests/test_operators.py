@@ -49,3 +49,49 @@ def test_weeks_and_changes(spark):
     assert [r[0] for r in weeks] == ["2024-W01", "2022-W52"]
     rows = spark.createDataFrame([(1, 0, "a"), (1, 1, "a"), (1, 2, None), (1, 3, "b")], "k int, t int, v string")
     assert [r.t for r in ev.changes(rows, "k", ["t"], "v").orderBy("t").collect()] == [0, 2, 3]
+
+
+def test_corrupt_draws_by_sentence_as_plain_python_does(spark):
+    import hashlib
+    import math
+
+    text = "Nghĩ lại nỗ lực sẽ trở nên dễ hơn. " * 12 + "Chia sẻ nữa thì tốt! 3.5 sữa"
+    docs = spark.createDataFrame([(1, text), (2, text.lower()), (3, None), (4, "SẼ")], "doc_id long, text string")
+    tokens = corpus.sentence_tokens(docs)
+    words = tokens.select(F.col("tok").alias("word")).distinct()
+    known = words.select(F.lower("word").alias("word")).distinct()
+    options = corpus.corruptions(words, known).select("word", "broken", "fix")
+    factors = spark.createDataFrame([("sẽ", 20.0), ("trở", 0.2)], "word string, factor double")
+    got = {(r.doc_id, r.pos): (r.tok, r.tag) for r in corpus.corrupt(tokens, options, rate=0.6, factors=factors).collect()}
+
+    table: dict[str, list] = {}
+    for r in options.select("*", corpus.error_class(F.col("word"), F.col("broken"), F.col("fix")).alias("class")).collect():
+        table.setdefault(r.word, []).append((r.broken, r.fix, r["class"]))
+    rows = sorted(tuple(r) for r in tokens.collect())
+    sents: dict[tuple, list] = {}
+    for d, s, p, t in rows:
+        sents.setdefault((d, s), []).append((p, t))
+    assert {d: len({s for e, s in sents if e == d}) for d, _ in sents} == {1: 13, 2: 1, 4: 1}
+    cases = spark.createDataFrame([(d, p, i) for d, _, p, t in rows for i in range(len(table.get(t, [])))], "doc_id long, pos int, i int")
+    u_option = {tuple(r)[:3]: r.u for r in cases.withColumn("u", corpus.draw(12, "doc_id", "pos", "i")).collect()}
+    rounds = spark.createDataFrame([(d, s, k, c) for d, s in sents for k in range(1, 5) for c in corpus.CLASS_WEIGHTS], "doc_id long, sent long, k int, class string")
+    u_class = {tuple(r)[:4]: r.u for r in rounds.withColumn("u", corpus.draw(13, "doc_id", "sent", "k", "class")).collect()}
+    unit = lambda d, p: int(hashlib.sha256(f"11|{d}|{p}".encode()).hexdigest()[:8], 16) / 2**32
+    want, factor = {(d, p): (t, "KEEP") for d, _, p, t in rows}, {"sẽ": 20.0, "trở": 0.2}
+    for (d, s), toks in sents.items():
+        pool = [(p, *o, -math.log(u_option[d, p, i]) / factor.get(t.lower(), 1.0)) for p, t in toks for i, o in enumerate(sorted(table.get(t, [])))]
+        n = min(4, sum(t in table and unit(d, p) < 0.6 for p, t in toks))
+        for k in range(1, n + 1):
+            free = [o for o in pool if want[d, o[0]][1] == "KEEP"]
+            if free:
+                c = min({o[3] for o in free}, key=lambda c: -math.log(u_class[d, s, k, c]) / corpus.CLASS_WEIGHTS[c])
+                p, broken, fix, *_ = min((o for o in free if o[3] == c), key=lambda o: o[4])
+                want[d, p] = (broken, fix)
+    assert got == want
+    changed = [(d, p, t) for d, _, p, t in rows if got[d, p][1] != "KEEP"]
+    assert sum(d == 1 for d, _, _ in changed) > 4 >= sum(d == 2 for d, _, _ in changed)
+    assert any(t != t.lower() for _, _, t in changed)
+    per_word: dict[str, set] = {}
+    for d, p, t in changed:
+        per_word.setdefault(t, set()).add(got[d, p][0])
+    assert max(len(b) for b in per_word.values()) > 1

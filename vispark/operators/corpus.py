@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vispark.functions.syllable import candidate_rows
-from vispark.functions.text import first_byte, unit_hash
+from vispark.functions.alphabet import TONE_TAGS
+from vispark.functions.syllable import candidate_rows, tone
+from vispark.functions.text import first_byte, token_spans, unit_hash
+
+_HOI_NGA = [k for k, t in enumerate(TONE_TAGS) if t in ("TONE_HOI", "TONE_NGA")]
 
 
 def lexicon(tokens: DataFrame, min_count: int = 20) -> DataFrame:
@@ -52,18 +55,71 @@ def corruptions(words: DataFrame, known: DataFrame) -> DataFrame:
     return breaks.join(fixes, ["broken", "word"])
 
 
-def corrupt(tokens: DataFrame, options: DataFrame, rate: float = 0.1, most: int = 4, seed: int = 11) -> DataFrame:
-    """doc_id, pos, tok, tag -> tokens with broken ones put in; tag is what repairs a token.
+#: Shares of the classes of errors: of tones by the pair of tones, of the others by the tag that repairs them.
+CLASS_WEIGHTS = {
+    "hoi_nga": 0.34, "missing": 0.24, "other_tone": 0.10, "CH_TR": 0.05, "TR_CH": 0.05, "S_X": 0.05, "X_S": 0.05, "D_GI": 0.03, "GI_D": 0.03,
+    "D_R": 0.01, "R_D": 0.01, "GI_R": 0.01, "R_GI": 0.01, "L_N": 0.03, "N_L": 0.03, "N_NG": 0.02, "NG_N": 0.01, "C_T": 0.005, "T_C": 0.005,
+}
+
+
+def error_class(word, broken, fix):
+    """Class of an error: the tag that repairs it; for tones hoi_nga, missing (the mark is gone) or other_tone."""
+    was, now = tone(word), tone(broken)
+    both = was.isin(*_HOI_NGA) & now.isin(*_HOI_NGA)
+    return F.when(~F.startswith(fix, F.lit("TONE_")), fix).when(both, "hoi_nga").when((now == 0) & ~was.eqNullSafe(F.lit(0)), "missing").otherwise("other_tone")
+
+
+def draw(seed: int, *keys):
+    """A number in (0, 1) from a hash of the keys that is cheap enough for each option of each token."""
+    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) + F.lit(0.5)) / F.lit(float(2**53))
+
 
-    Each token that can be broken is drawn with the rate by its own hash; of a sentence's draws, the first `most` by
-    another hash count; the change is the option with the smallest hash.
+def sentence_tokens(docs: DataFrame) -> DataFrame:
+    """doc_id, sent, pos, tok: the tokens of documents, pos within the document, with the number of their sentence."""
+    rows = token_spans(docs)
+    cut = F.concat("gap", F.substring("tok", 1, 1)).rlike(r"[.!?]\s+[A-ZÀ-Ỹ]")
+    number = F.sum(F.when(cut, 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("pos"))
+    return rows.select("doc_id", number.alias("sent"), "pos", "tok")
+
+
+def corrupt(tokens: DataFrame, options: DataFrame, rate: float = 0.1, most: int = 4, seed: int = 11, weights: dict[str, float] | None = None, factors: DataFrame | None = None) -> DataFrame:
+    """doc_id, sent, pos, tok -> doc_id, pos, tok with broken ones put in, tag; tag is what repairs a token.
+
+    options: word (as written), broken, fix.  factors: propensity's word (in lower case) and factor; others have 1.
+    A sentence gets as many errors as its tokens with options whose hash is under the rate, at most `most`.  For each, first a
+    class is drawn by weight among those with tokens left, then an option of the class by factor; a token breaks once.
+    The draws are smallest exponential keys from hashes, -ln(u) / weight, so that the draws of a sentence are one fold.
     """
-    one = options.groupBy("word").agg(F.min_by(F.struct("broken", "fix"), F.md5(F.concat("word", "broken"))).alias("o"))
+    table = F.create_map(*[F.lit(v) for kv in (CLASS_WEIGHTS if weights is None else weights).items() for v in kv])
+    opts = options.withColumn("class", error_class(F.col("word"), F.col("broken"), F.col("fix")))
+    if factors is not None:
+        opts = opts.join(factors.select(F.col("word").alias("_word"), "factor"), F.lower("word") == F.col("_word"), "left")
+    else:
+        opts = opts.withColumn("factor", F.lit(1.0))
+    entry = F.struct("broken", "fix", "class", F.coalesce(table[F.col("class")], F.lit(0.0)).alias("w"), F.coalesce("factor", F.lit(1.0)).alias("factor"))
+    one = opts.groupBy("word").agg(F.sort_array(F.collect_list(entry)).alias("opts"))
     rows = tokens.join(one, tokens["tok"] == one["word"], "left").drop("word")
-    drawn = F.col("o").isNotNull() & (unit_hash(seed, F.col("doc_id"), F.col("pos")) < rate)
-    order = Window.partitionBy("doc_id").orderBy(F.when(drawn, 0).otherwise(1), unit_hash(seed + 1, F.col("doc_id"), F.col("pos")), "pos")
-    rows = rows.withColumn("_hit", drawn & (F.row_number().over(order) <= most))
-    return rows.select("doc_id", "pos", F.when(F.col("_hit"), F.col("o.broken")).otherwise(F.col("tok")).alias("tok"), F.when(F.col("_hit"), F.col("o.fix")).otherwise("KEEP").alias("tag"))
+    key = lambda o, i: -F.ln(draw(seed + 1, F.col("doc_id"), F.col("pos"), i)) / o["factor"]
+    fields = lambda o, i: F.struct(key(o, i).alias("key"), F.col("pos").alias("pos"), o["broken"].alias("broken"), o["fix"].alias("fix"), o["class"].alias("class"), o["w"].alias("w"))
+    keyed = F.filter(F.transform("opts", fields), lambda o: o["w"] > 0)
+    hit = F.col("opts").isNotNull() & (unit_hash(seed, F.col("doc_id"), F.col("pos")) < rate)
+    rows = rows.select("doc_id", "sent", "pos", "tok", hit.alias("hit"), keyed.alias("opts"))
+    whole = rows.groupBy("doc_id", "sent").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("toks"), F.flatten(F.collect_list("opts")).alias("opts"), F.least(F.count_if("hit"), F.lit(most)).alias("n")
+    )
+
+    def step(out, k):
+        free = F.filter("opts", lambda o: ~F.exists(out, lambda c: c["pos"] == o["pos"]))
+        by_class = lambda o: -F.ln(draw(seed + 2, F.col("doc_id"), F.col("sent"), k, o["class"])) / o["w"]
+        best = F.array_min(F.transform(free, lambda o: F.struct(by_class(o).alias("first"), o["class"].alias("class"), o.alias("o"))))
+        return F.when(best.isNull(), out).otherwise(F.array_append(out, F.struct(best["o"]["pos"].alias("pos"), best["o"]["broken"].alias("broken"), best["o"]["fix"].alias("fix"))))
+
+    none = F.array().cast("array<struct<pos: int, broken: string, fix: string>>")
+    drawn = F.when(F.col("n") == 0, none).otherwise(F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int")), none, step))
+    whole = whole.select("doc_id", "toks", F.inline(F.array(F.struct(drawn.alias("_hits")))))  # generated, so that it is computed once
+    each = whole.select("doc_id", "_hits", F.inline("toks"))
+    at = F.get(F.filter("_hits", lambda c: c["pos"] == F.col("pos")), F.lit(0))
+    return each.select("doc_id", "pos", F.coalesce(at["broken"], F.col("tok")).alias("tok"), F.coalesce(at["fix"], F.lit("KEEP")).alias("tag"))
 
 
 def class_weights(pairs: DataFrame) -> DataFrame:

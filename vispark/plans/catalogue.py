@@ -250,8 +250,9 @@ def corrupt_options(spark, d):
 
 
 def corrupt_sentences(spark, d):
-    options = corpus.corruptions(_words(spark, d), corpus.lexicon(_tokens(spark, d), 20)).select("word", "broken", "fix")
-    return corpus.corrupt(_tokens(spark, d), options)
+    words = _tokens(spark, d).select(F.col("tok").alias("word")).distinct()  # as written: a tag keeps the case
+    options = corpus.corruptions(words, corpus.lexicon(_tokens(spark, d), 20)).select("word", "broken", "fix")
+    return corpus.corrupt(corpus.sentence_tokens(_docs(spark, d)), options, factors=corpus.propensity(_pairs(spark, d)))
 
 
 def balanced_cases(spark, d):
