@@ -6,9 +6,10 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Texts in normal form C; nulls stay."""
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
