@@ -4,7 +4,8 @@ A byte-level BPE never merges across its pre-token pattern's boundaries, and a s
 space between two non-space characters always starts a new pre-token.  So a text may be
 cut there, each distinct cut encoded once by the tokenizers library, and the ids joined:
 the result equals encoding the whole text, at a fraction of the cost, as most words
-of a corpus have been seen before.
+of a corpus have been seen before.  The tokenizer is used as the file has it; a text that holds one of its
+added tokens (<|endoftext|>) is encoded in one go, as these are found before all else.
 """
 
 from __future__ import annotations
@@ -17,13 +18,18 @@ import zlib
 
 import numpy as np
 
-#: Distinct words kept per Python worker in each of two generations of the cache.
-CACHE_WORDS = 800_000
+#: Distinct words kept per Python worker in each of two generations of the cache (some 30 MB each at most).
+CACHE_WORDS = 200_000
 #: Distinct runs of marks behind words, likewise.
 CACHE_TAILS = 20_000
+#: Longer words are not kept.
+CACHE_CHARS = 64
 
 #: ASCII marks that may end a word; the apostrophe may begin a pre-token of its own and is left out.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: What is not plain ASCII, Latin, Greek or Cyrillic: other libraries may class it otherwise.
+_ODD = re.compile("[^\t\n\r -~\xa1-\u052f]")
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: The byte-level alphabet: printable Latin-1 stands for itself, other bytes for U+0100 on, in order.
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -47,7 +53,7 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.model = self.tokenizer.model
         self.pre_tokens = regex.compile(public_tokenizers.PATTERN).findall
@@ -62,19 +68,19 @@ class CachedEncoder:
     def _ids(self, pre_tokens: list[str]) -> bytes:
         """Ids of pre-tokens in the byte-level alphabet, from the model alone."""
         ids = [t.id for p in pre_tokens for t in self.model.tokenize(p)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
         """Ids of a space-led word: mostly letters and then marks, which are a pre-token each."""
+        if _ODD.search(word):
+            return self.plain(" " + word)
         letters = word.rstrip(_MARKS)
         if not letters.isalpha():
             return self._ids([p.encode().decode("latin-1").translate(_BYTE_LEVEL) for p in self.pre_tokens(" " + word)])
-        ids = self.young.get(letters) or self.old.get(letters)
-        if ids is None:
-            plain = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTE_LEVEL)
-            self.young[letters] = ids = self._ids(["\u0120" + plain])
         if len(letters) == len(word):
-            return ids
+            plain = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTE_LEVEL)
+            return self._ids(["Ġ" + plain])
+        ids = self.young.get(letters) or self._missing(letters)
         marks = word[len(letters) :]
         if (tail := self.tails.get(marks)) is None:
             if len(self.tails) > CACHE_TAILS:
@@ -82,45 +88,48 @@ class CachedEncoder:
             self.tails[marks] = tail = self._ids([marks])
         return ids + tail
 
-    def _learn(self, words: list[str]) -> bool:
-        """Puts the ids of each space-led word into the young generation; false if the cut was unsafe."""
-        missing = [w for w in dict.fromkeys(words) if w not in self.young]
-        if any(not w or w[0].isspace() or w[-1].isspace() for w in missing):
-            return False
-        if len(self.young) > CACHE_WORDS:
+    def _missing(self, word: str) -> bytes | None:
+        """Ids of a space-led word that the young generation lacks; None where the cut before it was not safe."""
+        ids = self.old.get(word)
+        if ids is None:
+            if not word or word[0].isspace() or word[-1].isspace():
+                return None
+            ids = self._word(word)
+            if len(word) > CACHE_CHARS:
+                return ids
+        if len(self.young) >= CACHE_WORDS:
             self.old, self.young = self.young, {}
-            missing = list(dict.fromkeys(words))
-        for w in missing:
-            known = self.old.get(w)
-            self.young[w] = self._word(w) if known is None else known
-        return True
+        self.young[word] = ids
+        return ids
 
     def encode(self, text: str | None) -> bytes:
         """Ids of one text; null and empty give no ids."""
         if not text:
             return b""
+        if any(a in text for a in self.added):
+            return self.plain(text)
         head, *words = text.split(" ")
-        young = self.young
-        try:
-            body = b"".join([young[w] for w in words])
-        except KeyError:
-            if not head or head[-1].isspace() or not self._learn(words):
-                head, *words = _CUT.split(text)  # runs of white space: cut only where it is safe
-                if not words:
-                    return self.plain(head)
-                return self.plain(head) + b"".join([self._inner(w) for w in words])
-            body = b"".join([self.young[w] for w in words])
-        else:
-            if not head or head[-1].isspace():
-                return self.plain(text)
-        return self.plain(head) + body
+        if words and (not head or head[-1].isspace()):
+            return self._loose(text)
+        ids = list(map(self.young.get, words))
+        at = -1
+        for _ in range(ids.count(None)):
+            at = ids.index(None, at + 1)
+            ids[at] = self._missing(words[at])
+            if ids[at] is None:
+                return self._loose(text)
+        return self.plain(head) + b"".join(ids)
+
+    def _loose(self, text: str) -> bytes:
+        """Ids of a text with runs of white space: it is cut only where it is safe."""
+        head, *words = _CUT.split(text)
+        return self.plain(head) + b"".join([self._inner(w) for w in words])
 
     def _inner(self, word: str) -> bytes:
         if (known := self.young.get(word)) is not None:
             return known
-        if " " in word or not self._learn([word]):
-            return self.plain(" " + word)
-        return self.young[word]
+        ids = None if " " in word else self._missing(word)
+        return self.plain(" " + word) if ids is None else ids
 
 
 @functools.cache
