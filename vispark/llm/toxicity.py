@@ -2,9 +2,12 @@
 
 P(grade <= j) = sigmoid(threshold_j - w . x): one weight for each feature, shared by all ordered thresholds.
 Features are words and their first letters (a family of made-up words shares its stem), as the logarithm of one plus their
-count.  Grade 0 are the rows labelled clean; the rows labelled toxic are split into three grades by how many
-words they have that hardly occur in clean rows.  The model is fitted on a bounded sample of labelled rows; a quarter of it
-is held out to choose the severity from which a document counts as toxic.  Scoring reads every whole text.
+count, and that of the text's length, so that a rate can count as well as a number.  Grade 0 are the rows labelled clean; the
+rows labelled toxic are split into three grades by how many words they have that hardly occur in clean rows.
+
+The model is fitted on a bounded sample of labelled rows.  Their features are counted on the executors; the driver gets
+the counts of the features that tell the classes apart, never a text.  Each row is rated once by a model that
+has not seen it, and the severity from which a document counts as toxic is chosen on those ratings.  Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -17,28 +20,37 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from vispark.llm.common import small_arrow_batches, whole_text
+from vispark.llm.common import release, staged, whole_row, whole_text
 
 #: Labelled rows of each class that the fit reads at most.
 MAX_ROWS_PER_CLASS = 1500
+#: Features of a model at most; those in so many toxic rows at least (half as many where toxic rows are fewer than FEW).
 MAX_FEATURES = 600
-MIN_DOCS = 4
+MIN_DOCS, FEW = 4, 100
+#: Log odds from which a feature speaks for toxicity, and from which it grades it.
+MIN_ODDS, STRONG_ODDS = 1.5, 2.5
 GRADES = 4
 PREFIXES = (4, 5, 6)
+#: Parts of the sample that are rated by a model of the other parts.
+FOLDS = 4
 #: A clean document costs so many times a missed toxic one where the threshold is chosen.
-CLEAN_COST = 20.0
-CACHE_WORDS = 400_000
+CLEAN_COST = 10.0
+CACHE_WORDS = 100_000
+#: The feature of the text's length, in words.
+LENGTH = "#"
 
 _WORD = re.compile(r"[^\W\d_]+")
-_ROW = pa.schema([("doc_id", pa.int64()), ("severity", pa.float64()), ("grade", pa.int32()), ("toxic", pa.bool_()), ("hits", pa.int64())])
-_ROW_SQL = "doc_id long, severity double, grade int, toxic boolean, hits long"
+_SCORE = StructType(
+    [StructField("severity", DoubleType()), StructField("grade", IntegerType()), StructField("toxic", BooleanType()), StructField("hits", LongType())]
+)
 
 
 def features(piece: str) -> list[str]:
-    """Features of a stretch of text without spaces."""
+    """Features of a stretch of text without spaces: its words, and their first letters."""
     out = []
     for w in _WORD.findall(piece.lower()):
         out.append(w)
@@ -57,15 +69,39 @@ class SeverityModel:
     cut: float = math.inf
 
     def severity(self, counts: dict[str, int]) -> tuple[float, int]:
-        """Expected grade, and the likeliest one."""
+        """Expected grade, and the likeliest one; counts may have LENGTH."""
         if not self.thresholds:
             return 0.0, 0
-        score = sum(self.weights[f] * math.log1p(n) for f, n in sorted(counts.items()))
+        score = sum(self.weights.get(f, 0.0) * math.log1p(n) for f, n in sorted(counts.items()))
         above = 1 - _sigmoid(np.array(self.thresholds) - score)
         each = -np.diff(np.concatenate([[1.0], above, [0.0]]))
         return float(above.sum()), int(each.argmax())
 
 
+class Counts:
+    """Counts the features of a text that are in known; known: None for all."""
+
+    def __init__(self, known: set[str] | None = None):
+        self.known, self.cache = known, {}
+
+    def of(self, text: str) -> Counter[str]:
+        out: Counter[str] = Counter()
+        words = 0
+        for piece, n in Counter(text.split()).items():
+            found = self.cache.get(piece)
+            if found is None:
+                if len(self.cache) > CACHE_WORDS:
+                    self.cache.clear()
+                every = features(piece)
+                found = tuple(f for f in every if self.known is None or f in self.known), sum(not f.endswith("-") for f in every)
+                self.cache[piece] = found
+            for f in found[0]:
+                out[f] += n
+            words += n * found[1]
+        out[LENGTH] = words
+        return out
+
+
 def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the cumulative-link model, by Adam on the penalised mean likelihood."""
     k = grades - 1
@@ -86,56 +122,59 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 1e-3, ste
     return p[:-k], p[-k] + np.concatenate([[0], np.cumsum(np.exp(p[len(p) - k + 1 :]))])
 
 
-def fit_texts(rows: list[tuple[int, str, int]]) -> SeverityModel:
-    """Fits (doc_id, text, toxic 0 or 1) rows; without both classes the model finds nothing toxic."""
-    rows = sorted(rows)
-    toxic = np.array([t for _, _, t in rows], int)
-    if len(set(toxic.tolist())) < 2:
-        return SeverityModel()
-    held = np.array([i % 4 == 3 for i in range(len(rows))])
-    if len(set(toxic[~held].tolist())) < 2 or len(set(toxic[held].tolist())) < 2:
-        held[:] = False
-    seen: list[Counter[str]] = [Counter(), Counter()]
-    for (_, text, t), h in zip(rows, held):
-        if t and not h:
-            seen[1].update({f for piece in set(text.split()) for f in features(piece)})
-    seen[1] = Counter({f: a for f, a in seen[1].items() if a >= MIN_DOCS})
-    for (_, text, t), h in zip(rows, held):
-        if not t and not h:
-            seen[0].update({f for piece in set(text.split()) for f in features(piece)} & seen[1].keys())
-    n = [max(1, int(((toxic == t) & ~held).sum())) for t in (0, 1)]
-    odds = {f: math.log((a + 0.5) / n[1]) - math.log((seen[0][f] + 0.5) / n[0]) for f, a in seen[1].items()}
-    chosen = sorted((f for f in odds if odds[f] > 1.5), key=lambda f: (-odds[f] * math.sqrt(seen[1][f]), f))[:MAX_FEATURES]
-    if not chosen:
+def choose_features(seen: dict[str, np.ndarray], sizes: np.ndarray, without: int | None = None) -> tuple[list[str], set[str]]:
+    """The features that speak for toxicity, strongest first, and the words among them that grade it.
+
+    seen: for each feature, in how many rows of each (class, fold) it is; sizes: how many rows these have.  without: a fold
+    that does not count.
+    """
+    use = np.arange(sizes.shape[1]) != (-1 if without is None else without)
+    n = np.maximum(1, sizes[:, use].sum(axis=1))
+    least = MIN_DOCS if sizes[1, use].sum() >= FEW else MIN_DOCS // 2
+    rank, strong = {}, set()
+    for f, counts in seen.items():
+        clean, toxic = counts[:, use].sum(axis=1)
+        odds = math.log((toxic + 0.5) / n[1]) - math.log((clean + 0.5) / n[0])
+        if toxic >= least and odds > MIN_ODDS:
+            rank[f] = odds * math.sqrt(toxic)
+            if odds > STRONG_ODDS and not f.endswith("-"):
+                strong.add(f)
+    return sorted(rank, key=lambda f: (-rank[f], f))[:MAX_FEATURES], strong
+
+
+def fit_counts(rows: list[dict[str, int]], toxic: np.ndarray, chosen: list[str], strong: set[str]) -> SeverityModel:
+    """The model of rows' counts of the chosen features; it finds nothing toxic if there are none, or only one class."""
+    if not chosen or len(set(toxic.tolist())) < 2:
         return SeverityModel()
-    place, strong = {f: i for i, f in enumerate(chosen)}, {f for f in chosen if odds[f] > 2.5 and not f.endswith("-")}
-    x, amount = np.zeros((len(rows), len(chosen))), np.zeros(len(rows))
-    for i, (_, text, _) in enumerate(rows):
-        counts = Counter(f for piece in text.split() for f in features(piece) if f in place)
-        amount[i] = sum(c for f, c in counts.items() if f in strong)
+    place = {f: i for i, f in enumerate([LENGTH, *chosen])}
+    x, amount = np.zeros((len(rows), len(place))), np.zeros(len(rows))
+    for i, counts in enumerate(rows):
         for f, c in counts.items():
-            x[i, place[f]] = math.log1p(c)
-    levels = np.quantile(amount[(toxic == 1) & (amount > 0)], [1 / 3, 2 / 3]) if ((toxic == 1) & (amount > 0)).any() else [0, 0]
+            if f in place:
+                x[i, place[f]] = math.log1p(c)
+        amount[i] = sum(c for f, c in counts.items() if f in strong and f in place)
+    graded = (toxic == 1) & (amount > 0)
+    levels = np.quantile(amount[graded], [1 / 3, 2 / 3]) if graded.any() else [0, 0]
     y = np.where(toxic == 1, 1 + (amount > levels[0]) + (amount > levels[1]), 0)
-    w, th = fit_ordinal(x[~held], y[~held], GRADES)
-    model = SeverityModel({f: float(w[i]) for f, i in place.items()}, tuple(th.tolist()))
-    judge = held if held.any() else np.ones(len(rows), bool)
-    above = 1 - _sigmoid(th[None, :] - (x[judge] @ w)[:, None])
-    severity, truth = above.sum(axis=1), toxic[judge]
+    w, th = fit_ordinal(x, y, GRADES)
+    return SeverityModel({f: float(w[i]) for f, i in place.items()}, tuple(th.tolist()), 0.5)
+
+
+def best_cut(severity: np.ndarray, toxic: np.ndarray) -> float:
+    """The severity that catches the most toxic rows, each clean row caught costing CLEAN_COST of them by share."""
     best = (-math.inf, 0.0)
     for cut in [*np.unique(severity), 0.5]:
         flagged = severity >= cut
-        gain = flagged[truth == 1].mean() - CLEAN_COST * flagged[truth == 0].mean()
-        best = max(best, (gain, cut))
+        best = max(best, (flagged[toxic == 1].mean() - CLEAN_COST * flagged[toxic == 0].mean(), cut))
     below = severity[severity < best[1]]
-    model.cut = float((best[1] + below.max()) / 2 if len(below) else best[1])
-    return model
+    return float((best[1] + below.max()) / 2 if len(below) else best[1])
 
 
 def fit_severity(docs: DataFrame, labels: DataFrame, max_rows_per_class: int = MAX_ROWS_PER_CLASS) -> SeverityModel:
     """Fits on at most max_rows_per_class labelled rows of each class, taken by the hash of doc_id.
 
-    Rows with a null label or doc_id are left out; of repeated labels the highest counts.
+    Rows with a null label or doc_id are left out; of repeated labels the highest counts.  Without both classes the model
+    finds nothing toxic.
     """
     known = labels.where(labels["toxic"].isin(0, 1) & labels["doc_id"].isNotNull())
     known = known.groupBy(known["doc_id"].cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("is_toxic"))
@@ -143,51 +182,103 @@ def fit_severity(docs: DataFrame, labels: DataFrame, max_rows_per_class: int = M
     for t in (0, 1):
         part = known.where(F.col("is_toxic") == t).orderBy(F.xxhash64("id"), "id").limit(max_rows_per_class)
         some = part if some is None else some.unionByName(part)
+    fold = (F.row_number().over(Window.partitionBy("is_toxic").orderBy(F.xxhash64("id"), "id")) % FOLDS).cast("int")
+    some = some.withColumn("fold", fold)  # 2 * max_rows_per_class rows at most
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), whole_text(docs).alias("words"))
-    rows = texts.join(F.broadcast(some), "id").select("id", "words", "is_toxic")  # 2 * max_rows_per_class rows at most
-    return fit_texts([tuple(r) for r in rows.collect()])
+    sample = staged(texts.join(F.broadcast(some), "id").select("id", "words", "is_toxic", "fold"), "labelled")
+    sizes = np.zeros((2, FOLDS), int)
+    for r in sample.groupBy("is_toxic", "fold").count().collect():
+        sizes[r.is_toxic, r.fold] = r["count"]
+    if not sizes.sum(axis=1).all():
+        return SeverityModel()
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts()
+        for batch in batches:
+            seen: Counter[tuple[str, int]] = Counter()
+            for text, t, k in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                seen.update((f, t * FOLDS + k) for f in counts.of(text.as_py()) if f != LENGTH)
+            names, cells, n = [f for f, _ in seen], [c for _, c in seen], list(seen.values())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(cells, pa.int32()), pa.array(n, pa.int64())], ["f", "cell", "n"])
+
+    cells = sample.select("words", "is_toxic", "fold").mapInArrow(count, "f string, cell int, n long")
+    per = cells.groupBy("f").agg(*[F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in range(2 * FOLDS)])
+    per = staged(per.where(_could_be_chosen(sizes)), "features")
+    seen: dict[str, np.ndarray] = {}
+    for without in (None, *range(FOLDS)):  # the strongest of each model: so many times MAX_FEATURES at most
+        rows = per.orderBy(F.desc(_rank(sizes, without)), "f").limit(MAX_FEATURES).collect()
+        seen |= {r.f: np.array([r[f"c{c}"] for c in range(2 * FOLDS)]).reshape(2, FOLDS) for r in rows}
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(set(seen))
+        kind = pa.map_(pa.string(), pa.int64())
+        for batch in batches:
+            found = [list(counts.of(text.as_py()).items()) for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, kind), *batch.columns[1:]], ["found", "is_toxic", "fold", "id"])
 
-def score_severity(docs: DataFrame, model: SeverityModel, keep: bool = False) -> DataFrame:
+    counted = sample.select("words", "is_toxic", "fold", "id").mapInArrow(look_up, "found map<string, long>, is_toxic int, fold int, id long")
+    rows = sorted(counted.collect(), key=lambda r: (r.id, r.is_toxic, sorted(r.found.items())))
+    release(sample, per)
+    counts, toxic, folds = [r.found for r in rows], np.array([r.is_toxic for r in rows]), np.array([r.fold for r in rows])
+    severity = np.zeros(len(rows))
+    for k in range(FOLDS):
+        train, test = np.flatnonzero(folds != k), np.flatnonzero(folds == k)
+        model = fit_counts([counts[i] for i in train], toxic[train], *choose_features(seen, sizes, k))
+        severity[test] = [model.severity(counts[i])[0] for i in test]
+    model = fit_counts(counts, toxic, *choose_features(seen, sizes))
+    if model.thresholds:
+        model.cut = best_cut(severity, toxic)
+    return model
+
+
+def _parts(sizes: np.ndarray, without: int | None) -> tuple[Column, Column, int, int]:
+    use = [k for k in range(FOLDS) if k != without]
+    total = lambda t: sum((F.col(f"c{t * FOLDS + k}") for k in use), F.lit(0))
+    return total(1), total(0), max(1, int(sizes[1, use].sum())), max(1, int(sizes[0, use].sum()))
+
+
+def _rank(sizes: np.ndarray, without: int | None) -> Column:
+    """choose_features' rank as a column."""
+    toxic, clean, n_toxic, n_clean = _parts(sizes, without)
+    return (F.log((toxic + 0.5) / n_toxic) - F.log((clean + 0.5) / n_clean)) * F.sqrt(toxic)
+
+
+def _could_be_chosen(sizes: np.ndarray) -> Column:
+    """Whether a feature is in enough toxic rows for any of the models."""
+    toxic, *_ = _parts(sizes, None)
+    return toxic >= MIN_DOCS // 2
+
+
+def severity_column(model: SeverityModel, text: Column) -> Column:
+    """severity (expected grade), grade (likeliest), toxic and hits of a text, as a struct."""
+
+    @F.arrow_udf(_SCORE)
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        counts = Counts(set(model.weights))
+        kinds = [pa.float64(), pa.int32(), pa.bool_(), pa.int64()]
+        for batch in texts:
+            made = []
+            for text in batch:
+                found = counts.of(text.as_py())
+                severity, grade = model.severity(found)
+                made.append((severity, grade, severity >= model.cut, sum(n for f, n in found.items() if f != LENGTH)))
+            columns = [pa.array(c, k) for c, k in zip(zip(*made) if made else [[]] * 4, kinds)]
+            yield pa.StructArray.from_arrays(columns, _SCORE.fieldNames())
+
+    return score(text)
+
+
+def score_severity(docs: DataFrame, model: SeverityModel) -> DataFrame:
     """One row per row of docs: doc_id, severity (expected grade), grade (likeliest), toxic, hits.
 
-    hits counts the known features in the whole text.  keep: return the columns of docs instead, and toxic behind them
-    (docs then has no toxic of its own).  Null and empty texts have the severity of no features; other columns are
-    ignored; an empty table gives no rows.
+    hits counts the known features in the whole text.  Null and empty texts have the severity of no features; other columns
+    are ignored; an empty table gives no rows.
     """
-    small_arrow_batches(docs.sparkSession)
-    rows = docs.select(
-        docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).alias("text"), *([F.struct(*docs.columns).alias("row")] if keep else [])
-    )
-    out = _ROW
-    if keep:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        out = _ROW.append(pa.field("row", to_arrow_type(rows.schema["row"].dataType)))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple[str, ...]] = {}
-        known = model.weights
-
-        def look_up(piece: str) -> tuple[str, ...]:
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            cache[piece] = found = tuple(f for f in features(piece) if f in known)
-            return found
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), severity_column(model, whole_text(docs)).alias("s"))
+    return rows.select("doc_id", "s.*")
 
-        for batch in batches:
-            made = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                hits: Counter[str] = Counter()
-                for piece, n in Counter(text.as_py().split()).items():
-                    found = cache.get(piece)
-                    for f in look_up(piece) if found is None else found:
-                        hits[f] += n
-                severity, grade = model.severity(hits)
-                made.append((doc_id, severity, grade, severity >= model.cut, sum(hits.values())))
-            columns = [pa.array(c, f.type) for c, f in zip(zip(*made) if made else [[]] * len(_ROW), _ROW)]
-            yield pa.RecordBatch.from_arrays([*columns, *([batch.column(2)] if keep else [])], names=out.names)
-
-    sql = _ROW_SQL + (f", row {rows.schema['row'].dataType.simpleString()}" if keep else "")
-    scored = rows.mapInArrow(score, sql)
-    return scored.select("row.*", F.col("toxic")) if keep else scored
+
+def drop_toxic(docs: DataFrame, model: SeverityModel) -> DataFrame:
+    """The rows of docs that the model does not rate toxic, with all their columns; repeated rows are rated alike."""
+    rows = docs.select(whole_row(docs).alias("row"), severity_column(model, whole_text(docs)).alias("s"))
+    return rows.where(~F.col("s.toxic")).select("row.*")
