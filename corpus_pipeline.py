@@ -2,47 +2,44 @@
 
 toxicity (documents rated toxic go), exact dedup, n-gram Jaccard join (one document of each group stays),
 mixing sources to target weights (documents repeat by epoch), best-fit packing.
+
+Each stage takes any columns beside doc_id, text and source, whatever their names, and all but the last return all columns as
+they were.  A null text counts as empty and a null source as a source of its own; rows with a null doc_id, or with the same
+one, are judged one by one.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vispark.llm.common import scratch
-from vispark.llm.exact_dedup import drop_exact_duplicates
-from vispark.llm.mixing import mixed_documents
-from vispark.llm.ngram_join import near_duplicates
-from vispark.llm.packing import pack_documents
-from vispark.llm.toxicity import fit_severity, score_severity
+from vispark.llm import exact_dedup, mixing, ngram_join, packing, toxicity
+from vispark.llm.common import delete_path, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the severity model, fitted on this corpus's labels, does not rate toxic."""
-    model = fit_severity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_severity(docs, model, keep=True).where("not toxic").select(*docs.columns)
+    """Documents that the severity model, fitted on this corpus's labels, does not rate toxic; empty texts stay."""
+    model = toxicity.fit_severity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the one with the smallest doc_id."""
-    return drop_exact_duplicates(docs)
+    """One document of each group of equal texts: the one with the smallest doc_id; null and empty texts are equal."""
+    return exact_dedup.drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the one that names it."""
-    classes = near_duplicates(docs)
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    rows = docs.join(gone, "doc_id", "left_anti") if "doc_id" in docs.columns else docs
-    return rows.select(*docs.columns)
+    """One document of each component of near duplicates: the one that names it; documents without words all stay."""
+    return ngram_join.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return mixed_documents(docs)
+    return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 1024 ids."""
-    return pack_documents(docs, length=1024, end_id=2)
+    """Pieces of documents in sequences of at most 1024 ids; a document that the mix repeats is packed as often."""
+    return packing.pack_documents(docs, length=1024, end_id=2)
 
 
 STAGES = [
@@ -59,9 +56,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = scratch(spark, f"pipeline_{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last is not None:
+            delete_path(spark, last)
+        last = path
     return docs

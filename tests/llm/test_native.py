@@ -41,6 +41,33 @@ def test_dropping_keeps_columns_and_empty_tables(spark):
     assert exact_duplicates(docs.limit(0)).count() == 0
 
 
+CLASHES = ("row", "_k0", "_k1", "_k2", "_kept", "_n", "_id", "_hash", "_sha", "_times", "_epoch", "_more", "toxic", "kept", "name", "key", "first", "n", "skey", "size", "part", "target", "a.b")
+
+
+def test_dropping_and_mixing_take_clashing_columns(spark):
+    docs = _docs(spark, ROWS).withColumns({c: F.lit(i) for i, c in enumerate(CLASHES)})
+    kept = drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 6, 7]
+    mixed = mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.times for r in mix(docs).collect())
+    empty = docs.limit(0)
+    assert drop_exact_duplicates(empty).count() == mixed_documents(empty).count() == 0
+
+
+def test_mixing_takes_repeated_rows_as_often_as_counted(spark):
+    rows = [(1, "one two three", "a")] * 40 + [(None, "x y", "a")] * 7 + [(1, "one two three", "b"), (2, "w " * 90, "b"), (3, "v " * 400, "c")]
+    docs = _docs(spark, rows)
+    want = {}
+    for r in mix(docs).collect():
+        key = (r.doc_id, r.skey)
+        want[key] = want.get(key, 0) + r.times
+    got = {}
+    for r in mixed_documents(docs).collect():
+        key = (r.doc_id, "0" + r.source)
+        got[key] = got.get(key, 0) + 1
+    assert got == {k: v for k, v in want.items() if v}
+
+
 def test_chunks_make_up_the_text(spark):
     df = spark.createDataFrame([(LONG,), ("",), ("x" * 10_000,)], "t string").select("t", F.array_join(chunks(F.col("t")), "").alias("u"))
     assert all(r.t == r.u for r in df.collect())

@@ -27,3 +27,61 @@ def test_stages(spark, tmp_path):
     assert kept["ngram_jaccard_join"] == [*range(60), 202]
     assert set(kept["mixing"]) <= {*range(60), 202} and len(kept["mixing"]) > 60
     assert set(kept["packing"]) == set(kept["mixing"])
+
+
+def _run(spark, rows, columns, labels, folder):
+    import corpus_pipeline
+
+    spark.createDataFrame(rows, columns).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    now, out = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, folder).write.parquet(f"{folder}/{name}")
+        now = spark.read.parquet(f"{folder}/{name}")
+        out[name] = now.collect()
+        if name != "packing":
+            assert [f.name for f in now.schema] == [c.strip().rsplit(" ", 1)[0].strip("`") for c in columns.split(",")]
+    return out
+
+
+def test_stages_judge_rows_not_ids(spark, tmp_path):
+    """Shared and null doc_ids, repeated rows, nulls in every column and clashing names."""
+    words = lambda a, n: " ".join(f"w{a}x{i}" for i in range(n))
+    near = words(1, 40) + " more"
+    rows = [
+        (1, words(1, 40), "s"), (5, near, "s"), (5, words(7, 40), "s"), (None, words(8, 40), "s"), (None, words(8, 40) + " tail", None), (None, words(9, 40), "s"),
+        (6, words(10, 40), "s"), (6, words(10, 40), "s"), (7, None, "t"), (8, "", None), (None, None, None), (9, words(11, 30000), "s"), (10, words(11, 30000) + " x", "u"),
+    ]
+    names = ("toxic", "_id", "_hash", "_n", "row", "component_id", "kept")
+    columns = "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names)
+    out = _run(spark, [(*r, *([None] * len(names))) for r in rows], columns, [(1, 1, 0), (5, 1, 0)], str(tmp_path))
+    assert len(out["toxicity"]) == len(rows)
+    assert sorted(r.doc_id or 0 for r in out["exact_dedup"]) == [0, 0, 0, 1, 5, 5, 6, 7, 9, 10]
+    texts = lambda stage: sorted((r.doc_id or 0, (r.text or "").split(" ")[0], len(r.text or "")) for r in out[stage])
+    first = lambda a: f"w{a}x0"
+    near_kept = [(d, f) for d, f, _ in texts("ngram_jaccard_join")]
+    assert sorted(near_kept) == sorted([(1, first(1)), (5, first(7)), (0, first(8)), (0, first(9)), (6, first(10)), (7, ""), (9, first(11))])
+    assert {(r.doc_id, r.text) for r in out["mixing"]} <= {(r.doc_id, r.text) for r in out["ngram_jaccard_join"]}
+    assert len(out["packing"]) >= len(out["mixing"])
+
+
+def test_stages_take_empty_tables(spark, tmp_path):
+    out = _run(spark, [], "doc_id long, text string, source string, lang string", [], str(tmp_path))
+    assert all(not rows for rows in out.values())
+
+
+def test_run_equals_the_stages(spark, tmp_path):
+    """run() over the smallest tables: every piece of a sequence, and the rows that the stages keep."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    pieces = corpus_pipeline.run(spark, sf).collect()
+    now = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, now, sf).write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+    assert sorted(r.doc_id for r in now.collect()) == sorted(r.doc_id for r in pieces if r.piece == 0)
+    rooms = {}
+    for r in pieces:
+        rooms[r.sequence_id] = rooms.get(r.sequence_id, 0) + r.length
+    assert max(rooms.values()) <= 1024

@@ -8,14 +8,16 @@ import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from vispark.llm import license_scan as ls
+from vispark.llm import packing
 from vispark.llm.binary_output import TokenFileReader, TokenFileWriter, read_token_files, write_token_files
 from vispark.llm.boosting import BoostedTrees
 from vispark.llm.packing import best_fit, cut_document, pack_documents
 from vispark.llm.pii import find_pii, redacted
-from vispark.llm.tokens import default_vocabulary, encoder
-from vispark.llm.toxicity import features, fit_texts, score_severity
+from vispark.llm.tokens import default_vocabulary
+from vispark.llm.toxicity import drop_toxic, features, fit_severity, score_severity
 
 TEXTS = [
     (4, "The quick  brown fox,\n jumps!! it's"), (1, None), (2, ""), (9, "x " * 5000), (3, "é😀 日本 a\tb\x1cc  "), (4, "The quick  brown fox,\n jumps!! it's"),
@@ -28,19 +30,39 @@ def _docs(spark, rows):
     return spark.createDataFrame([(i, t, 0) for i, t in rows], SCHEMA)
 
 
-def test_cached_encoding_equals_plain():
-    e = encoder(default_vocabulary())
-    assert all(e.encode(t) == e.plain(t or "") for _, t in TEXTS)
+def _plain(text):
+    """Ids by the untouched tokenizer."""
+    if "tokenizer" not in _plain.__dict__:
+        from tokenizers import Tokenizer
+
+        _plain.tokenizer = Tokenizer.from_file(default_vocabulary())
+    ids = _plain.tokenizer.encode(text or "", add_special_tokens=False).ids
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def test_cached_encoding_equals_the_library(monkeypatch):
+    import random
+
+    from vispark.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 50)
+    e, rnd = tokens.CachedEncoder(default_vocabulary()), random.Random(5)
+    odd = ["hello <|endoftext|> world", "a<|endoftext|>", "<|endoftext|>", "<|endoftext", " lead", "trail ", "two  spaces", "tab\t x", "it's don't", "漢字 かな。", "²½ Ⅷ"]
+    parts = ["ab", " ", " ", " ", "3", ".", "!", "'", "\t", "\n", "é", "漢", "😀", "\x1c", "\x85", "_", "-", "²", "ǅ", "\u0301", "\u200b", "<|endoftext|>", "word", "Und"]
+    odd += ["".join(rnd.choice(parts) for _ in range(rnd.randrange(30))) for _ in range(3000)]
+    assert all(e.encode(t) == _plain(t) for t in [*odd, *(t for _, t in TEXTS)])
+    assert e.encode("hello <|endoftext|> world") == struct.pack("<4I", 31373, 220, 50256, 995)
+    assert len(e.young) <= 50 and len(e.old) <= 50
 
 
 def test_token_files_round_trip(spark, tmp_path):
-    path, e = f"file://{tmp_path}/tokens", encoder(default_vocabulary())
+    path = f"file://{tmp_path}/tokens"
     write_token_files(_docs(spark, TEXTS), path, end_id=0)
     got = sorted(read_token_files(spark, path, with_ids=True).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == [None, 1, 2, 3, 4, 4, 7, 9]
     at, text = 0, dict(TEXTS)
     for r in got:
-        ids = e.plain(text[r.doc_id] or "") + b"\0\0\0\0"
+        ids = _plain(text[r.doc_id]) + b"\0\0\0\0"
         assert (r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) == (at, len(ids) // 4, zlib.crc32(ids), ids)
         at += r.n_tokens
     assert sorted(r.doc_id for r in read_token_files(spark, path, doc_ids=[4, 9]).collect()) == [4, 4, 9]
@@ -62,8 +84,8 @@ def test_token_file_frames_are_checked():
         TokenFileReader(io.BytesIO(bytes(broken))).ids(0)
 
 
-def test_packing(spark):
-    e = encoder(default_vocabulary())
+def test_packing(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PASSED", packing.PASSED)
     docs = TEXTS + [(100 + i, "word " * (1 + 37 * i % 300)) for i in range(60)]
     rows = pack_documents(_docs(spark, docs).repartition(5), length=128, end_id=2).collect()
     bins = {}
@@ -75,9 +97,14 @@ def test_packing(spark):
             assert r.offset == at
             at += r.length
         assert at <= 128
-    want = sorted((d is not None, d or 0, k, s, n, c) for d, t in docs for k, (s, n, c) in enumerate(cut_document(e.plain(t or "") + struct.pack("<I", 2), 128)))
+    want = sorted((d is not None, d or 0, k, s, n, c) for d, t in docs for k, (s, n, c) in enumerate(cut_document(_plain(t) + struct.pack("<I", 2), 128)))
     assert sorted((r.doc_id is not None, r.doc_id or 0, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
     assert len(bins) <= 1.1 * sum(r.length for r in rows) / 128 + 1
+    halves = [(i, "word " * 69) for i in range(400)] + [(1000 + i, "word " * 30) for i in range(400)]  # two of the long ones fit in no bin
+    for few in (2, 64):
+        packing.PASSED = few
+        many = pack_documents(_docs(spark, halves).repartition(40), length=128, end_id=2).select("sequence_id").distinct().count()
+        assert many <= 405
     assert pack_documents(_docs(spark, [])).count() == 0
 
 
@@ -115,23 +142,57 @@ def test_notices_with_edits_are_found_by_seeds():
             assert label in {h[2] for h in search.find(text)}
 
 
-def test_toxicity_separates_and_handles_odd_rows(spark):
+def _severity_by_hand(model, text):
+    import math
+
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    names = words + [w[:n] + "-" for w in words for n in (4, 5, 6) if len(w) > n]
+    score = sum(w * math.log1p(len(words) if f == "#" else names.count(f)) for f, w in model.weights.items())
+    return sum(1 / (1 + math.exp(th - score)) for th in model.thresholds)
+
+
+def test_toxicity_against_plain_python(spark):
     import random
 
     rnd = random.Random(1)
-    words = lambda n: [f"w{rnd.randrange(50)}" for _ in range(n)]
-    rows = [(i, " ".join(words(20) + (["badword"] * (1 + i % 5) if i % 2 else [])), i % 2) for i in range(200)]
-    model = fit_texts(rows)
-    docs = _docs(spark, [(1, "w1 badword badword"), (2, "w1 w2 w3"), (3, None), (4, ""), (None, "badword " * 9)])
-    out = {r.doc_id: r for r in score_severity(docs, model).collect()}
-    assert out[1].toxic and out[None].toxic and not (out[2].toxic or out[3].toxic or out[4].toxic)
-    assert out[None].severity >= out[1].severity > out[2].severity == out[3].severity
+    words = lambda n: [f"w{rnd.choice('abcdefgh')}{rnd.choice('xyz')}" for _ in range(n)]
+    rows = [(i, " ".join(words(20) + ([f"badword{rnd.choice('abc')}"] * (1 + i % 5) if i % 2 else []))) for i in range(200)]
+    labels = [(i, 3, i % 2) for i in range(160)] + [(0, 3, 0), (161, 3, None), (None, 3, 1)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = fit_severity(_docs(spark, rows), labels)
     assert list(model.thresholds) == sorted(model.thresholds)
-    assert not score_severity(docs, fit_texts([])).where("toxic").count()
-    assert score_severity(docs, model, keep=True).columns == [*docs.columns, "toxic"]
+    held = {r.doc_id: r.toxic for r in score_severity(_docs(spark, rows[162:]), model).collect()}
+    assert held == {i: i % 2 == 1 for i in range(162, 200)}
+    odd = [(1, "wax badworda badworda"), (2, "wax wby"), (3, None), (4, ""), (None, "badwordb " * 9), (5, "BADWORDA\tbadwordc. 12 x" + " wax" * 3000), (1, "wax badworda badworda")]
+    out = score_severity(_docs(spark, odd), model).collect()
+    assert len(out) == len(odd)
+    for r in out:
+        text = next(t for i, t in odd if i == r.doc_id)
+        assert r.severity == pytest.approx(_severity_by_hand(model, text)) and r.toxic == (r.severity >= model.cut)
+    by = {r.doc_id: r for r in out}
+    assert by[1].toxic and by[None].toxic and not (by[2].toxic or by[3].toxic or by[4].toxic)
+    assert by[3].hits == by[4].hits == 0 and by[1].hits == 8
+    for nothing in (labels.limit(0), labels.where("toxic = 1")):
+        assert not score_severity(_docs(spark, odd), fit_severity(_docs(spark, rows), nothing)).where("toxic").count()
+    assert score_severity(_docs(spark, []), model).count() == 0
+    extra = _docs(spark, odd).withColumns({c: F.lit(1) for c in ("toxic", "s", "row", "severity")})
+    kept = drop_toxic(extra, model)
+    assert kept.columns == extra.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
     assert "badw-" in features("badword")
 
 
+def test_toxicity_catches_held_out_rows(spark):
+    """Recall and false alarms on labelled rows that the fit has not seen."""
+    base = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    seen = F.pmod(F.xxhash64("doc_id"), F.lit(5)) > 0
+    model = fit_severity(docs, labels.where(seen))
+    out = score_severity(docs, model).join(labels.where(~seen).select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    n = {(r.label, r.toxic): r["count"] for r in out.groupBy("label", "toxic").count().collect()}
+    assert n[1, True] / (n[1, True] + n.get((1, False), 0)) >= 0.88
+    assert n.get((0, True), 0) / n[0, False] <= 0.02
+
+
 def _base(text):
     out = []
     luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vispark.llm.common import small_arrow_batches, whole_text
+from vispark.llm.common import whole_text, write_table
 from vispark.llm.tokens import crc32, default_vocabulary, encoder
 
 SKIPPABLE, SEEK_TABLE, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -132,7 +132,6 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     """
     vocabulary = vocabulary or default_vocabulary()
     end = b"" if end_id is None else struct.pack("<I", end_id)
-    small_arrow_batches(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -159,7 +158,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered.mapInArrow(write, _MANIFEST).write.parquet(f"{path}/manifest")
+    write_table(ordered.mapInArrow(write, _MANIFEST), f"{path}/manifest")
 
 
 def read_token_files(

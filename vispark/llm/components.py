@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vispark.llm.common import staged
+from vispark.llm.common import release, staged
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if before[0] == 0:
             break
-        now = staged(_stars(_stars(now, True), False), "edges")
+        last, now = now, staged(_stars(_stars(now, True), False), "edges")
+        release(last)
         after = mark(now)
         if after == before:
             return now

@@ -2,7 +2,7 @@
 
 Each text is cut where its own content says so, each chunk is named by its SHA-256, and a
 document becomes the ordered list of its chunks' names: its recipe.  A name counts only
-once it is verified: all chunks that bear it are compared byte by byte, and each distinct chunk
+once it is verified: all chunks that bear it are compared byte by byte, for which each distinct chunk
 moves once for each task that holds it.  After that no text moves any more; equal recipes
 are equal texts.
 """
@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vispark.llm.common import SPACES, staged, whole_text
+from vispark.llm.common import SPACES, keep_marked, staged, whole_text
 
 MIN_CHUNK, MAX_CHUNK = 384, 4096
 #: A cut falls behind the blank in these surroundings, once a chunk is long enough.
@@ -52,11 +52,9 @@ def exact_duplicates(docs: DataFrame, name: Callable[[Column], Column] = sha256_
         ),
         "recipes",
     )
-    named = cut.select(F.explode("chunks").alias("chunk")).select(name(F.col("chunk")).alias("name"), "chunk")
-    clashes = staged(
-        named.groupBy("name").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).where("a <> b").select("name"),
-        "clashes",
-    )
+    distinct = cut.select(F.explode("chunks").alias("chunk")).distinct()
+    named = distinct.select(name(F.col("chunk")).alias("name"))
+    clashes = staged(named.groupBy("name").agg(F.count("*").alias("texts")).where("texts > 1").select("name"), "clashes")
     if clashes.isEmpty():
         recipes = recipes.withColumn("whole", F.lit(None).cast("string"))
     else:
@@ -84,8 +82,5 @@ def exact_duplicates(docs: DataFrame, name: Callable[[Column], Column] = sha256_
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_duplicates keeps, with all their columns; of repeated rows, one stays."""
-    mark = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-")).alias("_id")
-    kept = exact_duplicates(docs).where("kept").select(mark("doc_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(F.regexp_replace(whole_text(docs), SPACES, " "), 256).alias("_sha")
-    rows = docs.select("*", mark("doc_id"), sha).join(kept, ["_id", "_sha"], "left_semi")
-    return rows.dropDuplicates(["_id", "_sha"]).select(*[rows[c] for c in docs.columns])
+    marks = exact_duplicates(docs).select("doc_id", F.col("text_sha256").alias("text_key"), "kept")
+    return keep_marked(docs, marks, F.sha2(F.regexp_replace(whole_text(docs), SPACES, " "), 256))

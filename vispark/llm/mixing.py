@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vispark.llm.common import WORDS, staged, whole_text
+from vispark.llm.common import WORDS, maybe_broadcast, staged, whole_row, whole_text
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -41,12 +41,17 @@ def uniform(seed: int, *columns: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
 
 
+def source_key(docs: DataFrame) -> Column:
+    """Sources in code-point order, null last."""
+    return F.coalesce(F.concat(F.lit("0"), docs["source"].cast("string")), F.lit("1"))
+
+
 def source_targets(sizes: DataFrame, share: float, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
     """skey, source_size -> skey, source_size, target: budgets by weight, stopped at max_epochs times the size.
 
     The excess of the stopped sources is shared anew by weight until none is above.  As shares only grow,
-    the stopped ones are those with the smallest ratio of limit to weight, so one sorted pass finds them.  One row for each
-    source: a table as long as the list of sources, not as the corpus.
+    the stopped ones are those with the smallest ratio of limit to weight, so one sorted pass finds them.  One task makes it, over
+    one row for each source: fit for some millions of sources, whatever the size of the corpus.
     """
     rank = F.row_number().over(Window.orderBy("skey")) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
@@ -80,7 +85,7 @@ def mix(
     max_epochs: int = MAX_EPOCHS,
     seed: int = 17,
 ) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken, times, text_hash.
+    """One row per row of docs: doc_id, size, source_size, target, taken, times, text_hash, skey.
 
     size counts the words of the whole text (null: 0).  times is the number of the
     source's complete epochs, plus one for the documents that the fractional draw selects: those with the smallest keys,
@@ -88,8 +93,7 @@ def mix(
     a source of its own and the last.  Ties of the key break by doc_id and text hash; repeated rows count as separate
     documents.  Other columns are ignored; an empty table gives no rows.
     """
-    skey = F.coalesce(F.concat(F.lit("0"), docs["source"].cast("string")), F.lit("1"))
-    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), skey.alias("skey"), whole_text(docs).alias("text"))
+    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), source_key(docs).alias("skey"), whole_text(docs).alias("text"))
     draw = -F.log(uniform(seed, F.col("doc_id"), F.col("skey"), F.col("size"))) / quality_weight(F.col("text"))
     sized = base.withColumn("size", n_words(F.col("text")))
     sized = sized.select("doc_id", "skey", "size", draw.alias("key"), F.xxhash64("text").alias("text_hash"))
@@ -124,16 +128,32 @@ def mix(
             (F.col("times") * F.col("size")).cast("long").alias("taken"),
             "times",
             "text_hash",
+            "skey",
         )
     )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with all their columns."""
-    mark = lambda c: F.coalesce(c.cast("string"), F.lit("-")).alias("_id")
-    tell = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_id")).alias("_n")
-    times = mix(docs, **options).select(mark(F.col("doc_id")), F.col("text_hash").alias("_hash"), F.col("times").alias("_times"))
-    times = times.select("*", tell)
-    rows = docs.select("*", mark(docs["doc_id"]), F.xxhash64(whole_text(docs)).alias("_hash")).select("*", tell)
-    rows = rows.join(times, ["_id", "_hash", "_n"]).where("_times > 0")
-    return rows.withColumn("_epoch", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    """The rows of docs, each as often as the mix takes it, with all their columns.
+
+    Rows are told apart by doc_id (null is one of its own), source and text.  Of repeated rows some may be taken once
+    more than the others; which ones, a fixed order of their other columns decides.  The documents
+    move only where the table of their counts is too long for a broadcast.
+    """
+    keys = ["_k0", "_k1", "_k2", "_k3"]
+    times = mix(docs, **options).groupBy(
+        F.col("doc_id").isNull().alias("_k0"), F.coalesce("doc_id", F.lit(0)).alias("_k1"), F.col("text_hash").alias("_k2"), F.col("skey").alias("_k3")
+    )
+    per = staged(times.agg(F.count("*").alias("_n"), F.sum("times").alias("_total"), F.min("times").alias("_times")).where("_total > 0"), "mix_times")
+    id_ = docs["doc_id"].cast("long")
+    rows = docs.select(
+        whole_row(docs).alias("row"), id_.isNull().alias("_k0"), F.coalesce(id_, F.lit(0)).alias("_k1"), F.xxhash64(whole_text(docs)).alias("_k2"), source_key(docs).alias("_k3")
+    )
+    even, uneven = per.where("_total = _n * _times"), per.where("_total > _n * _times")
+    taken = rows.join(maybe_broadcast(even.select(*keys, "_times")), keys).select("row", "_times")
+    if not uneven.isEmpty():
+        some = rows.join(maybe_broadcast(uneven.withColumn("_more", F.col("_total") - F.col("_n") * F.col("_times"))), keys)
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.to_json("row")))
+        some = some.withColumn("_rank", rank).select("row", (F.col("_times") + (F.col("_rank") <= F.col("_more")).cast("int")).alias("_times"))
+        taken = taken.unionByName(some.where("_times > 0"))
+    return taken.withColumn("_epoch", F.explode(F.sequence(F.lit(1), "_times"))).select("row.*")

@@ -5,10 +5,10 @@ Full bins are finished; the underfull ones go on as items of their own, from six
 are packed best-fit again, until one part is left.  A bin carries its pieces (never more than its length), so no join
 puts them together at the end.
 
-After a best-fit pass no two underfull bins fit together, so at most one is half empty.  In all later rounds a part meets at
-most one such bin from each other part; it therefore passes on only as many of its other bins, the emptiest, as
-there are parts, and the rest is finished: no partner can exist for them.  What reaches one task is bounded
-by the number of parts, not of documents.
+After a best-fit pass no two underfull bins of a part fit together, so at most one is filled up to the half.  Where sixteen
+parts meet, sixteen such bins are all that can be put into others, and no more than sixteen others can take them in; the
+emptiest can do so if any can.  So a part passes on its PASSED emptiest bins and the rest is finished: what reaches
+one task are sixteen times PASSED bins, however many documents or parts there are.
 """
 
 from __future__ import annotations
@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vispark.llm.common import scratch, small_arrow_batches, whole_text
+from vispark.llm.common import scratch, whole_text, write_table
 from vispark.llm.tokens import crc32, default_vocabulary, encoder
 
 #: Parts packed together in a round.
 FAN_IN = 16
+#: Underfull bins that a part passes on, the emptiest: four times as many as its round could fill.
+PASSED = 4 * FAN_IN
 #: Items that a partition packs at once.
-BLOCK = 200_000
+BLOCK = 100_000
 
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _BIN = pa.schema([("bin", pa.int64()), ("part", pa.int64()), ("fill", pa.int32()), ("done", pa.bool_()), ("pieces", pa.list_(_PIECE))])
@@ -68,15 +70,15 @@ def cut_document(ids: bytes, size: int) -> list[tuple[int, int, int]]:
 
 
 def _repacked(
-    items: list[tuple[int, list]], size: int, near: int, part: int, to: int, serial: int, parts: int | None = None
+    items: list[tuple[int, list]], size: int, near: int, part: int, to: int, serial: int, passed: int | None = PASSED
 ) -> Iterator[tuple]:
     """Rows of _BIN from items (fill, pieces): finished bins, and those that go on to part `to`.
 
-    parts: how many parts this round has, where that is known; 1: nothing goes on.
+    passed: so many of the underfull bins go on, the emptiest; None: all.
     """
     bins = [(sum(items[i][0] for i in b), [p for i in b for p in items[i][1]]) for b in best_fit([f for f, _ in items], size)]
     open_bins = sorted((b for b in bins if b[0] < near), key=lambda b: b[0])
-    going = open_bins if parts is None else [] if parts == 1 else open_bins[:parts]
+    going = open_bins[:passed]
     for done, some in ((True, [b for b in bins if b[0] >= near]), (True, open_bins[len(going) :]), (False, going)):
         for fill, pieces in some:
             yield (part << 32) + serial, to, fill, done, pieces
@@ -106,7 +108,6 @@ def pack_documents(
     """
     spark, vocabulary = docs.sparkSession, vocabulary or default_vocabulary()
     end, near = struct.pack("<I", end_id), nearly_full or length - length // 64
-    small_arrow_batches(spark)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).alias("text"))
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +128,7 @@ def pack_documents(
                             items.append((n, [piece]))
                 if len(items) >= limit:
                     again = []
-                    for row in _repacked(items, length, near, part, part, serial):
+                    for row in _repacked(items, length, near, part, part, serial, None):
                         if row[3]:
                             yield row
                         else:
@@ -138,24 +139,22 @@ def pack_documents(
 
         return _batches(bins())
 
-    def later_round(n_parts: int, round_no: int):
+    def later_round(last: bool, round_no: int):
         def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             part = key[0].as_py()
             items = [(r["fill"], [tuple(p.values()) for p in r["pieces"]]) for r in table.sort_by("bin").to_pylist()]
-            made = list(_repacked(items, length, near, part + (round_no << 24), part // FAN_IN, 0, n_parts))
+            made = list(_repacked(items, length, near, part + (round_no << 24), part // FAN_IN, 0, 0 if last else PASSED))
             return pa.Table.from_batches(_batches(iter(made)), _BIN)
 
         return merge
 
     path = scratch(spark, "packing")
-    rows.mapInArrow(first_round, _BIN_SQL).write.parquet(f"{path}/0")
-    made = [spark.read.schema(_BIN_SQL).parquet(f"{path}/0")]
+    made = [write_table(rows.mapInArrow(first_round, _BIN_SQL), f"{path}/0")]
     round_no, parts = 0, (made[0].agg(F.max("part")).first()[0] or 0) + 1
     while True:
         round_no += 1
-        going = made[-1].where("not done").groupBy("part").applyInArrow(later_round(parts, round_no), _BIN_SQL)
-        going.write.parquet(f"{path}/{round_no}")
-        made.append(spark.read.schema(_BIN_SQL).parquet(f"{path}/{round_no}"))
+        going = made[-1].where("not done").groupBy("part").applyInArrow(later_round(parts == 1, round_no), _BIN_SQL)
+        made.append(write_table(going, f"{path}/{round_no}"))
         if parts == 1:
             break
         parts = -(-parts // FAN_IN)
