@@ -4,11 +4,13 @@ Texts are lower-cased (A-Z) and taken as words.  Phrases are looked up word by w
 with a bounded number of edits, over the words joined by single blanks: a notice that may have k edits
 is split into k + 2 pieces, of which two at least must then occur unchanged and about as far from each other as in the
 notice.  An Aho-Corasick automaton finds all pieces in one pass; only where two of them agree does
-the regex library verify, by bounded-error matching, and give the span and its edits.
+the regex library verify, by bounded-error matching, and give the span and its edits.  A notice's telling words must be unchanged
+within the match: an edit must not turn one licence into another.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections.abc import Iterator
 
@@ -18,24 +20,26 @@ from pyspark.sql import DataFrame
 from vispark.llm.common import whole_text
 
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+#: label, notice, and the words that alone tell it from notices of other licences: these must stand as they are.
 NOTICES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("mit", "released under the mit license"),
-    ("mit", "licensed under the mit license"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license"),
-    ("gpl", "licensed under the gnu general public license version"),
-    ("gpl", "this program is free software you can redistribute it and or modify"),
-    ("lgpl", "under the terms of the gnu lesser general public license"),
-    ("agpl", "under the terms of the gnu affero general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose"),
-    ("cc-by", "licensed under a creative commons attribution license"),
-    ("cc-by", "licensed under cc by 4 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ""),
+    ("mit", "released under the mit license", "mit"),
+    ("mit", "licensed under the mit license", "mit"),
+    ("apache", "licensed under the apache license version 2 0", "apache"),
+    ("apache", "you may not use this file except in compliance with the license", ""),
+    ("gpl", "licensed under the gnu general public license version", "gnu general"),
+    ("gpl", "this program is free software you can redistribute it and or modify", ""),
+    ("lgpl", "under the terms of the gnu lesser general public license", "lesser"),
+    ("agpl", "under the terms of the gnu affero general public license", "affero"),
+    ("gpl", "under the terms of the gnu general public license", "gnu general"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ""),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license", "mozilla"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose", ""),
+    ("cc-by", "licensed under a creative commons attribution license", "attribution license"),
+    ("cc-by", "licensed under cc by 4 0", "cc by 4"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc 4"),
+    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa 4"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ""),
 )
 #: A notice may have one edit for so many characters.
 CHARS_PER_EDIT = 12
@@ -74,11 +78,12 @@ def pieces(notice: str, edits: int) -> list[tuple[int, str]]:
 class NoticeSearch:
     """Finds all notices in a text of words joined by single blanks."""
 
-    def __init__(self, notices: tuple[tuple[str, str], ...] = NOTICES):
+    def __init__(self, notices: tuple[tuple[str, str, str], ...] = NOTICES):
         import ahocorasick
         import regex
 
-        self.notices = [(label, text, len(text) // CHARS_PER_EDIT) for label, text in notices]
+        self.notices = [(label, text, len(text) // CHARS_PER_EDIT) for label, text, _ in notices]
+        self.telling = [f" {words} " if words else "" for *_, words in notices]
         self.verify = [regex.compile(f"(?b)(?:{regex.escape(t)}){{e<={k}}}") for _, t, k in self.notices]
         owners: dict[str, list[tuple[int, int]]] = {}
         for i, (_, text, k) in enumerate(self.notices):
@@ -90,7 +95,10 @@ class NoticeSearch:
         self.seeds.make_automaton()
 
     def find(self, text: str) -> list[tuple[int, int, str, int]]:
-        """(start, end, label, edits) in characters of text, ordered; the best match of each place and notice."""
+        """(start, end, label, edits) in characters of text, ordered; of overlapping notices the one with the fewest edits.
+
+        Edits may fall anywhere but into a notice's telling words.
+        """
         begins: dict[int, list[int]] = {}
         for end, (n, own) in self.seeds.iter(text):
             for i, at in own:
@@ -106,9 +114,15 @@ class NoticeSearch:
                 low = max(0, a - k)
                 match = self.verify[i].search(text, low, min(len(text), b + len(notice) + k))
                 if match:
-                    found.add((match.start(), match.end(), label, sum(match.fuzzy_counts)))
+                    if self.telling[i] in f" {match[0]} ":
+                        found.add((match.start(), match.end(), label, sum(match.fuzzy_counts)))
                     done = match.end() - len(notice) + k
-        return sorted(found)
+        kept: list[tuple[int, int, str, int]] = []
+        for hit in sorted(found, key=lambda h: (h[3], h[0] - h[1], h)):
+            at = bisect.bisect(kept, hit)
+            if (not at or kept[at - 1][1] <= hit[0]) and (at == len(kept) or hit[1] <= kept[at][0]):
+                kept.insert(at, hit)
+        return kept
 
 
 @functools.cache
