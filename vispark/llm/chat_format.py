@@ -20,7 +20,11 @@ LEARNED = "assistant"
 
 
 def numbered(turns: DataFrame) -> DataFrame:
-    """pair_id, turn, role, text -> pair_id, pos from 0, role, text; ties and nulls of turn have a fixed order."""
+    """pair_id, turn, role, text -> pair_id, pos from 0, role, text; ties and nulls of turn have a fixed order.
+
+    A conversation is ordered by one task, as one row has to hold it in the end; that goes for the rows without a pair_id, too,
+    which are one conversation.
+    """
     role = F.coalesce(turns["role"].cast("string"), F.lit(""))
     rows = turns.select(turns["pair_id"].alias("pair_id"), turns["turn"].alias("turn"), role.alias("role"), whole_text(turns).alias("text"))
     order = Window.partitionBy("pair_id").orderBy("turn", "role", "text")
