@@ -21,7 +21,9 @@ INITIAL_TAGS = {
 }
 FINAL_TAGS = {"N_NG": ("n", "ng"), "NG_N": ("ng", "n"), "C_T": ("c", "t"), "T_C": ("t", "c")}
 TAGS = ("KEEP", *TONE_TAGS, *INITIAL_TAGS, *FINAL_TAGS)
-INITIALS = ("ngh", "ng", "nh", "ch", "gh", "gi", "kh", "ph", "th", "tr", "qu", *"bcdđghklmnprstvx")
+INITIALS = (
+    "ngh", "ng", "nh", "ch", "gh", "gi", "kh", "ph", "th", "tr", "qu", "b", "c", "d", "đ", "g", "h", "k", "l", "m", "n", "p", "r", "s", "t", "v", "x",
+)
 FINALS = ("nh", "ng", "ch", "c", "m", "n", "p", "t")
 
 

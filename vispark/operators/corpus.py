@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vispark.functions.alphabet import TONE_TAGS
-from vispark.functions.syllable import candidate_rows, tone
-from vispark.functions.text import first_byte, token_spans, unit_hash
+from vispark.functions.syllable import apply_tag, candidate_rows, tone
+from vispark.functions.text import first_byte, token_spans, tokens, unit_hash
 
 _HOI_NGA = [k for k, t in enumerate(TONE_TAGS) if t in ("TONE_HOI", "TONE_NGA")]
 
@@ -125,7 +125,7 @@ def corrupt(tokens: DataFrame, options: DataFrame, rate: float = 0.1, most: int
 def class_weights(pairs: DataFrame) -> DataFrame:
     """pairs (class) -> class, n, weight: shares of the classes, to four places."""
     counts = pairs.groupBy("class").agg(F.count("*").alias("n"))
-    return counts.withColumn("weight", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
+    return counts.withColumn("weight", F.bround(F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
 
 
 def propensity(pairs: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def propensity(pairs: DataFrame) -> DataFrame:
     per = pairs.groupBy(F.col("want").alias("word")).agg(F.count("*").alias("n"), F.count_if(error).alias("errors"))
     base = per.agg((F.sum("errors") / F.sum("n")).alias("base"))
     rate = (F.col("errors") + 3 * F.col("base")) / (F.col("n") + 3) / F.col("base")
-    return per.crossJoin(F.broadcast(base)).where("base > 0").select("word", "n", "errors", F.round(F.least(F.greatest(rate, F.lit(0.2)), F.lit(20.0)), 6).alias("factor"))
+    return per.crossJoin(F.broadcast(base)).where("base > 0").select("word", "n", "errors", F.bround(F.least(F.greatest(rate, F.lit(0.2)), F.lit(20.0)), 6).alias("factor"))
 
 
 def balanced(cases: DataFrame, per_word: int = 3, per_tag: int = 120, seed: int = 5) -> DataFrame:
@@ -145,6 +145,36 @@ def balanced(cases: DataFrame, per_word: int = 3, per_tag: int = 120, seed: int
     return rows.withColumn("_n", F.row_number().over(by("tag"))).where(F.col("_n") <= per_tag).drop("_u", "_n")
 
 
+def unbroken(tokens_: Column, tags: Column) -> Column:
+    """The correct tokens of a sample: each tag applied to its token, in parallel."""
+    from vispark.functions.alphabet import TAGS
+
+    def one(t: Column, tag: Column) -> Column:
+        out = t
+        for name in TAGS[1:]:
+            out = F.when(tag == name, apply_tag(name, t)).otherwise(out)
+        return out
+
+    return F.zip_with(tokens_, tags, one)
+
+
+def fits_training(sentence: Column) -> Column:
+    """Whether a sentence has 5 to 64 tokens."""
+    return F.size(tokens(sentence)).between(5, 64)
+
+
+def out_of_lexicon(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Tokens that the lexicon lacks."""
+    return rows.join(known.select(F.col("word").alias("_known")), F.col("lower") == F.col("_known"), "left_anti")
+
+
+def centred(plans: DataFrame, key: str = "key") -> DataFrame:
+    """key, plan -> key, word, run: for each word, the window in which it is farthest from an edge; of equals the first."""
+    wide = plans.select(key, F.posexplode("plan").alias("run", "w")).select(key, "run", "w.from", "w.to", F.explode(F.expr("sequence(w.from, w.to - 1)")).alias("word"))
+    depth = F.least(F.col("word") - F.col("from"), F.col("to") - 1 - F.col("word"))
+    return wide.groupBy(key, "word").agg(F.min_by("run", F.struct(-depth, F.col("run"))).alias("run"))
+
+
 def run_plan(rows: DataFrame, size: int = 64, stride: int = 32, budget: int = 94) -> DataFrame:
     """rows with plan, an array of (from, to) word windows over counts, the words' pieces: one if all fit, else size by stride.
 

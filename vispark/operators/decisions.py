@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vispark.functions.alphabet import FINAL_TAGS, INITIAL_TAGS
+from vispark.functions.text import apart
 
 THRESHOLD, CONSONANT_THRESHOLD, MARGIN = 0.95, 0.90, 0.25
 
@@ -13,9 +14,9 @@ THRESHOLD, CONSONANT_THRESHOLD, MARGIN = 0.95, 0.90, 0.25
 def softmax(rows: DataFrame, logits: str = "logits") -> DataFrame:
     """rows with prob, the softmax of an array of logits, the largest subtracted first."""
     top = rows.withColumn("_top", F.array_max(logits))
-    top = top.withColumn("_e", F.transform(logits, lambda x: F.exp(x - F.col("_top"))))
-    top = top.withColumn("_sum", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
-    return top.withColumn("prob", F.transform("_e", lambda x: x / F.col("_sum"))).drop("_top", "_e", "_sum")
+    rows = apart(top, _e=F.transform(logits, lambda x: F.exp(x - F.col("_top"))))
+    rows = apart(rows, _sum=F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
+    return rows.withColumn("prob", F.transform("_e", lambda x: x / F.col("_sum"))).drop("_top", "_e", "_sum")
 
 
 def gate(rows: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, consonant: float | None = CONSONANT_THRESHOLD) -> DataFrame:
@@ -24,19 +25,15 @@ def gate(rows: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN,
     The strongest tag but KEEP, of equals the first, is chosen; only then its own threshold is looked up.  Below it, or
     less than the margin above KEEP, the decision is KEEP.
     """
-    scored = softmax(rows).withColumn("_all", F.arrays_zip("tags", "prob"))
-    keep = F.filter("_all", lambda x: x["tags"] == "KEEP")
-    others = F.filter("_all", lambda x: x["tags"] != "KEEP")
-    best = F.aggregate(
-        others,
-        F.struct(F.lit(None).cast("string").alias("tags"), F.lit(0.0).alias("prob")),
-        lambda a, x: F.when(x["prob"] > a["prob"], F.struct(x["tags"].alias("tags"), x["prob"].alias("prob"))).otherwise(a),
-    )
-    out = scored.withColumn("_best", best).withColumn("keep_p", F.coalesce(F.try_element_at(keep, F.lit(1))["prob"], F.lit(0.0)))
-    out = out.withColumn("best", F.col("_best.tags")).withColumn("best_p", F.col("_best.prob"))
+    scored = softmax(rows)
+    keep = F.array_position("tags", F.lit("KEEP")).cast("int")
+    others = F.zip_with("tags", "prob", lambda t, p: F.when(t != "KEEP", p))
+    out = apart(scored, keep_p=F.coalesce(F.get("prob", keep - 1), F.lit(0.0)), best_p=F.coalesce(F.array_max(others), F.lit(0.0)))
+    place = F.array_position(F.zip_with("tags", "prob", lambda t, p: F.when(t != "KEEP", p)), F.col("best_p")).cast("int")
+    out = apart(out, best=F.when(F.col("best_p") > 0, F.get("tags", place - 1)))
     bar = F.lit(threshold) if consonant is None else F.when(F.col("best").isin(*INITIAL_TAGS, *FINAL_TAGS), consonant).otherwise(threshold)
     fires = F.col("best").isNotNull() & (F.col("best_p") >= bar) & (F.col("best_p") - F.col("keep_p") >= margin)
-    return out.withColumn("decision", F.when(fires, F.col("best")).otherwise("KEEP")).drop("_all", "_best")
+    return out.withColumn("decision", F.when(fires, F.col("best")).otherwise("KEEP"))
 
 
 def gate_argmax(rows: DataFrame) -> DataFrame:

@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: SQL: of an array `all` of (by, it), ordered, those whose issue starts where the last kept one has ended.
+KEPT = (
+    "aggregate(all, named_struct('last', -1, 'out', slice(all, 1, 0)), (a, x) -> CASE WHEN x.it.start >= a.last "
+    "THEN named_struct('last', x.it.end, 'out', array_append(a.out, x)) ELSE a END, a -> a.out)"
+)
+
+
 def dedupe_issues(issues: DataFrame) -> DataFrame:
     """Keeps, from the left, each issue that starts where the last kept one has ended.
 
@@ -15,21 +22,18 @@ def dedupe_issues(issues: DataFrame) -> DataFrame:
     columns = [c for c in issues.columns if c != "doc_id"]
     order = F.struct("start", (-F.col("end")).alias("short"), (-F.col("confidence")).alias("doubt"), "source", "suggestion")
     rows = issues.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("by"), F.struct(*columns).alias("it")))).alias("all"))
-    kept = F.expr(
-        "aggregate(all, named_struct('last', -1, 'out', slice(all, 1, 0)), (a, x) -> CASE WHEN x.it.start >= a.last "
-        "THEN named_struct('last', x.it.end, 'out', array_append(a.out, x)) ELSE a END, a -> a.out)"
-    )
-    return rows.select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.it.*").select(*issues.columns)
+    return rows.select("doc_id", F.explode(F.expr(KEPT)).alias("x")).select("doc_id", "x.it.*").select(*issues.columns)
 
 
 def merge_rule_first(rules: DataFrame, model: DataFrame) -> DataFrame:
     """All rule issues, and the model's that overlap none of them."""
-    r = rules.select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    free = model.join(r, (model["doc_id"] == r["doc_id"]) & (model["start"] < r["r_end"]) & (r["r_start"] < model["end"]), "left_anti")
+    r = rules.select(F.col("doc_id").alias("_doc"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+    free = model.join(r, (F.col("doc_id") == F.col("_doc")) & (F.col("start") < F.col("_end")) & (F.col("_start") < F.col("end")), "left_anti")
     return rules.unionByName(free)
 
 
 def hits_in_ranges(issues: DataFrame, ranges: DataFrame) -> DataFrame:
     """Issues joined with the ranges (doc_id, begin, stop, and more) in which they start; unmatched ones stay, with nulls."""
-    inside = (issues["doc_id"] == ranges["doc_id"]) & (ranges["begin"] <= issues["start"]) & (issues["start"] < ranges["stop"])
-    return issues.join(ranges, inside, "left").drop(ranges["doc_id"])
+    r = ranges.select(F.col("doc_id").alias("_doc"), *[c for c in ranges.columns if c != "doc_id"])
+    inside = (F.col("doc_id") == F.col("_doc")) & (F.col("begin") <= F.col("start")) & (F.col("start") < F.col("stop"))
+    return issues.join(r, inside, "left").drop("_doc")

@@ -1,8 +1,4 @@
-"""The query catalogue: every registered query over the driver's tables, with its SQL where SQL can express it.
-
-No table holds Vietnamese text or model logits.  Rule queries therefore run over documents with the sentences of
-RULE_TEXTS added, and decision queries over logits that a hash makes of document and position.
-"""
+"""The query catalogue: every registered query over the driver's tables, with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
@@ -15,75 +11,19 @@ from vispark.functions import syllable as sy
 from vispark.functions import text as tx
 from vispark.functions.alphabet import strip_tone, to_ascii
 from vispark.functions.nfc import nfc
-from vispark.operators import corpus, decisions, issues, metrics, rules
+from vispark.operators import corpus, decisions, issues, metrics, reports, rules
+from vispark.plans import oracle, report_queries
+from vispark.plans.inputs import docs as _docs
+from vispark.plans.inputs import logits as _logits
+from vispark.plans.inputs import pairs as _pairs
+from vispark.plans.inputs import predicted as _predicted
+from vispark.plans.inputs import rule_docs as _rule_docs
+from vispark.plans.inputs import spans as _spans
+from vispark.plans.inputs import tokens as _tokens
+from vispark.plans.inputs import words as _words
 from vispark.sources.files import corpus_sentences, page_text
 from vispark.streaming import events as ev
 
-RULE_TEXTS = (
-    "Cả nhóm nổ lực, chia sẽ cùng nhau.",
-    "NỔ LỰC của đội, Chia sẽ",
-    "Anh ấy sữa chửa xe trong một tiếng nữa thôi",
-    "Tôi mất nữa tiếng chờ",
-    "Chúng tôi sử lý việc này; 😀 sản suất",
-    "Hôm nay trời đẹp.",
-)
-
-
-def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source")
-
-
-def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    return tx.token_rows(_docs(spark, d))
-
-
-def _words(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct lower-case words with their counts, of Latin letters only."""
-    return _tokens(spark, d).groupBy(F.col("lower").alias("word")).agg(F.count("*").alias("n"))
-
-
-def _rule_docs(spark: SparkSession, d: str) -> DataFrame:
-    extra = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(RULE_TEXTS)], "doc_id long, text string")
-    return _docs(spark, d).select("doc_id", "text").unionByName(extra)
-
-
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbouring tokens as (wrong, want) pairs: a token is an error where its hash is small."""
-    rows = _tokens(spark, d)
-    before = F.lag("lower").over(Window.partitionBy("doc_id").orderBy("pos"))
-    u = tx.unit_hash(3, F.col("doc_id"), F.col("pos"))
-    return rows.withColumn("prev", before).where("prev is not null").select(
-        "doc_id", "pos", F.when(u < 0.2, F.col("prev")).otherwise(F.col("lower")).alias("wrong"), F.col("lower").alias("want")
-    )
-
-
-def _predicted(spark: SparkSession, d: str, seed: int = 9) -> DataFrame:
-    """_pairs with got: right for most errors, and now and then a change where none is due."""
-    u = tx.unit_hash(seed, F.col("doc_id"), F.col("pos"))
-    error = F.col("wrong") != F.col("want")
-    got = F.when(error & (u < 0.6), F.col("want")).when(error & (u < 0.7), F.lit("?")).when(~error & (u < 0.01), F.lit("?"))
-    return _pairs(spark, d).withColumn("got", F.coalesce(got, F.col("wrong")))
-
-
-def _logits(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, pos, tags, logits: four tags for each fifth document's tokens' first letters, by hash."""
-    rows = _tokens(spark, d).select("doc_id", "pos")
-    names = ("KEEP", "TONE_HOI", "CH_TR", "N_NG")
-    x = [tx.unit_hash(20 + i, F.col("doc_id"), F.col("pos")) * 8.0 for i in range(len(names))]
-    return rows.select("doc_id", "pos", F.array(*[F.lit(t) for t in names]).alias("tags"), F.array(*x).alias("logits"))
-
-
-def _spans(spark: SparkSession, d: str) -> DataFrame:
-    """Issues of one to three tokens that start at hashed tokens, with a hashed confidence."""
-    u = lambda s: tx.unit_hash(s, F.col("doc_id"), F.col("pos"))
-    rows = _tokens(spark, d).where(u(40) < 0.3)
-    start, length = (F.col("pos") * 10).cast("int"), (F.floor(u(41) * 3) * 10 + 5).cast("int")
-    return rows.select(
-        "doc_id", start.alias("start"), (start + length).alias("end"), F.round(u(42), 2).alias("confidence"),
-        F.when(u(43) < 0.5, "rule").otherwise("model").alias("source"), F.col("lower").alias("suggestion"),
-    )
-
-
 def syllable_lexicon(spark, d):
     return corpus.lexicon(_tokens(spark, d), 20)
 
@@ -129,16 +69,13 @@ def tag_between_pairs(spark, d):
 
 
 def sentence_clean(spark, d):
-    # the corpora here are not Vietnamese: the share of accented words is left open
-    rows = corpus_sentences(_docs(spark, d)).where(tx.is_clean(F.col("sentence"), accented=0.0))
+    rows = corpus_sentences(_rule_docs(spark, d)).where(tx.is_clean(F.col("sentence"), min_tokens=4))
     return rows.select("sentence").distinct()
 
 
 def gap_sentences(spark, d):
-    rows = tx.token_spans(_docs(spark, d))
-    cut = (F.col("pos") > 0) & F.col("gap").rlike(r"[.!?…\n]")
-    number = F.sum(F.when(cut, 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("pos"))
-    return rows.withColumn("sent", number).groupBy("doc_id", "sent").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n_tokens"))
+    rows = tx.sentence_numbers(tx.token_spans(_docs(spark, d)))
+    return rows.groupBy("doc_id", "sent").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n_tokens"))
 
 
 def phrase_match(spark, d):
@@ -164,7 +101,8 @@ def merge_rule_first(spark, d):
 
 def interval_hit(spark, d):
     rows = _spans(spark, d)
-    ranges = _docs(spark, d).select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    last = rows.groupBy("doc_id").agg(F.floor(F.max("start") / 200).cast("int").alias("last"))
+    ranges = last.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("k"))
     ranges = ranges.select("doc_id", (F.col("k") * 200).alias("begin"), (F.col("k") * 200 + 100).alias("stop"))
     hit = issues.hits_in_ranges(rows, ranges)
     return hit.groupBy(F.coalesce("begin", F.lit(-1)).alias("begin")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
@@ -189,7 +127,7 @@ def propensity(spark, d):
 
 def oov_rate(spark, d):
     known = corpus.lexicon(_tokens(spark, d), 20)
-    missing = _tokens(spark, d).join(known, F.col("lower") == F.col("word"), "left_anti")
+    missing = corpus.out_of_lexicon(_tokens(spark, d), known)
     return missing.groupBy("doc_id").agg(F.count("*").alias("unknown"))
 
 
@@ -221,9 +159,7 @@ def confusion_scoped(spark, d):
 
 def outcome_pivot(spark, d):
     rows = metrics.outcome(_predicted(spark, d)).withColumn("letter", F.substring("want", 1, 1))
-    kinds = ("fixed", "missed", "wrong_fix", "false_alarm", "clean")  # fixed columns: a pivot and the totals in one pass
-    out = rows.rollup("letter").agg(*[F.count_if(F.col("outcome") == k).alias(k) for k in kinds])
-    return out
+    return reports.outcomes_by_group(rows, "letter").drop("n")
 
 
 def sentence_buckets(spark, d):
@@ -282,9 +218,7 @@ def run_plan_f1(spark, d):
 def centred_pick(spark, d):
     """For each word of a sentence in several windows, the one in which it is farthest from an edge; of equals the first."""
     rows = run_plan_f2(spark, d).withColumn("key", F.md5(F.concat_ws("|", "doc_id", F.to_json("counts"))))
-    wide = rows.select("key", F.posexplode("plan").alias("run", "w")).select("key", "run", "w.from", "w.to", F.explode(F.expr("sequence(w.from, w.to - 1)")).alias("word"))
-    centred = F.least(F.col("word") - F.col("from"), F.col("to") - 1 - F.col("word"))
-    return wide.groupBy("key", "word").agg(F.min_by("run", F.struct(-centred, F.col("run"))).alias("run"))
+    return corpus.centred(rows)
 
 
 def top_tags(spark, d):
@@ -332,7 +266,5 @@ QUERIES: dict[str, Callable] = {
         debounce_latest, burst_metrics, latest_wins, change_only, acceptance_ratio,
     )
 }
-
-from vispark.plans.oracle import complete  # noqa: E402
-
-ORACLE_SQL: dict[str, str] = complete()
+QUERIES |= report_queries.QUERIES
+ORACLE_SQL: dict[str, str] = oracle.complete() | report_queries.ORACLE_SQL

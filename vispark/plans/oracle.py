@@ -6,6 +6,7 @@ import unicodedata
 
 from vispark.functions.alphabet import FINALS, FLATS, INITIALS, TONED, VOWELS
 from vispark.operators.rule_tables import PAIRS, PHRASES
+from vispark.plans.rule_texts import rule_texts
 
 _PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in VOWELS)
 
@@ -13,7 +14,7 @@ _TOKENS = r"""t AS (SELECT doc_id, pos, tok, lower(tok) AS lower FROM (
     SELECT doc_id, unnest(a) AS tok, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS pos FROM (
         SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{M}]+') AS a FROM documents)))"""
 _WORDS = _TOKENS + ", w AS (SELECT lower AS word, count(*) AS n FROM t GROUP BY 1)"
-_GAPS = r"""s AS (SELECT doc_id, pos, tok, lower(tok) AS lower, gap,
+_GAPS = r"""s AS MATERIALIZED (SELECT doc_id, pos, tok, lower(tok) AS lower, gap,
     CAST(sum(length(gap) + length(tok)) OVER (PARTITION BY doc_id ORDER BY pos) AS INTEGER) AS "end" FROM (
     SELECT doc_id, unnest(a) AS tok, unnest(g[1:len(a)]) AS gap, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS pos FROM (
         SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{M}]+') AS a, regexp_split_to_array(text, '[\p{L}\p{M}]+') AS g
@@ -52,46 +53,71 @@ _TONE = f"""CASE WHEN regexp_extract(word, '[{TONED}]') <> '' THEN (instr('{TONE
 
 
 def _rule_docs() -> str:
-    from vispark.plans.catalogue import RULE_TEXTS
+    rows = ", ".join(f"({-1 - i}, {_text(t)})" for i, t in enumerate(rule_texts()))
+    return f"(SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {rows}))"
 
-    rows = " UNION ALL ".join(f"SELECT {-1 - i}, '{t}'" for i, t in enumerate(RULE_TEXTS))
-    return f"(SELECT doc_id, text FROM documents UNION ALL {rows})"
 
+def _text(t: str) -> str:
+    return "'" + t.replace("'", "''") + "'"
 
-def _phrases() -> str:
-    values = ", ".join(f"('{w}', {len(w.split(' '))}, '{r}')" for w, r, _ in PHRASES)
+
+def _phrase_hits(docs: str) -> str:
+    """CTEs with f: phrase hits that are kept."""
+    values = ", ".join(f"('{w}', {len(w.split(' '))}, '{r}', '{t}', {_text(why)})" for w, r, t, why in PHRASES)
     grams = " UNION ALL ".join(
         f"SELECT doc_id, pos, {n} AS n, {key} AS key FROM k" for n, key in ((1, "lower"), (2, "lower || ' ' || l1"), (3, "lower || ' ' || l1 || ' ' || l2"))
     )
-    return f"""WITH RECURSIVE {_GAPS % _rule_docs()},
+    return f"""{_GAPS % docs},
         k AS (SELECT doc_id, pos, lower, lead(lower, 1) OVER v AS l1, lead(lower, 2) OVER v AS l2 FROM s WINDOW v AS (PARTITION BY doc_id ORDER BY pos)),
-        r(wrong, n, "right") AS (VALUES {values}),
-        h AS (SELECT g.doc_id, g.pos, g.n, r."right", row_number() OVER (PARTITION BY doc_id ORDER BY pos, g.n DESC) AS i
+        r(wrong, n, "right", tag, why) AS (VALUES {values}),
+        h AS (SELECT g.doc_id, g.pos, g.n, r."right", r.tag, r.why, row_number() OVER (PARTITION BY doc_id ORDER BY pos, g.n DESC) AS i
               FROM ({grams}) g JOIN r ON g.key = r.wrong AND g.n = r.n),
-        f AS (SELECT doc_id, i, pos, n, "right", true AS kept, pos + n AS free FROM h WHERE i = 1
+        f AS (SELECT doc_id, i, pos, n, "right", tag, why, true AS kept, pos + n AS free FROM h WHERE i = 1
               UNION ALL
-              SELECT h.doc_id, h.i, h.pos, h.n, h."right", h.pos >= f.free, CASE WHEN h.pos >= f.free THEN h.pos + h.n ELSE f.free END
-              FROM f JOIN h ON h.doc_id = f.doc_id AND h.i = f.i + 1)
-        SELECT doc_id, pos, n, "right" FROM f WHERE kept"""
+              SELECT h.doc_id, h.i, h.pos, h.n, h."right", h.tag, h.why, h.pos >= f.free, CASE WHEN h.pos >= f.free THEN h.pos + h.n ELSE f.free END
+              FROM f JOIN h ON h.doc_id = f.doc_id AND h.i = f.i + 1)"""
 
 
-def _context() -> str:
+def _phrases() -> str:
+    return f"""WITH RECURSIVE {_phrase_hits(_rule_docs())} SELECT doc_id, pos, n, "right" FROM f WHERE kept"""
+
+
+def _context_hits() -> str:
+    """CTEs with y: the best entry of each suspicious form; they follow those of the tokens."""
     rows = []
-    for i, (_, *forms) in enumerate(PAIRS):
+    for i, (tag, *forms) in enumerate(PAIRS):
         for own, other in (forms, forms[::-1]):
-            lists = [f"[{', '.join(repr(c) for c in w.split())}]::VARCHAR[]" for w in (*own[3:], *other[3:])]
-            rows.append(f"({i}, '{own[0]}', {own[2]}, '{other[0]}', {', '.join(lists)})")
+            lists = [f"[{', '.join(repr(c) for c in w)}]::VARCHAR[]" for w in (*own[3:], *other[3:])]
+            rows.append(f"({i}, '{tag}', '{own[0]}', {_text(own[1])}, {own[2]}, '{other[0]}', {_text(other[1])}, {', '.join(lists)})")
     near = [d for d in range(-3, 4) if d]
     cols = ", ".join(f"lead(lower, {d}) OVER v AS a{d + 3}" if d > 0 else f"lag(lower, {-d}) OVER v AS a{d + 3}" for d in near)
     score = lambda b, a: " + ".join(f"CASE WHEN list_contains({b if d < 0 else a}, a{d + 3}) THEN {2 if abs(d) == 1 else 1} ELSE 0 END" for d in near)
-    return f"""WITH {_GAPS % _rule_docs()},
-        k AS (SELECT doc_id, pos, lower, {cols} FROM s WINDOW v AS (PARTITION BY doc_id ORDER BY pos)),
-        r(entry, form, strict, other, b, a, ob, oa) AS (VALUES {', '.join(rows)}),
-        x AS (SELECT doc_id, pos, entry, strict, other, {score('b', 'a')} AS own, {score('ob', 'oa')} AS rival FROM k JOIN r ON k.lower = r.form),
+    return f"""k2 AS (SELECT doc_id, pos, lower, {cols} FROM s WINDOW v AS (PARTITION BY doc_id ORDER BY pos)),
+        r2(entry, tag, form, gloss, strict, other, other_gloss, b, a, ob, oa) AS (VALUES {', '.join(rows)}),
+        x AS (SELECT doc_id, pos, lower, entry, tag, gloss, strict, other, other_gloss, {score('b', 'a')} AS own, {score('ob', 'oa')} AS rival FROM k2 JOIN r2 ON k2.lower = r2.form),
         c AS (SELECT *, CASE WHEN strict AND own > 0 THEN NULL WHEN strict THEN CASE WHEN rival > 0 THEN 0.93::DOUBLE ELSE 0.88::DOUBLE END
-              WHEN rival - own >= 4 THEN 0.90::DOUBLE WHEN rival - own >= 2 THEN 0.85::DOUBLE END AS confidence FROM x)
-        SELECT doc_id, pos, other, confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY confidence DESC, entry) AS n
-              FROM c WHERE confidence IS NOT NULL) WHERE n = 1"""
+              WHEN rival - own >= 4 THEN 0.90::DOUBLE WHEN rival - own >= 2 THEN 0.85::DOUBLE END AS confidence FROM x),
+        y AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY confidence DESC, entry) AS n
+              FROM c WHERE confidence IS NOT NULL) WHERE n = 1)"""
+
+
+def _check_text() -> str:
+    case = """CASE WHEN upper(o) = o AND lower(o) <> o THEN upper(new) WHEN substr(o, 1, 1) <> lower(substr(o, 1, 1)) THEN upper(substr(new, 1, 1)) || substr(new, 2) ELSE new END"""
+    return f"""WITH RECURSIVE d AS MATERIALIZED (SELECT * FROM {_rule_docs()}), {_phrase_hits('d')}, {_context_hits()},
+        kept AS MATERIALIZED (SELECT * FROM f WHERE kept), found AS MATERIALIZED (SELECT * FROM y), z AS (SELECT doc_id, unnest(range(pos, pos + n)) AS pos FROM kept),
+        p AS MATERIALIZED (SELECT doc_id, pos, pos + n - 1 AS last, "right" AS new, why, tag, 0.99::DOUBLE AS confidence FROM kept
+              UNION ALL
+              SELECT doc_id, pos, pos, other, '"' || other || '" — ' || other_gloss || '. "' || lower || '" — ' || gloss || '.', tag, confidence
+              FROM found ANTI JOIN z USING (doc_id, pos)),
+        w AS (SELECT p.*, unnest(range(pos, last + 1)) AS at FROM p),
+        i AS (SELECT w.doc_id, w.pos, new, w.why, w.tag, w.confidence, CAST(min(s."end" - length(s.tok)) AS INTEGER) AS start, max(s."end") AS "end",
+              string_agg(CASE WHEN s.pos > w.pos THEN gap ELSE '' END || s.tok, '' ORDER BY s.pos) AS o
+              FROM w JOIN s ON s.doc_id = w.doc_id AND s.pos = w.at GROUP BY ALL)
+        SELECT doc_id, start, "end", o AS original, {case} AS suggestion, why, tag, confidence, 'rule' AS source FROM i"""
+
+
+def _context() -> str:
+    return f"""WITH {_GAPS % _rule_docs()}, {_context_hits()} SELECT doc_id, pos, other, confidence FROM y"""
 
 
 _WEEK = "CAST(isoyear(ts) AS VARCHAR) || '-W' || lpad(CAST(weekofyear(ts) AS VARCHAR), 2, '0')"
@@ -112,9 +138,10 @@ ORACLE_SQL: dict[str, str] = {
     "gap_sentences": f"""WITH {_GAPS % "documents"}, n AS (SELECT doc_id, pos, sum(CASE WHEN pos > 0 AND regexp_matches(gap, '[.!?…\\n]') THEN 1 ELSE 0 END)
         OVER (PARTITION BY doc_id ORDER BY pos) AS sent FROM s)
         SELECT doc_id, CAST(sent AS BIGINT) AS sent, min(pos) AS first_pos, count(*) AS n_tokens FROM n GROUP BY doc_id, sent""",
-    "sentence_clean": rf"""WITH s AS (SELECT DISTINCT trim(regexp_replace(unnest({_CLEAN_CUT}), '\s+', ' ', 'g')) AS sentence FROM documents),
+    "sentence_clean": rf"""WITH s AS (SELECT DISTINCT trim(regexp_replace(unnest({_CLEAN_CUT}), '\s+', ' ', 'g')) AS sentence FROM {_rule_docs()}),
         a AS (SELECT sentence, regexp_extract_all(sentence, '[\p{{L}}\p{{M}}]+') AS k FROM s)
-        SELECT sentence FROM a WHERE length(sentence) >= 20 AND NOT regexp_matches(sentence, '[<>{{}}\[\]|=\\/@#*_~^]') AND len(k) BETWEEN 6 AND 48
+        SELECT sentence FROM a WHERE length(sentence) >= 20 AND NOT regexp_matches(sentence, '[<>{{}}\[\]|=\\/@#*_~^]') AND len(k) BETWEEN 4 AND 48
+        AND len(list_filter(k, lambda x: regexp_matches(x, '[{TONED}ăâêôơưđĂÂÊÔƠƯĐ]'))) / len(k) >= 0.60
         AND len(list_filter(k, lambda x: length(x) > 7)) / len(k) <= 0.12 AND length(regexp_replace(sentence, '[^0-9]', '', 'g')) / length(sentence) <= 0.08""",
     "dedupe_issues": f"""WITH RECURSIVE {_SPANS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, confidence DESC, source, suggestion) AS k FROM i),
         f AS (SELECT *, true AS kept, "end" AS last FROM o WHERE k = 1
@@ -122,7 +149,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, start, "end", confidence, source, suggestion FROM f WHERE kept""",
     "merge_rule_first": f"""WITH {_SPANS} SELECT * FROM i WHERE source = 'rule' UNION ALL
         SELECT * FROM i WHERE source = 'model' AND NOT EXISTS (SELECT 1 FROM i r WHERE r.source = 'rule' AND r.doc_id = i.doc_id AND i.start < r."end" AND r.start < i."end")""",
-    "interval_hit": f"""WITH {_SPANS}, r AS (SELECT doc_id, k * 200 AS begin_, k * 200 + 100 AS stop FROM documents, range(5) x(k))
+    "interval_hit": f"""WITH {_SPANS}, r AS (SELECT doc_id, k * 200 AS begin_, k * 200 + 100 AS stop FROM (SELECT doc_id, unnest(range(max(start) // 200 + 1)) AS k FROM i GROUP BY 1))
         SELECT CAST(coalesce(r.begin_, -1) AS INTEGER) AS "begin", count(*) AS n, count(DISTINCT i.doc_id) AS docs
         FROM i LEFT JOIN r ON i.doc_id = r.doc_id AND r.begin_ <= i.start AND i.start < r.stop GROUP BY 1""",
     "hash_split": f"""SELECT doc_id, CASE WHEN CAST('0x' || substr(sha256(text), 1, 2) AS INTEGER) < 128 THEN 'mine' ELSE 'eval' END AS half,
@@ -187,4 +214,4 @@ ORACLE_SQL: dict[str, str] = {
 
 
 def complete() -> dict[str, str]:
-    return ORACLE_SQL | {"phrase_match": _phrases(), "context_issues": _context()}
+    return ORACLE_SQL | {"phrase_match": _phrases(), "context_issues": _context(), "check_text": _check_text()}

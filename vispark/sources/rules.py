@@ -16,5 +16,5 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_phrases(spark: SparkSession, path: str) -> DataFrame:
-    """The phrase table: key, n (its words), right, tag from JSON lines."""
-    return spark.read.schema("key string, n int, right string, tag string").json(path)
+    """The phrase table: key, n (its words), right, tag, why from JSON lines."""
+    return spark.read.schema("key string, n int, right string, tag string, why string").json(path)
