@@ -123,7 +123,7 @@ class TokenFileReader:
         return b"".join(out)
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int | None = 0) -> None:
+def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int | None = 0, cache_words: int | None = None) -> None:
     """Encodes doc_id, text and writes token files and their manifest below path, in ascending doc_id order.
 
     Null text counts as empty and is written as the end id alone; a null doc_id comes first; rows of one doc_id follow
@@ -137,7 +137,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
         from pyarrow import fs
         from pyspark import TaskContext
 
-        enc, part, writer, stream = encoder(vocabulary), TaskContext.get().partitionId(), None, None
+        enc, part, writer, stream = encoder(vocabulary, cache_words), TaskContext.get().partitionId(), None, None
         name = f"tokens-{part:06d}-{uuid.uuid4().hex}.zst"
         for batch in batches:
             if writer is None and batch.num_rows:

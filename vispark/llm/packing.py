@@ -97,13 +97,13 @@ def _batches(rows: Iterator[tuple], n: int = 2000) -> Iterator[pa.RecordBatch]:
 
 
 def pack_documents(
-    docs: DataFrame, length: int = 1024, vocabulary: str | None = None, end_id: int = 2, nearly_full: int | None = None
+    docs: DataFrame, length: int = 1024, vocabulary: str | None = None, end_id: int = 2, nearly_full: int | None = None, cache_words: int | None = None
 ) -> DataFrame:
     """Packs doc_id, text: one row per piece with doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Each document's ids get the end id behind them; null text counts as empty and is the end id alone.  A document longer
     than length is cut into pieces of that length, its first piece taking the rest.  nearly_full:
-    fill from which a bin is finished (default: full but for 1 in 64).  Repeated rows and null doc_ids are packed like any
+    fill from which a bin is finished (default: full but for 1 in 64).  cache_words: of the encoder.  Repeated rows and null doc_ids are packed like any
     other; other columns are ignored; an empty table gives no rows.
     """
     spark, vocabulary = docs.sparkSession, vocabulary or default_vocabulary()
@@ -114,7 +114,7 @@ def pack_documents(
         from pyspark import TaskContext
 
         def bins() -> Iterator[tuple]:
-            enc, part = encoder(vocabulary), TaskContext.get().partitionId()
+            enc, part = encoder(vocabulary, cache_words), TaskContext.get().partitionId()
             items: list[tuple[int, list]] = []
             serial, limit = 0, BLOCK
             for batch in batches:

@@ -18,7 +18,8 @@ import zlib
 
 import numpy as np
 
-#: Distinct words kept per Python worker in each of two generations of the cache (some 30 MB each at most).
+#: Distinct words kept per Python worker in each of two generations of the cache, if the caller gives no number: some 30 MB each
+#: at most.  More words are faster and take memory in proportion; the ids are the same.
 CACHE_WORDS = 200_000
 #: Distinct runs of marks behind words, likewise.
 CACHE_TAILS = 20_000
@@ -46,7 +47,7 @@ def default_vocabulary() -> str:
 class CachedEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         import regex
@@ -57,9 +58,11 @@ class CachedEncoder:
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.model = self.tokenizer.model
         self.pre_tokens = regex.compile(public_tokenizers.PATTERN).findall
+        self.cache_words = cache_words or CACHE_WORDS
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
         """Ids of the text encoded in one go."""
@@ -97,7 +100,7 @@ class CachedEncoder:
             ids = self._word(word)
             if len(word) > CACHE_CHARS:
                 return ids
-        if len(self.young) >= CACHE_WORDS:
+        if len(self.young) >= self.cache_words:
             self.old, self.young = self.young, {}
         self.young[word] = ids
         return ids
@@ -112,13 +115,30 @@ class CachedEncoder:
         if words and (not head or head[-1].isspace()):
             return self._loose(text)
         ids = list(map(self.young.get, words))
-        at = -1
+        at, old = -1, self.old
         for _ in range(ids.count(None)):
             at = ids.index(None, at + 1)
-            ids[at] = self._missing(words[at])
-            if ids[at] is None:
-                return self._loose(text)
-        return self.plain(head) + b"".join(ids)
+            word = words[at]
+            known = old.get(word)
+            if known is None or len(self.young) >= self.cache_words:
+                known, old = self._missing(word), self.old
+                if known is None:
+                    return self._loose(text)
+            else:
+                self.young[word] = known
+            ids[at] = known
+        return self._head(head) + b"".join(ids)
+
+    def _head(self, word: str) -> bytes:
+        """Ids of a text's first word, which no space leads."""
+        ids = self.heads.get(word)
+        if ids is None:
+            ids = self.plain(word)
+            if len(word) <= CACHE_CHARS:
+                if len(self.heads) >= CACHE_TAILS:
+                    self.heads.clear()
+                self.heads[word] = ids
+        return ids
 
     def _loose(self, text: str) -> bytes:
         """Ids of a text with runs of white space: it is cut only where it is safe."""
@@ -133,9 +153,9 @@ class CachedEncoder:
 
 
 @functools.cache
-def encoder(path: str) -> CachedEncoder:
-    """One encoder per Python worker and vocabulary."""
-    return CachedEncoder(path)
+def encoder(path: str, cache_words: int | None = None) -> CachedEncoder:
+    """One encoder per Python worker, vocabulary and size of cache."""
+    return CachedEncoder(path, cache_words)
 
 
 def crc32(ids: bytes) -> int:
