@@ -50,7 +50,7 @@ def read_annotated(spark: SparkSession, path: str, split: str | None = None) ->
         rows = rows.where(mine_split(F.col("r.text")) == split)
     kind = "array<struct<current_syllable: string, is_correct: boolean, alternative_syllables: array<string>>>"
     rows = rows.select("r.text", F.from_json(nfc(F.to_json("r.annotations")), kind).alias("annotations"))
-    clean = lambda s: F.trim(F.lit(PUNCTUATION), s)
+    clean = lambda s: F.trim(s, F.lit(PUNCTUATION))
 
     def pair(a):
         wrong = clean(a["current_syllable"])
