@@ -88,6 +88,26 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vispark.llm.spelling import letter_runs, spelling_variants, with_slips, word_counts
+
+    runs = letter_runs(_read(spark, sf_dir, "documents"))
+    return spelling_variants(word_counts(runs.select(with_slips(runs).alias("word"))))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vispark.llm.line_dedup import drop_repeated_lines
+
+    out = drop_repeated_lines(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vispark.llm.collocations import collocations
+
+    return collocations(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -101,6 +121,9 @@ QUERIES = {
         op8_exact_dedup,
         op9_ngram_join,
         op10_chat_format,
+        op11_spelling_variants,
+        op12_line_dedup,
+        op13_collocations,
     )
 }
 
@@ -180,4 +203,58 @@ ORACLE_SQL = {
                coalesce(string_agg(CASE WHEN side = 1 AND pos >= prefix AND role = 'assistant'
                     THEN CAST(begin_ + 22 AS BIGINT) || ':' || CAST(begin_ + length(piece) - 1 AS BIGINT) END, ',' ORDER BY pos), '') AS rejected_mask
         FROM y GROUP BY pair_id""",
+    "op11_spelling_variants": r"""
+        WITH RECURSIVE t(i, c, r) AS (
+            SELECT i, i, 0 FROM range(256) x(i)
+            UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, r + 1 FROM t WHERE r < 8),
+        tab AS MATERIALIZED (SELECT list(CAST(c AS BIGINT) ORDER BY i) AS tab FROM t WHERE r = 8),
+        d AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{6,}')) AS run FROM documents),
+        k AS MATERIALIZED (
+            SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS m FROM d GROUP BY 1, 2),
+        x AS (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS bytes FROM k),
+        h AS (SELECT run, m, xor(4294967295, list_reduce(
+                list_prepend(4294967295::BIGINT, list_transform(range(length(bytes) // 2), lambda i: CAST('0x' || substr(bytes, 2 * i + 1, 2) AS BIGINT))),
+                lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1]))) AS h FROM x, tab),
+        w AS MATERIALIZED (
+            SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(m) AS BIGINT) AS n
+            FROM h GROUP BY 1 HAVING length(word) >= 6 AND sum(m) >= 5),
+        g AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM w)),
+        p AS MATERIALIZED (
+            SELECT a.word, b.word AS near, b.n AS near_n FROM g a JOIN g b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT a.word, b.word, b.n FROM g a JOIN w b ON a.rest = b.word
+            UNION SELECT b.word, a.word, a.n FROM g a JOIN w b ON a.rest = b.word),
+        b AS (SELECT word, count(*) AS n_near, max(near_n) AS best_n FROM p GROUP BY 1),
+        f AS MATERIALIZED (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * w.n THEN best_n END AS form_n,
+                   CASE WHEN best_n >= 5 * w.n THEN (SELECT min(near) FROM p WHERE p.word = w.word AND p.near_n = b.best_n) END AS form
+            FROM w LEFT JOIN b USING (word)),
+        s(word, reached, step) AS (SELECT word, word, 0 FROM f UNION ALL SELECT s.word, f.form, step + 1 FROM s JOIN f ON s.reached = f.word WHERE f.form IS NOT NULL)
+        SELECT f.word, form, r.root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(reached, step) AS root FROM s GROUP BY 1) r USING (word)""",
+    "op12_line_dedup": r"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS MATERIALIZED (
+            SELECT r, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM (SELECT r, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d)),
+        f AS (SELECT key FROM l WHERE key <> '' GROUP BY 1 HAVING count(DISTINCT r) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+               sha256(coalesce(string_agg(CASE WHEN f.key IS NULL THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
+        FROM l JOIN d USING (r) LEFT JOIN f USING (key) GROUP BY r, doc_id""",
+    "op13_collocations": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+              FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) x(k))),
+        f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY 1, 2, 3 HAVING k = 1 OR count(*) >= 100),
+        n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+        c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 100),
+        u AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+        s AS (SELECT u.lang, u.phrase, u.a, x.f AS l, y.f AS r, n.n, cut, 1000::HUGEINT * a * n.n // (x.f::HUGEINT * y.f) AS score
+              FROM u JOIN n USING (lang) JOIN f x ON x.lang = u.lang AND x.phrase = array_to_string(w[1:cut], ' ') JOIN f y ON y.lang = u.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')),
+        m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        o AS (SELECT DISTINCT lang, a, unnest([array_to_string(w[1:k - 1], ' '), array_to_string(w[2:], ' ')]) AS phrase FROM c)
+        SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM m ANTI JOIN o USING (lang, phrase, a))
+        WHERE rank <= 2000""",
 }
