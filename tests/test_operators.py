@@ -20,21 +20,6 @@ def test_confusion_counts_a_wrong_fix_twice(spark):
     assert (got.tp, got.fp, got.fn) == (1, 2, 2)
 
 
-def test_run_plan_covers_and_moves_on(spark):
-    cases = [[1] * 10, [3] * 60, [200, 1, 1, 90, 5], [], [40] * 5, [1, 2, 3] * 50]
-    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, counts array<int>")
-    for r in corpus.run_plan(rows).collect():
-        plan, n = [tuple(p) for p in r.plan], len(cases[r.i])
-        if not n:
-            assert plan == []
-            continue
-        assert plan[0][0] == 0 and plan[-1][1] == n
-        for (a, b), (c, d) in zip(plan, plan[1:]):
-            assert a < c <= b < d
-        for a, b in plan:
-            assert sum(cases[r.i][a:b]) <= 94 or b == a + 1
-
-
 def test_latest_only_stream(spark, tmp_path):
     schema = "key string, seq long"
     spark.createDataFrame([("a", 1), ("a", 3), ("b", 2)], schema).coalesce(1).write.json(str(tmp_path / "in"))

@@ -5,11 +5,9 @@ from __future__ import annotations
 import json
 import unicodedata
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vispark.functions.alphabet import TAGS
 from vispark.operators import corpus, encoding, reports, sampling, scoring
 from vispark.sources import files
 
@@ -60,23 +58,6 @@ def test_encoding_against_plain_python(spark, tmp_path):
     assert {r.fault: r.n for r in encoding.remap_faults(remap, counts, 1).collect()} == {"old repeats": 0, "new repeats": 0, "unordered": 0, "missing": 1}
 
 
-def test_windows_are_scored_once_where_a_word_is_deepest(spark):
-    words = [f"w{i % 7}" for i in range(90)]
-    rows = spark.createDataFrame([("a", words), ("b", words), ("c", ["x"])], "key string, words array<string>")
-    rows = corpus.run_plan(rows.withColumn("counts", F.transform("words", lambda w: F.length(w))))
-    plan = {r.key: [tuple(p) for p in r.plan] for r in rows.collect()}
-    got = {(r.key, r.pos): r.logits for r in scoring.score_windows(rows.select("key", "words", "plan")).collect()}
-    assert len(got) == 181
-    for (key, pos), logits in got.items():
-        ws = words if key != "c" else ["x"]
-        lo, hi = max((w for w in plan[key] if w[0] <= pos < w[1]), key=lambda w: (min(pos - w[0], w[1] - 1 - pos), -w[0]))
-        assert logits == scoring.hash_scorer(ws[lo:hi], pos - lo).tolist()
-    some = corpus.tag_candidates(spark.createDataFrame([("sẽ",), ("x",)], "word string"))
-    scores = spark.createDataFrame([("k", 0, "sẽ", [float(i) for i in range(len(TAGS))]), ("k", 1, "x", [0.0] * len(TAGS))], "key string, pos int, word string, logits array<double>")
-    out = scoring.allowed_logits(scores, some).where("word = 'sẽ'").first()
-    assert out.tags[0] == "KEEP" and "TONE_HOI" in out.tags and out.logits == [float(TAGS.index(t)) for t in out.tags]
-
-
 def test_bars_and_the_policy_they_leave(spark):
     rows = [("x", 0.96, 0.01, 0.01, 0.5, 0.4, 0.01), ("y", 0.97, 0.01, 0.005, 0.5, 0.4, 0.01), ("z", 0.9, 0.0, 0.0, 0.4, 0.4, 0.01)]
     judged = scoring.with_bars(spark.createDataFrame(rows, "policy string, precision double, bao_oan_a double, bao_oan_b double, phu_am double, d_gi_r double, sua_sai_dgir double"))
@@ -155,4 +136,3 @@ def test_pages_fields_and_settings(spark):
     stored = spark.createDataFrame([("a", "1"), ("b", "2")], "key string, value string")
     changes = spark.createDataFrame([("a", "3", 1), ("a", "4", 2), ("b", None, 3), ("c", "5", 1)], "key string, value string, seq int")
     assert sorted(tuple(r) for r in files.settings_after(stored, changes).collect()) == [("a", "4"), ("c", "5")]
-    assert np.isfinite(scoring.hash_scorer(["a"], 0)).all()

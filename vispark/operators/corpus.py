@@ -166,38 +166,3 @@ def fits_training(sentence: Column) -> Column:
 def out_of_lexicon(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Tokens that the lexicon lacks."""
     return rows.join(known.select(F.col("word").alias("_known")), F.col("lower") == F.col("_known"), "left_anti")
-
-
-def centred(plans: DataFrame, key: str = "key") -> DataFrame:
-    """key, plan -> key, word, run: for each word, the window in which it is farthest from an edge; of equals the first."""
-    wide = plans.select(key, F.posexplode("plan").alias("run", "w")).select(key, "run", "w.from", "w.to", F.explode(F.expr("sequence(w.from, w.to - 1)")).alias("word"))
-    depth = F.least(F.col("word") - F.col("from"), F.col("to") - 1 - F.col("word"))
-    return wide.groupBy(key, "word").agg(F.min_by("run", F.struct(-depth, F.col("run"))).alias("run"))
-
-
-def run_plan(rows: DataFrame, size: int = 64, stride: int = 32, budget: int = 94) -> DataFrame:
-    """rows with plan, an array of (from, to) word windows over counts, the words' pieces: one if all fit, else size by stride.
-
-    A window always moves on, and a word that is too long gets a window of its own.  The running sums are generated as
-    a column first, so that the fold does not compute them anew in each step.
-    """
-    sums = F.aggregate(
-        F.transform("counts", lambda x: x.cast("int")), F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x)
-    )
-    rows = rows.select("*", F.inline(F.array(F.struct(sums.alias("_offs"), F.size("counts").alias("_n")))))
-    offs, n, win = F.col("_offs"), F.col("_n"), min(size, budget)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("done"), F.array().cast("array<struct<from: int, to: int>>").alias("out"))
-
-    def step(a, _):
-        begin = F.element_at(offs, a["at"] + 1)
-        to = F.greatest(a["at"] + 1, F.size(F.filter(offs, lambda o: o <= begin + win)) - 1)
-        move = F.least(to, n, F.greatest(a["at"] + 1, F.size(F.filter(offs, lambda o: o < begin + stride))))
-        out = F.array_append(a["out"], F.struct(a["at"].alias("from"), to.alias("to")))
-        moved = F.struct(move.alias("at"), (to >= n).alias("done"), out.alias("out"))
-        return F.when(a["done"], a).otherwise(moved)
-
-    whole = F.array(F.struct(F.lit(0).alias("from"), n.alias("to")))
-    windows = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start, step, lambda a: a["out"])
-    empty = F.array().cast("array<struct<from: int, to: int>>")
-    plan = F.when(n == 0, empty).when(F.element_at(offs, -1) <= budget, whole).otherwise(windows)
-    return rows.withColumn("plan", plan).drop("_offs", "_n")

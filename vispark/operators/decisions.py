@@ -6,37 +6,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vispark.functions.alphabet import FINAL_TAGS, INITIAL_TAGS
+from vispark.functions.text import apart
 
 THRESHOLD, CONSONANT_THRESHOLD, MARGIN = 0.95, 0.90, 0.25
 
 
 def softmax(rows: DataFrame, logits: str = "logits") -> DataFrame:
-    """rows with prob, the softmax of an array of logits, the largest subtracted first."""
-    top = rows.withColumn("_top", F.array_max(logits))
-    top = top.withColumn("_e", F.transform(logits, lambda x: F.exp(x - F.col("_top"))))
-    top = top.withColumn("_sum", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
-    return top.withColumn("prob", F.transform("_e", lambda x: x / F.col("_sum"))).drop("_top", "_e", "_sum")
+    """rows with prob, the softmax of an array of logits, the largest subtracted first.
+
+    The largest and the sum are generated as columns of their own, so that they are not computed anew for each logit.
+    """
+    rows = apart(rows, _top=F.array_max(logits))
+    rows = apart(rows, _e=F.transform(logits, lambda x: F.exp(x - F.col("_top"))))
+    rows = apart(rows, _sum=F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
+    return rows.withColumn("prob", F.transform("_e", lambda x: x / F.col("_sum"))).drop("_top", "_e", "_sum")
 
 
-def gate(rows: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, consonant: float | None = CONSONANT_THRESHOLD) -> DataFrame:
-    """rows (tags, logits: parallel arrays) with best, best_p, keep_p and decision.
+def gate(
+    rows: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, consonant: float | None = CONSONANT_THRESHOLD, thresholds: dict[str, float] | None = None
+) -> DataFrame:
+    """rows (tags, logits: parallel arrays) with prob, best, best_p, keep_p and decision.
 
-    The strongest tag but KEEP, of equals the first, is chosen; only then its own threshold is looked up.  Below it, or
-    less than the margin above KEEP, the decision is KEEP.
+    The strongest tag but KEEP, of equals the first, is chosen; only then its own threshold is looked up: in thresholds by tag, else
+    consonant for tags of consonants, else threshold.  Below it, or less than the margin above KEEP, the decision is KEEP.
     """
-    scored = softmax(rows).withColumn("_all", F.arrays_zip("tags", "prob"))
-    keep = F.filter("_all", lambda x: x["tags"] == "KEEP")
-    others = F.filter("_all", lambda x: x["tags"] != "KEEP")
-    best = F.aggregate(
-        others,
-        F.struct(F.lit(None).cast("string").alias("tags"), F.lit(0.0).alias("prob")),
-        lambda a, x: F.when(x["prob"] > a["prob"], F.struct(x["tags"].alias("tags"), x["prob"].alias("prob"))).otherwise(a),
-    )
-    out = scored.withColumn("_best", best).withColumn("keep_p", F.coalesce(F.try_element_at(keep, F.lit(1))["prob"], F.lit(0.0)))
-    out = out.withColumn("best", F.col("_best.tags")).withColumn("best_p", F.col("_best.prob"))
-    bar = F.lit(threshold) if consonant is None else F.when(F.col("best").isin(*INITIAL_TAGS, *FINAL_TAGS), consonant).otherwise(threshold)
+    keep = F.array_position("tags", F.lit("KEEP")).cast("int")
+    scored = apart(softmax(rows), _keep=keep)
+    scored = apart(scored, _others=F.transform("prob", lambda p, i: F.when(i == F.col("_keep") - 1, -1.0).otherwise(p)))
+    scored = apart(scored, _best=F.array_max("_others"))
+    scored = apart(scored, _at=F.array_position("_others", F.col("_best")).cast("int"))
+    found = F.col("_best") > 0
+    out = scored.withColumn("keep_p", F.when(F.col("_keep") > 0, F.get("prob", F.col("_keep") - 1)).otherwise(0.0))
+    out = out.withColumn("best", F.when(found, F.get("tags", F.col("_at") - 1))).withColumn("best_p", F.when(found, F.col("_best")).otherwise(0.0))
+    bar = F.lit(threshold)
+    if consonant is not None:
+        bar = F.when(F.col("best").isin(*INITIAL_TAGS, *FINAL_TAGS), consonant).otherwise(bar)
+    for tag, own in (thresholds or {}).items():
+        bar = F.when(F.col("best") == tag, own).otherwise(bar)
     fires = F.col("best").isNotNull() & (F.col("best_p") >= bar) & (F.col("best_p") - F.col("keep_p") >= margin)
-    return out.withColumn("decision", F.when(fires, F.col("best")).otherwise("KEEP")).drop("_all", "_best")
+    return out.withColumn("decision", F.when(fires, F.col("best")).otherwise("KEEP")).drop("_keep", "_others", "_best", "_at")
 
 
 def gate_argmax(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -41,14 +42,28 @@ def read_tokenizer(spark: SparkSession, path: str) -> tuple[dict[str, int], list
 
 
 def merge_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Pieces of a word: the pair of the lowest rank is merged, of equals the leftmost, until none is known."""
-    parts = [*word[:-1], word[-1] + WORD_END] if word else []
-    while len(parts) > 1:
-        rank, at = min((ranks.get(pair, len(ranks)), i) for i, pair in enumerate(zip(parts, parts[1:])))
-        if rank == len(ranks):
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return [p + GOES_ON for p in parts[:-1]] + [p[: -len(WORD_END)] for p in parts[-1:]]
+    """Pieces of a word: the pair of the lowest rank is merged, of equals the leftmost, until none is known.
+
+    Pairs wait in a heap by rank and place, pieces are linked with their neighbours; an entry whose pair has changed is passed over.
+    """
+    parts: list[str | None] = [*word[:-1], word[-1] + WORD_END] if word else []
+    n = len(parts)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    waiting = [(ranks[pair], i) for i, pair in enumerate(zip(parts, parts[1:])) if pair in ranks]
+    heapq.heapify(waiting)
+    while waiting:
+        rank, i = heapq.heappop(waiting)
+        j = after[i]
+        if parts[i] is None or j >= n or ranks.get((parts[i], parts[j])) != rank:
+            continue
+        parts[i], parts[j], after[i] = parts[i] + parts[j], None, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for left in (before[i], i):
+            if left >= 0 and after[left] < n and (again := ranks.get((parts[left], parts[after[left]]))) is not None:
+                heapq.heappush(waiting, (again, left))
+    left = [p for p in parts if p is not None]
+    return [p + GOES_ON for p in left[:-1]] + [p[: -len(WORD_END)] for p in left[-1:]]
 
 
 def word_pieces(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:

@@ -1,68 +1,10 @@
-"""Scoring of sentences by a pluggable model, and decisions on out-of-lexicon words by policy."""
+"""Decisions on out-of-lexicon words by policy, and what a policy must reach."""
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vispark.functions.alphabet import TAGS
-
-#: words of a window and the index of one of them -> a logit for each of TAGS.
-Scorer = Callable[[list[str], int], np.ndarray]
-
-
-def hash_scorer(words: list[str], at: int) -> np.ndarray:
-    """A stand-in for a model: logits from 0 to 8 by a hash of a word, its neighbours and its place."""
-    left, right = words[at - 1] if at else "", words[at + 1] if at + 1 < len(words) else ""
-    raw = hashlib.sha256(f"{left}|{words[at]}|{right}|{at}".encode()).digest()
-    return np.array([raw[i] / 32.0 for i in range(len(TAGS))])
-
-
-def score_windows(sentences: DataFrame, scorer: Scorer = hash_scorer) -> DataFrame:
-    """key, words, plan (windows as from, to) -> key, pos, logits: one row a word.
-
-    A word in several windows is scored in the one where it is farthest from an edge, of equals the first.  Distinct
-    sentences are scored once, in Arrow batches; the scorer is shipped to the workers and may load a model there.
-    """
-    once = sentences.groupBy("words", "plan").agg(F.collect_list("key").alias("keys"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for words, plan, keys in zip(frame["words"], frame["plan"], frame["keys"]):
-                words, best = list(words), {}
-                for w in plan:
-                    lo, hi = w["from"], w["to"]
-                    for i in range(lo, hi):
-                        depth = min(i - lo, hi - 1 - i)
-                        if i not in best or depth > best[i][0]:
-                            best[i] = depth, lo, hi
-                for i, (_, lo, hi) in sorted(best.items()):
-                    logits = scorer(words[lo:hi], i - lo).tolist()
-                    out += [(k, i, logits) for k in keys]
-            yield pd.DataFrame(out, columns=["key", "pos", "logits"])
-
-    kind = once.schema["keys"].dataType.elementType.simpleString()
-    return once.mapInPandas(run, f"key {kind}, pos int, logits array<double>")
-
-
-def allowed_logits(scores: DataFrame, candidates: DataFrame) -> DataFrame:
-    """key, pos, word, logits; word, idx -> key, pos, word, tags, logits of the word's own tags, in tag order.
-
-    Words with KEEP alone are left out: there is nothing to decide.
-    """
-    own = candidates.groupBy("word").agg(F.array_sort(F.collect_set("idx")).alias("_own")).where(F.size("_own") > 1)
-    rows = scores.join(own, "word")
-    names = F.array(*[F.lit(t) for t in TAGS])
-    tags = F.transform("_own", lambda i: F.get(names, i))
-    return rows.select("key", "pos", "word", tags.alias("tags"), F.transform("_own", lambda i: F.get("logits", i)).alias("logits"))
-
-
 # Policy, kind (plain: the common rule; drop: KEEP is out and the rest scaled up; names: as drop, but capitalised words
 # that do not begin a sentence keep the common rule; bar: a bar of its own and no margin), its bar.
 POLICIES = (

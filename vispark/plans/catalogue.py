@@ -11,7 +11,7 @@ from vispark.functions import syllable as sy
 from vispark.functions import text as tx
 from vispark.functions.alphabet import strip_tone, to_ascii
 from vispark.functions.nfc import nfc
-from vispark.operators import corpus, decisions, issues, metrics, reports, rules
+from vispark.operators import corpus, decisions, issues, metrics, reports, rules, windows
 from vispark.plans import oracle, report_queries
 from vispark.plans.inputs import docs as _docs
 from vispark.plans.inputs import logits as _logits
@@ -202,23 +202,39 @@ def mix_report(spark, d):
 
 
 def _piece_counts(spark, d):
-    """doc_id, counts: for each distinct sentence, a piece for every three letters of a word."""
-    pieces = F.transform(tx.tokens(F.col("sentence")), lambda w: F.ceil(F.length(w) / 3).cast("int"))
-    return corpus_sentences(_docs(spark, d)).select("doc_id", pieces.alias("counts")).distinct()
+    """doc_id, key, counts: for each distinct sentence of a document, a piece for every three letters of a word."""
+    words = tx.tokens(F.col("sentence"))
+    pieces = F.transform(words, lambda w: F.ceil(F.length(w) / 3).cast("int"))
+    rows = corpus_sentences(_docs(spark, d)).select("doc_id", F.md5(F.array_join(words, " ")).alias("key"), pieces.alias("counts"))
+    return rows.where(F.size("counts") > 0).distinct()
+
+
+def _plans(spark, d, fallback):
+    rows = windows.run_plan(_piece_counts(spark, d), fallback)
+    shown = F.array_join(F.transform("plan", lambda w: F.concat_ws(":", w["from"].cast("string"), w["to"].cast("string"))), ",")
+    return rows.select("doc_id", "key", F.size("counts").alias("words"), shown.alias("plan"))
 
 
 def run_plan_f2(spark, d):
-    return corpus.run_plan(_piece_counts(spark, d), 64, 32, 94)
+    return _plans(spark, d, "F2")
+
+
+def run_plan_f2s(spark, d):
+    return _plans(spark, d, "F2s")
 
 
 def run_plan_f1(spark, d):
-    return corpus.run_plan(_piece_counts(spark, d), 40, 40, 40)
+    return _plans(spark, d, "F1")
+
+
+def run_plan_none(spark, d):
+    return _plans(spark, d, "none")
 
 
 def centred_pick(spark, d):
-    """For each word of a sentence in several windows, the one in which it is farthest from an edge; of equals the first."""
-    rows = run_plan_f2(spark, d).withColumn("key", F.md5(F.concat_ws("|", "doc_id", F.to_json("counts"))))
-    return corpus.centred(rows)
+    """For each word of a sentence in several windows, the one in which it is farthest from an edge, in pieces; of equals the first."""
+    rows = windows.run_plan(_piece_counts(spark, d)).withColumn("key", F.concat_ws(":", "doc_id", "key"))
+    return windows.centred(rows)
 
 
 def top_tags(spark, d):
@@ -262,7 +278,7 @@ QUERIES: dict[str, Callable] = {
         tag_between_pairs, sentence_clean, gap_sentences, phrase_match, context_issues, check_text, dedupe_issues, merge_rule_first,
         interval_hit, html_text, hash_split, class_weights, propensity, oov_rate, softmax_gate, gate_argmax, policy_sweep, confusion_full,
         confusion_scoped, outcome_pivot, sentence_buckets, false_alarm_report, paired_discordance, latency_quantiles, corrupt_options,
-        corrupt_sentences, balanced_cases, mix_report, run_plan_f2, run_plan_f1, centred_pick, top_tags, weekly_tag_counts,
+        corrupt_sentences, balanced_cases, mix_report, run_plan_f2, run_plan_f2s, run_plan_f1, run_plan_none, centred_pick, top_tags, weekly_tag_counts,
         debounce_latest, burst_metrics, latest_wins, change_only, acceptance_ratio,
     )
 }

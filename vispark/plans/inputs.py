@@ -22,7 +22,7 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def words(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct lower-case words with their counts, of Latin letters only."""
+    """Distinct lower-case words with their counts."""
     return tokens(spark, d).groupBy(F.col("lower").alias("word")).agg(F.count("*").alias("n"))
 
 
@@ -50,11 +50,11 @@ def predicted(spark: SparkSession, d: str, seed: int = 9) -> DataFrame:
 
 
 def logits(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, pos, tags, logits: four tags for each token, by hash."""
-    rows = tokens(spark, d).select("doc_id", "pos")
+    """doc_id, pos, tok, lower, tags, logits: four tags for each token, by hash."""
+    rows = tokens(spark, d)
     names = ("KEEP", "TONE_HOI", "CH_TR", "N_NG")
     x = [tx.unit_hash(20 + i, F.col("doc_id"), F.col("pos")) * 8.0 for i in range(len(names))]
-    return rows.select("doc_id", "pos", F.array(*[F.lit(t) for t in names]).alias("tags"), F.array(*x).alias("logits"))
+    return rows.select("doc_id", "pos", "tok", "lower", F.array(*[F.lit(t) for t in names]).alias("tags"), F.array(*x).alias("logits"))
 
 
 def spans(spark: SparkSession, d: str) -> DataFrame:

@@ -126,7 +126,31 @@ _BURST = """b AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts, eve
     c AS (SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, arg_max(event_id, (ts, event_id)) AS last_id, count(*) AS inputs FROM b GROUP BY user_id, burst)"""
 _CLEAN_CUT = r"regexp_split_to_array(regexp_replace(replace(coalesce(text, ''), chr(10), ' '), '([.!?])\s+([A-ZÀ-Ỹ])', '\1' || chr(1) || '\2', 'g'), chr(1))"
 
+_COUNTS = rf"""c0 AS (SELECT doc_id, regexp_extract_all(trim(regexp_replace(unnest({_CLEAN_CUT}), '\s+', ' ', 'g')), '[\p{{L}}\p{{M}}]+') AS w FROM documents),
+    c AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(w, ' ')) AS key, list_transform(w, lambda x: CAST(ceil(length(x) / 3) AS INTEGER)) AS counts FROM c0 WHERE len(w) > 0),
+    o AS MATERIALIZED (SELECT doc_id, key, len(counts) AS n, list_prepend(0, list_transform(range(1, len(counts) + 1), lambda i: list_sum(counts[1:i]))) AS offs FROM c)"""
+
+
+def _plan_rows(size: int, stride: int | None) -> str:
+    """CTEs with p: run, beg, stop: the windows of each sentence, as they move on."""
+    stop = lambda at: f"greatest({at} + 1, len(list_filter(offs, lambda x: x <= offs[{at} + 1] + {size})) - 1)"
+    moved = "stop" if stride is None else f"least(stop, greatest(beg + 1, len(list_filter(offs, lambda x: x < offs[beg + 1] + {stride}))))"
+    return f"""{_COUNTS}, p AS (SELECT doc_id, key, n, offs, 0 AS run, 0 AS beg, CASE WHEN offs[n + 1] <= 94 THEN n ELSE {stop('0')} END AS stop FROM o
+        UNION ALL SELECT doc_id, key, n, offs, run + 1, moved, {stop('moved')} FROM (SELECT *, {moved} AS moved FROM p WHERE stop < n))"""
+
+
+def _plans(size: int, stride: int | None) -> str:
+    return f"WITH RECURSIVE {_plan_rows(size, stride)} SELECT doc_id, key, max(n) AS words, string_agg(beg || ':' || stop, ',' ORDER BY run) AS plan FROM p GROUP BY 1, 2"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "run_plan_f1": _plans(40, None),
+    "run_plan_f2": _plans(64, 32),
+    "run_plan_f2s": _plans(48, 24),
+    "run_plan_none": f"WITH {_COUNTS} SELECT doc_id, key, n AS words, '0:' || n AS plan FROM o",
+    "centred_pick": f"""WITH RECURSIVE {_plan_rows(64, 32)}, e AS (SELECT *, unnest(range(beg, stop)) AS word FROM p)
+        SELECT doc_id || ':' || key AS key, CAST(word AS INTEGER) AS word, CAST(run AS INTEGER) AS run FROM e
+        QUALIFY row_number() OVER (PARTITION BY doc_id, key, word ORDER BY least(offs[word + 1] - offs[beg + 1], offs[stop + 1] - offs[word + 2]) DESC, run) = 1""",
     "syllable_lexicon": f"WITH {_TOKENS} SELECT lower AS word, count(*) AS cnt, count(DISTINCT doc_id) AS docs FROM t GROUP BY 1 HAVING count(*) >= 20",
     "nfc_normalise": "SELECT doc_id, md5(nfc_normalize(text)) AS plain, md5(nfc_normalize(replace(text, 'é', 'e\u0301'))) AS joined FROM documents",
     "tone_strip": f"WITH {_WORDS} SELECT word, translate(word, '{TONED}', '{FLATS * 5}') AS flat, n FROM w",

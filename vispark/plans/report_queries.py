@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vispark.functions import groups, text as tx
-from vispark.functions.alphabet import TAGS
-from vispark.operators import corpus, decisions, encoding, metrics, reports, rules, sampling, scoring
-from vispark.plans.inputs import docs, logits, pairs, predicted, spans, tokens, words
+from vispark.functions.alphabet import TAGS, VOWELS
+from vispark.operators import corpus, decisions, encoding, metrics, model, reports, rules, sampling, scoring
+from vispark.plans.inputs import docs, logits, pairs, predicted, rule_docs, spans, tokens, words
 from vispark.plans.oracle import _CLEAN_CUT, _GAPS, _LOGITS, _OUTCOME, _PAIR, _PRED, _SPANS, _TOKENS, _TONE, _WORDS, _got, _text, _u
 from vispark.sources.files import corpus_sentences, last_lines, text_nodes
 from vispark.operators.rule_tables import PAIRS, PHRASES
@@ -182,7 +182,7 @@ def first_documents(spark, d):
 
 def _policies(spark, d) -> DataFrame:
     known = corpus.lexicon(tokens(spark, d), 20).select(F.col("word").alias("_word"), F.lit(True).alias("_known"))
-    rows = decisions.gate(logits(spark, d)).join(tokens(spark, d), ["doc_id", "pos"]).join(known, F.col("lower") == F.col("_word"), "left")
+    rows = decisions.gate(logits(spark, d)).join(known, F.col("lower") == F.col("_word"), "left")
     rows = rows.select("doc_id", "pos", F.col("tok").alias("token"), (F.col("pos") == 0).alias("first_word"), F.coalesce("_known", F.lit(False)).alias("known"), "best", "best_p", "keep_p")
     return scoring.policy_decisions(rows, 0.7)
 
@@ -272,15 +272,26 @@ def encoded_sentences(spark, d):
     return out.select(F.col("key").alias("doc_id"), F.size("ids").alias("n"), F.to_json("ids").alias("ids"), F.to_json("first").alias("first"), F.to_json(labels).alias("labels"))
 
 
+def _tokenizer() -> model.Tokenizer:
+    """Letters, alone and before others, and what the merges make."""
+    letters = [chr(c) for c in range(ord("a"), ord("z") + 1)] + sorted(set(VOWELS + "đ"))
+    pieces = letters + [a + b.removesuffix("</w>") for a, b in MERGES]
+    names = dict.fromkeys(p + end for p in pieces for end in ("", encoding.GOES_ON))
+    return model.Tokenizer({p: i + 4 for i, p in enumerate(names)}, list(MERGES))
+
+
 def scored_decisions(spark, d):
-    """Sentences scored by the hash scorer in their windows, and decided among each word's own tags."""
-    rows = tx.sentence_numbers(tx.token_spans(docs(spark, d))).groupBy("doc_id", "sent").agg(F.array_sort(F.collect_list(F.struct("pos", "lower"))).alias("w"))
-    rows = rows.select(F.concat_ws(":", "doc_id", "sent").alias("key"), F.transform("w", lambda x: x["lower"]).alias("words"))
-    rows = corpus.run_plan(rows.withColumn("counts", F.transform("words", lambda w: F.ceil(F.length(w) / 3).cast("int"))))
-    named = rows.select("key", F.posexplode("words").alias("pos", "word"))
-    scores = scoring.score_windows(rows.select("key", "words", "plan")).join(named, ["key", "pos"])
-    table = corpus.tag_candidates(named.select("word").distinct(), corpus.lexicon(tokens(spark, d), 3))
-    return decisions.gate(scoring.allowed_logits(scores, table), 0.5, 0.1, 0.5).groupBy("decision").agg(F.count("*").alias("n"))
+    """Each distinct sentence scored by the hash model in its windows, and its words decided among their own tags."""
+    once = model.distinct_sentences(model.sentence_rows(docs(spark, d)))
+    rows = model.scored_words(once, model.ModelFile(model.hash_model), _tokenizer(), corpus.lexicon(tokens(spark, d), 3))
+    return decisions.gate(rows, 0.5, 0.1, 0.5).groupBy("decision").agg(F.count("*").alias("n"))
+
+
+def score_text(spark, d):
+    """The issues that the hash model finds in documents and rule texts, from text to spans."""
+    rows = rule_docs(spark, d)
+    known = corpus.lexicon(tx.token_rows(rows), 2)
+    return model.score_text(rows, model.ModelFile(model.hash_model), _tokenizer(), known, threshold=0.5, margin=0.1, consonant=0.4)
 
 
 def page_nodes(spark, d):
@@ -295,7 +306,7 @@ QUERIES: dict[str, Callable] = {
         padded_batch, side_by_side, node_offsets, pool_shares, tag_confusion, confidence_outcomes, diagnosis, confidence_cuts, candidate_alarms, truncated_coverage,
         conditional_sums, median_differences, rule_statistics, first_examples, first_documents, policy_report, policy_pick, mixed_pools, sampled_documents,
         only_first_caught, training_variants, assembled_documents, edited_words, picked_words, last_events, confusable_words, scope_report, scoped_confusion,
-        bpe_pieces, encoded_sentences, scored_decisions, page_nodes,
+        bpe_pieces, encoded_sentences, scored_decisions, score_text, page_nodes,
     )
 }
 
