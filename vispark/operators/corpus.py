@@ -55,7 +55,9 @@ def corruptions(words: DataFrame, known: DataFrame) -> DataFrame:
     return breaks.join(fixes, ["broken", "word"])
 
 
-#: Shares of the classes of errors: of tones by the pair of tones, of the others by the tag that repairs them.
+# How likely a token that can be broken is, how many errors a sentence has at most, and the shares of the classes of
+# errors: of tones by the pair of tones, of the others by the tag that repairs them.
+ERROR_RATE, MAX_ERRORS = 0.04, 4
 CLASS_WEIGHTS = {
     "hoi_nga": 0.34, "missing": 0.24, "other_tone": 0.10, "CH_TR": 0.05, "TR_CH": 0.05, "S_X": 0.05, "X_S": 0.05, "D_GI": 0.03, "GI_D": 0.03,
     "D_R": 0.01, "R_D": 0.01, "GI_R": 0.01, "R_GI": 0.01, "L_N": 0.03, "N_L": 0.03, "N_NG": 0.02, "NG_N": 0.01, "C_T": 0.005, "T_C": 0.005,
@@ -82,7 +84,7 @@ def sentence_tokens(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", number.alias("sent"), "pos", "tok")
 
 
-def corrupt(tokens: DataFrame, options: DataFrame, rate: float = 0.1, most: int = 4, seed: int = 11, weights: dict[str, float] | None = None, factors: DataFrame | None = None) -> DataFrame:
+def corrupt(tokens: DataFrame, options: DataFrame, rate: float = ERROR_RATE, most: int = MAX_ERRORS, seed: int = 11, weights: dict[str, float] | None = None, factors: DataFrame | None = None) -> DataFrame:
     """doc_id, sent, pos, tok -> doc_id, pos, tok with broken ones put in, tag; tag is what repairs a token.
 
     options: word (as written), broken, fix.  factors: propensity's word (in lower case) and factor; others have 1.

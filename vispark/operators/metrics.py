@@ -42,15 +42,21 @@ def outcome(rows: DataFrame) -> DataFrame:
 
 
 def sentence_buckets(rows: DataFrame, key: str) -> DataFrame:
-    """errors (4 stands for more), bucket, n: each sentence with an error by its worst token."""
+    """errors (4 stands for more), bucket, n of the sentences with an error.
+
+    wrong_edit: something was changed that should not have been, or wrongly; clean: every error is fixed; scope_fixed: as many as there are
+    errors in scope (rows: in_scope); partly: some; untouched: none.
+    """
     marked = outcome(rows)
     per = marked.groupBy(key).agg(
         F.count_if(F.col("wrong") != F.col("want")).alias("errors"),
+        F.count_if((F.col("wrong") != F.col("want")) & F.col("in_scope")).alias("inside"),
         *[F.count_if(F.col("outcome") == k).alias(k) for k in ("fixed", "missed", "wrong_fix", "false_alarm")],
     )
     bucket = (
         F.when((F.col("wrong_fix") > 0) | (F.col("false_alarm") > 0), "wrong_edit")
         .when(F.col("missed") == 0, "clean")
+        .when((F.col("inside") > 0) & (F.col("fixed") == F.col("inside")), "scope_fixed")
         .when(F.col("fixed") > 0, "partly")
         .otherwise("untouched")
     )

@@ -31,6 +31,11 @@ def scope_report(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return out.withColumn("ratio", F.when(F.col("errors") > 0, F.col("in_scope") / F.col("errors")).otherwise(0.0))
 
 
+def scope_by_tag(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """tag, n: the errors in scope by the tag that repairs them."""
+    return with_scope(rows.where("wrong <> want"), known).where("in_scope").groupBy("tag").agg(F.count("*").alias("n"))
+
+
 def scope_examples(rows: DataFrame, known: DataFrame | None = None, n: int = 8) -> DataFrame:
     """The first n different errors out of scope."""
     out = with_scope(rows.where("wrong <> want"), known).where(~F.col("in_scope")).select("wrong", "want").distinct()

@@ -163,7 +163,9 @@ def outcome_pivot(spark, d):
 
 
 def sentence_buckets(spark, d):
-    return metrics.sentence_buckets(_predicted(spark, d), "doc_id")
+    """In scope are errors that keep the first letter."""
+    same = F.substring("wrong", 1, 1) == F.substring("want", 1, 1)
+    return metrics.sentence_buckets(_predicted(spark, d).withColumn("in_scope", same), "doc_id")
 
 
 def false_alarm_report(spark, d):

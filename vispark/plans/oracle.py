@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from vispark.functions.alphabet import FINALS, FLATS, INITIALS, TONED, VOWELS
+from vispark.functions.alphabet import FINAL_TAGS, FINALS, FLATS, INITIAL_TAGS, INITIALS, TONE_TAGS, TONED, VOWELS, vowels
 from vispark.operators.rule_tables import PAIRS, PHRASES
 from vispark.plans.rule_texts import rule_texts
 
@@ -126,6 +126,43 @@ _BURST = """b AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts, eve
     c AS (SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, arg_max(event_id, (ts, event_id)) AS last_id, count(*) AS inputs FROM b GROUP BY user_id, burst)"""
 _CLEAN_CUT = r"regexp_split_to_array(regexp_replace(replace(coalesce(text, ''), chr(10), ' '), '([.!?])\s+([A-ZÀ-Ỹ])', '\1' || chr(1) || '\2', 'g'), chr(1))"
 
+_STRIPPED = "translate({}, '" + TONED + "', '" + FLATS * 5 + "')"
+_LOW_BASES = FLATS[:12]
+
+
+def _syllables(words: str, name: str) -> str:
+    """CTEs: from a table of words (word, in lower case), {name}_p with the parts of each."""
+    place = f"""CASE WHEN last = 0 THEN 0 ELSE skip + CASE WHEN before = 0 THEN last WHEN strong > 0 THEN strong WHEN last = length(rest) THEN before ELSE last END END"""
+    return f"""{name}_r AS (SELECT word, {_INITIAL} AS initial, {_FINAL} AS final, {_TONE} AS tone, regexp_extract(word, '[{TONED}]') AS mark, low, skip, substr(low, skip + 1) AS rest
+            FROM (SELECT *, CASE WHEN regexp_matches(low, '^(qu|gi).*[{_LOW_BASES}]') THEN 2 ELSE 0 END AS skip FROM (SELECT word, lower({_STRIPPED.format('word')}) AS low FROM {words}))),
+        {name}_p AS MATERIALIZED (SELECT word, initial, final, tone, CAST(CASE WHEN mark <> '' THEN instr(word, mark) ELSE {place} END AS INTEGER) AS place FROM (
+            SELECT *, length(regexp_extract(rest, '^.*[{_LOW_BASES}]')) AS last, length(regexp_extract(rest, '^(.*[{_LOW_BASES}]).*[{_LOW_BASES}]', 1)) AS before,
+                   length(regexp_extract(rest, '^[^êơ]*[êơ]')) AS strong FROM {name}_r))"""
+
+
+def _candidates(words: str, name: str) -> str:
+    """CTEs: {name} with word, idx, tag, result, as candidate_rows makes them."""
+    letter = _STRIPPED.format("substr(word, place, 1)")
+    rows, idx = ["SELECT word, 0 AS idx, 'KEEP' AS tag, word AS result FROM %s_p" % name], 0
+    body = "substr(word, length(initial) + 1)"
+    single = f"CASE WHEN lower({_STRIPPED.format(f'substr({body}, 1, 1)')}) = 'i' AND length({body}) > 1 THEN substr({body}, 2) ELSE {body} END"
+    for tags in (TONE_TAGS, INITIAL_TAGS, FINAL_TAGS):
+        for k, tag in enumerate(tags):
+            idx += 1
+            if tags is TONE_TAGS:
+                fits, made = f"tone <> {k}", f"CASE WHEN place = 0 THEN word ELSE substr(word, 1, place - 1) || translate({letter}, '{FLATS}', '{vowels(k)}') || substr(word, place + 1) END"
+            elif tags is INITIAL_TAGS:
+                fits, made = f"initial = '{tags[tag][0]}'", f"'{tags[tag][1]}' || {single if tags[tag][1] == 'gi' else body}"
+            else:
+                fits, made = f"final = '{tags[tag][0]}'", f"substr(word, 1, length(word) - length(final)) || '{tags[tag][1]}'"
+            rows.append(f"SELECT word, {idx}, '{tag}', {made} FROM {name}_p WHERE {fits} AND {made} <> word")
+    return f"{_syllables(words, name)}, {name} AS MATERIALIZED ({' UNION ALL '.join(rows)})"
+
+
+_LEXICON = "known AS MATERIALIZED (SELECT lower AS word FROM t GROUP BY 1 HAVING count(*) >= {})"
+#: The words that are within scope of pairs (wrong, want), by the first tag that leads to a known one.
+_SCOPE = "e AS MATERIALIZED (SELECT DISTINCT wrong AS word FROM p), {}, b AS (SELECT word AS wrong, result AS want, arg_min(tag, idx) AS tag FROM k WHERE idx > 0 AND lower(result) IN (SELECT word FROM known) GROUP BY 1, 2)"
+
 _COUNTS = rf"""c0 AS (SELECT doc_id, regexp_extract_all(trim(regexp_replace(unnest({_CLEAN_CUT}), '\s+', ' ', 'g')), '[\p{{L}}\p{{M}}]+') AS w FROM documents),
     c AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(w, ' ')) AS key, list_transform(w, lambda x: CAST(ceil(length(x) / 3) AS INTEGER)) AS counts FROM c0 WHERE len(w) > 0),
     o AS MATERIALIZED (SELECT doc_id, key, len(counts) AS n, list_prepend(0, list_transform(range(1, len(counts) + 1), lambda i: list_sum(counts[1:i]))) AS offs FROM c)"""
@@ -143,7 +180,30 @@ def _plans(size: int, stride: int | None) -> str:
     return f"WITH RECURSIVE {_plan_rows(size, stride)} SELECT doc_id, key, max(n) AS words, string_agg(beg || ':' || stop, ',' ORDER BY run) AS plan FROM p GROUP BY 1, 2"
 
 
+_FIXES = """x AS (SELECT word, tag, result AS broken FROM k WHERE idx > 0), y AS (SELECT DISTINCT broken AS word FROM x)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "tone_positions": f"WITH {_WORDS}, {_syllables('w', 'k')} SELECT word, place FROM k_p",
+    "tag_candidates": f"WITH {_WORDS}, {_candidates('w', 'k')} SELECT CAST(idx AS INTEGER) AS idx, word, tag, result FROM k WHERE idx = 0 OR lower(result) IN (SELECT word FROM w)",
+    "tag_between_pairs": f"""WITH {_PAIR}, d AS (SELECT DISTINCT wrong AS src, want AS dst FROM p), e AS (SELECT DISTINCT src AS word FROM d), {_candidates('e', 'k')},
+        b AS (SELECT word, result, arg_min(tag, idx) AS tag FROM k WHERE idx > 0 GROUP BY 1, 2)
+        SELECT src, dst, CASE WHEN src = dst THEN 'KEEP' ELSE b.tag END AS tag FROM d LEFT JOIN b ON b.word = src AND b.result = dst""",
+    "corrupt_options": f"""WITH {_WORDS}, {_LEXICON.format(20)}, {_candidates('w', 'k')}, {_FIXES}, {_candidates('y', 'g')},
+        f AS (SELECT word AS broken, result AS word, arg_min(tag, idx) AS fix FROM g WHERE idx > 0 AND lower(result) IN (SELECT word FROM known) GROUP BY 1, 2)
+        SELECT x.word, x.tag, x.broken, f.fix FROM x JOIN f ON f.broken = x.broken AND f.word = x.word""",
+    "confusable_words": f"""WITH {_WORDS}, {_LEXICON.format(3)}, o AS (SELECT word FROM w WHERE word IN (SELECT word FROM known)), {_candidates('o', 'k')},
+        m AS (SELECT DISTINCT word, result AS bad FROM k WHERE idx > 6 AND lower(result) IN (SELECT word FROM known)), y AS (SELECT DISTINCT bad AS word FROM m), {_candidates('y', 'g')},
+        f AS (SELECT word AS bad, result AS word, arg_min(tag, idx) AS tag, min(idx) AS idx FROM g WHERE idx > 0 AND lower(result) IN (SELECT word FROM known) GROUP BY 1, 2)
+        SELECT word, bad, tag FROM m JOIN f USING (word, bad) WHERE idx > 6""",
+    "scope_report": f"""WITH {_PAIR}, {_LEXICON.format(3)}, {_SCOPE.format(_candidates('e', 'k'))}, r AS (
+            SELECT b.tag IS NOT NULL AS inside, length(translate(wrong, '{VOWELS}đĐ', '{_PLAIN}dD')) <> length(translate(want, '{VOWELS}đĐ', '{_PLAIN}dD')) AS longer
+            FROM p LEFT JOIN b USING (wrong, want) WHERE wrong <> want)
+        SELECT count(*) AS errors, count(*) FILTER (inside) AS in_scope, count(*) FILTER (NOT inside AND longer) AS other_length,
+        CASE WHEN count(*) > 0 THEN count(*) FILTER (inside) / count(*) ELSE 0.0 END AS ratio FROM r""",
+    "scope_by_tag": f"WITH {_PAIR}, {_LEXICON.format(3)}, {_SCOPE.format(_candidates('e', 'k'))} SELECT tag, count(*) AS n FROM p JOIN b USING (wrong, want) WHERE wrong <> want GROUP BY 1",
+    "scoped_confusion": f"""WITH {_PRED}, {_LEXICON.format(3)}, {_SCOPE.format(_candidates('e', 'k'))}, r AS (SELECT q.* FROM q LEFT JOIN b USING (wrong, want) WHERE wrong = want OR b.tag IS NOT NULL)
+        SELECT count(*) FILTER (wrong <> want AND got = want) AS tp, count(*) FILTER (got <> wrong AND NOT (wrong <> want AND got = want)) AS fp,
+        count(*) FILTER (wrong <> want AND got <> want) AS fn FROM r""",
     "run_plan_f1": _plans(40, None),
     "run_plan_f2": _plans(64, 32),
     "run_plan_f2s": _plans(48, 24),
@@ -201,10 +261,10 @@ ORACLE_SQL: dict[str, str] = {
         FROM q WHERE wrong = want OR substr(wrong, 1, 1) = substr(want, 1, 1)""",
     "outcome_pivot": f"""WITH {_PRED}, o AS (SELECT substr(want, 1, 1) AS letter, {_OUTCOME} AS outcome FROM q)
         SELECT letter, {', '.join(f"count(*) FILTER (outcome = '{k}') AS {k}" for k in ('fixed', 'missed', 'wrong_fix', 'false_alarm', 'clean'))} FROM o GROUP BY ROLLUP (letter)""",
-    "sentence_buckets": f"""WITH {_PRED}, o AS (SELECT doc_id, wrong <> want AS error, {_OUTCOME} AS k FROM q),
-        d AS (SELECT doc_id, count(*) FILTER (error) AS errors, count(*) FILTER (k = 'fixed') AS f, count(*) FILTER (k = 'missed') AS m,
+    "sentence_buckets": f"""WITH {_PRED}, o AS (SELECT doc_id, wrong <> want AS error, substr(wrong, 1, 1) = substr(want, 1, 1) AS inside, {_OUTCOME} AS k FROM q),
+        d AS (SELECT doc_id, count(*) FILTER (error) AS errors, count(*) FILTER (error AND inside) AS i, count(*) FILTER (k = 'fixed') AS f, count(*) FILTER (k = 'missed') AS m,
               count(*) FILTER (k IN ('wrong_fix', 'false_alarm')) AS x FROM o GROUP BY 1)
-        SELECT least(errors, 4) AS errors, CASE WHEN x > 0 THEN 'wrong_edit' WHEN m = 0 THEN 'clean' WHEN f > 0 THEN 'partly' ELSE 'untouched' END AS bucket, count(*) AS n
+        SELECT least(errors, 4) AS errors, CASE WHEN x > 0 THEN 'wrong_edit' WHEN m = 0 THEN 'clean' WHEN i > 0 AND f = i THEN 'scope_fixed' WHEN f > 0 THEN 'partly' ELSE 'untouched' END AS bucket, count(*) AS n
         FROM d WHERE errors > 0 GROUP BY 1, 2""",
     "false_alarm_report": f"""WITH {_PRED}, s AS (SELECT source, q.doc_id, count(*) AS words, count(*) FILTER (got <> wrong) AS alarms
         FROM q JOIN documents USING (doc_id) WHERE wrong = want GROUP BY 1, 2)

@@ -251,6 +251,10 @@ def scope_report(spark, d):
     return reports.scope_report(pairs(spark, d), corpus.lexicon(tokens(spark, d), 3))
 
 
+def scope_by_tag(spark, d):
+    return reports.scope_by_tag(pairs(spark, d), corpus.lexicon(tokens(spark, d), 3))
+
+
 def scoped_confusion(spark, d):
     return reports.scoped_confusion(predicted(spark, d), corpus.lexicon(tokens(spark, d), 3)).select("tp", "fp", "fn")
 
@@ -305,7 +309,7 @@ QUERIES: dict[str, Callable] = {
         word_like, tag_groups, escaped_text, replaced_tokens, rebuilt_text, training_sentences, issue_severity, fix_confusion, start_matches, id_remap, flat_offsets,
         padded_batch, side_by_side, node_offsets, pool_shares, tag_confusion, confidence_outcomes, diagnosis, confidence_cuts, candidate_alarms, truncated_coverage,
         conditional_sums, median_differences, rule_statistics, first_examples, first_documents, policy_report, policy_pick, mixed_pools, sampled_documents,
-        only_first_caught, training_variants, assembled_documents, edited_words, picked_words, last_events, confusable_words, scope_report, scoped_confusion,
+        only_first_caught, training_variants, assembled_documents, edited_words, picked_words, last_events, confusable_words, scope_report, scope_by_tag, scoped_confusion,
         bpe_pieces, encoded_sentences, scored_decisions, score_text, page_nodes,
     )
 }

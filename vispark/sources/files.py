@@ -165,7 +165,7 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 
 
 def html_nodes(html: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, text) of the text nodes of a page, in the text that they make up: a line end where the block changes.
+    """(start, end, text) of the text nodes of a page, in the text that they make up: a line end where a block ends; none behind text that is in no block.
 
     Nodes within script, style, code and pre are left out; character references are resolved.
     """
@@ -190,7 +190,7 @@ def html_nodes(html: str | None) -> list[tuple[int, int, str]]:
             if any(t in _SKIPPED for t, _ in stack):
                 return
             block = next((i for t, i in reversed(stack) if t in _BLOCKS), 0)
-            if nodes and block != state["block"] and not state["line"]:
+            if state["block"] > 0 and block != state["block"] and not state["line"]:
                 state["at"] += 1
             state["block"] = block
             nodes.append((state["at"], state["at"] + len(data), data))
