@@ -25,14 +25,25 @@ def weekly_counts(events: DataFrame, ts: str, fields: list[str], keep_weeks: int
     return out.join(F.broadcast(weeks.withColumn("_r", rank).where(F.col("_r") <= keep_weeks).select("week")), "week", "left_semi")
 
 
-def debounce(events: DataFrame, key: str, ts: str, gap: str, tie: str) -> DataFrame:
-    """The last event of each burst: a burst ends where gap passes without an event.  For a stream, set a watermark before."""
+def debounce(events: DataFrame, key: str, ts: str, gap: str, tie: str, late: str | None = None) -> DataFrame:
+    """The last event of each burst: a burst ends where gap passes without an event; the same for a table and a stream.
+
+    late: how far behind the newest event of a stream one may come; a burst is given out once none of its events can come any more, and what comes
+    later is dropped and counted (late_rows).  A table has no late rows.
+    """
+    if late is not None:
+        events = events.withWatermark(ts, late)
     burst = events.groupBy(key, F.session_window(ts, gap))
     last = F.max_by(F.struct(F.col(ts), F.col(tie)), F.struct(F.col(ts), F.col(tie)))
     out = burst.agg(F.min(ts).alias("first_ts"), F.count("*").alias("inputs"), last.alias("last"))
     return out.select(key, "first_ts", F.col(f"last.{ts}").alias("last_ts"), F.col(f"last.{tie}").alias("last_id"), "inputs")
 
 
+def late_rows(query) -> int:
+    """How many rows a running or finished query has dropped because they came too late, over the progress that it still holds."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def latest(events: DataFrame, key: str, seq: str) -> DataFrame:
     """The event with the highest seq of each key, in batch."""
     columns = [c for c in events.columns if c not in (key, seq)]
