@@ -1,21 +1,25 @@
 """Phrase collocations by Suffix-sigma: one shuffle of truncated suffixes counts all phrases up to max_words words.
 
 Each place of a text gives its suffix, cut at max_words words, at the end of its piece, and at the first word that is too rare to
-be in any candidate.  Equal suffixes are added up in the task.  The suffixes are shuffled by language and first word; as one first
-word may begin a third of all suffixes, the ranges of the shuffle go on with the words that follow, so no word or pair of words
-is bound to one task.  Within a range, in reverse order, one stack counts all prefixes: a phrase is done when the suffix on
-hand no longer begins with it.  Only a phrase that begins the first or the last suffix of a range can go on in the next one; those are
-given out with whatever count they have, and added up.
-
-Rare words are known by a bitmap of fixed size over the hashes of the frequent ones: a hash that two words share keeps a rare word
-in, which costs time and changes no count.
+be in any candidate.  Equal suffixes are added up in the task, and those with one first word travel as one row.  They are shuffled by
+language and first word.  As one first word may begin a third of all suffixes, those of a frequent word are dealt to several parts, by a hash of
+the words that follow up to the first that is not frequent: so no word and no pair of words is bound to one task.  The suffixes of a first word
+are sorted in reverse order, and one stack counts all prefixes: a phrase is done when the suffix on hand no longer begins with it.  Phrases of
+frequent words alone are counted by several tasks, and those counts are added up.
+
+Rare words are known by a bitmap of fixed size over the hashes of the others: a hash that two words share keeps a rare word in,
+which costs time and changes no count.  In suffixes, the commonest words, a table of fixed length, are written as single characters and all
+others as they are.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,18 +30,31 @@ MAX_WORDS, MIN_COUNT, BEST = 5, 100, 2000
 ENDS = ".,;:!?\n\x0b\x0c\r"
 #: Language of texts without one.
 NO_LANGUAGE = "und"
-#: Bits of the bitmap of frequent words (16 MB).
+#: Bits of the bitmap of words that are not rare (16 MB).
 BITMAP_BITS = 1 << 27
-#: Different suffixes, or words, that a task holds before it hands them on.
-HELD = 400_000
-#: Words that a worker remembers whether they are frequent.
-REMEMBERED = 1_000_000
+#: Suffixes, or different words, that a task holds before it hands them on.
+HELD = 250_000
+#: Words that a worker remembers how to write.
+REMEMBERED = 500_000
+#: Words that are written as single characters.
+CODED = 150_000
+#: A word is frequent that begins more suffixes than this many mean partitions, and is dealt to parts of that size; there are as many at
+#: most as partitions, over it.
+HOT_SHARE = 1.0
 #: Different prefixes by which the best phrases of a language are sought at first.
 RANK_PARTS = 64
 
+#: Ranges of characters that stand for words, the shortest in UTF-8 first; a word that is written out has a tab before and a blank behind it.
+_CODES = ((0x21, 0x7F), (0xA1, 0x800), (0x800, 0xD800))
+_TOKEN = re.compile("\t[^ ]* |.", re.DOTALL)
 _BITS = 32_768  # of a bucket of Spark's bitmap functions
-_SUFFIX = pa.schema([("lang", pa.string()), ("suffix", pa.string()), ("n", pa.int64())])
-_SUFFIX_SQL = "lang string, suffix string, n long"
+_COUNT = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+_COUNT_SQL = "lang string, phrase string, n long"
+#: Suffixes with one first word (and in one part of it): what follows it, sorted and joined by line ends, and how often each is found.
+_HEAD = pa.schema([("lang", pa.string()), ("head", pa.string()), ("part", pa.int32()), ("rests", pa.string()), ("n", pa.list_(pa.int32()))])
+_HEAD_SQL = "lang string, head string, part int, rests string, n array<int>"
+#: By language, the frequent words, as they are written, and the number of their parts.
+Hot = dict[str, dict[str, int]]
 
 
 def pieces(text: str) -> Iterator[list[str]]:
@@ -50,21 +67,9 @@ def pieces(text: str) -> Iterator[list[str]]:
             yield words
 
 
-class Held:
-    """Counts by language and string, handed on as batches when there are too many."""
-
-    def __init__(self, most: int = HELD):
-        self.counts: dict[str, dict[str, int]] = {}
-        self.most = most
-
-    def of(self, lang: str) -> dict[str, int]:
-        return self.counts.setdefault(lang, {})
-
-    def handed_on(self, last: bool = False) -> Iterator[pa.RecordBatch]:
-        if last or sum(map(len, self.counts.values())) >= self.most:
-            for lang, some in self.counts.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(list(some), pa.string()), pa.array(list(some.values()), pa.int64())], schema=_SUFFIX)
-            self.counts = {}
+def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[str, str]]:
@@ -72,34 +77,69 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[str, str]]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = Held()
+    held: dict[str, dict[str, int]] = {}
     for batch in batches:
         for lang, text in _rows(batch):
-            counts = held.of(lang)
+            counts = held.setdefault(lang, {})
             for words in pieces(text):
                 for w in words:
                     counts[w] = counts.get(w, 0) + 1
-        yield from held.handed_on()
-    yield from held.handed_on(last=True)
+            if sum(map(len, held.values())) >= HELD:
+                yield from _given_out(held)
+                held = {}
+    yield from _given_out(held)
+
+
+def _given_out(held: dict[str, dict[str, int]]) -> Iterator[pa.RecordBatch]:
+    for lang, counts in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], schema=_COUNT)
+
+
+def code(rank: int) -> str | None:
+    """The character of a language's word of this rank, null beyond the last."""
+    for begin, end in _CODES:
+        if rank < end - begin:
+            return chr(begin + rank)
+        rank -= end - begin
+    return None
+
+
+def tokens(suffix: str) -> list[str]:
+    return _TOKEN.findall(suffix) if "\t" in suffix else list(suffix)
 
 
-class FrequentWords:
-    """Whether a word is in the bitmap of its language's frequent words."""
+class Writing:
+    """How words are written in suffixes: by their language's codes, else in full, and rare ones not at all."""
 
-    def __init__(self, buckets: dict[int, bytes]):
-        self.buckets, self.known = buckets, {}
+    def __init__(self, codes: dict[str, dict[str, str]], buckets: dict[int, bytes]):
+        self.codes, self.buckets, self.known = codes, buckets, {}
 
-    def of(self, lang: str) -> dict[str, bool]:
+    def of(self, lang: str) -> dict[str, str]:
+        """What is known by now; a caller adds what `token` gives."""
         if sum(map(len, self.known.values())) > REMEMBERED:
             self.known = {}
         return self.known.setdefault(lang, {})
 
-    def test(self, lang: str, word: str) -> bool:
+    def token(self, lang: str, word: str) -> str:
+        """Empty for a rare word."""
         import xxhash
 
+        short = self.codes.get(lang, {}).get(word)
+        if short is not None:
+            return short
         bit = xxhash.xxh64_intdigest(f"{lang}\0{word}".encode("utf-8", "surrogatepass"), 42) % BITMAP_BITS
         bucket = self.buckets.get(bit // _BITS)
-        return bucket is not None and bool(bucket[bit % _BITS // 8] >> bit % 8 & 1)
+        return f"\t{word} " if bucket is not None and bucket[bit % _BITS // 8] >> bit % 8 & 1 else ""
+
+
+def word_codes(words: DataFrame, coded: int = CODED) -> dict[str, dict[str, str]]:
+    """words (lang, word, n) -> by language, the characters of the commonest words, `coded` at most over all languages."""
+    out: dict[str, dict[str, str]] = {}
+    for r in words.orderBy(F.desc("n"), "lang", "word").limit(coded).collect():  # a table of fixed length
+        own = out.setdefault(r.lang, {})
+        if (short := code(len(own))) is not None:
+            own[r.word] = short
+    return out
 
 
 def _bitmap(words: DataFrame) -> dict[int, bytes]:
@@ -111,99 +151,162 @@ def _bitmap(words: DataFrame) -> dict[int, bytes]:
     return {r.bucket - 1: bytes(r.bits) for r in rows.collect()}  # 16 MB at most
 
 
-def truncated_suffixes(docs: DataFrame, frequent: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
-    """lang, text; frequent words (lang, word) -> lang, suffix (each word with a blank behind it), n, of two words at least."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(frequent))
+class Suffixes:
+    """Truncated suffixes by their first word and its part."""
+
+    def __init__(self, hot: Hot, max_words: int):
+        self.hot, self.max_words, self.size = hot, max_words, 0
+        self.counts: dict[str, dict[str | tuple[str, int], dict[str, int]]] = {}
+
+    def add(self, lang: str, words: list[str]) -> None:
+        """The suffixes, of two words at least, of written words that stand together."""
+        hot, counts, n, most = self.hot.get(lang, {}), self.counts.setdefault(lang, {}), len(words), self.max_words
+        self.size += n - 1
+        for i in range(n - 1):
+            head = words[i]
+            if head in hot:
+                j, end = i + 2, min(i + most, n)
+                while j < end and words[j - 1] in hot:
+                    j += 1
+                head = head, zlib.crc32("".join(words[i + 1 : j]).encode("utf-8", "surrogatepass")) % hot[head]
+            rest = "".join(words[i + 1 : i + most])
+            rests = counts.get(head)
+            if rests is None:
+                counts[head] = {rest: 1}
+            else:
+                rests[rest] = rests.get(rest, 0) + 1
+
+    def given_out(self) -> pa.RecordBatch:
+        rows = []
+        for lang, heads in self.counts.items():
+            for head, rests in heads.items():
+                order = sorted(rests)
+                word, part = (head, 0) if isinstance(head, str) else head
+                rows.append((lang, word, part, "\n".join(order), [rests[r] for r in order]))
+        self.counts, self.size = {}, 0
+        return _batch(_HEAD, rows)
+
+
+def truncated_suffixes(docs: DataFrame, writing: Broadcast, hot: Hot, max_words: int = MAX_WORDS) -> DataFrame:
+    """lang, text; codes and bitmap -> lang, head, part, rests, n."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, frequent_words = Held(), FrequentWords(bitmap.value)
+        held, write = Suffixes(hot, max_words), Writing(*writing.value)
         for batch in batches:
             for lang, text in _rows(batch):
-                counts, known = held.of(lang), frequent_words.of(lang)
+                known = write.of(lang)
                 for words in pieces(text):
-                    begin = 0
-                    for i, w in enumerate(words):
-                        often = known.get(w)
-                        if often is None:
-                            often = known[w] = frequent_words.test(lang, w)
-                        if not often:
-                            if i - begin > 1:
-                                _add(counts, words[begin:i], max_words)
-                            begin = i + 1
-                    if len(words) - begin > 1:
-                        _add(counts, words[begin:] if begin else words, max_words)
-            yield from held.handed_on()
-        yield from held.handed_on(last=True)
-
-    return docs.mapInArrow(cut, _SUFFIX_SQL)
-
-
-def _add(counts: dict[str, int], words: list[str], max_words: int) -> None:
-    words = [w + " " for w in words]
-    for i in range(len(words) - 1):
-        s = "".join(words[i : i + max_words])
-        counts[s] = counts.get(s, 0) + 1
-
-
-def prefix_counts(rows: Iterator[tuple[str, str, int]], min_count: int) -> Iterator[tuple[str, str, int]]:
-    """lang, suffix, n, sorted -> lang, phrase, n of all prefixes of two words at least that are found min_count times.
-
-    Those that begin the first or the last suffix are given out in any case, as they may go on in the range before or behind.  The stack
-    holds the words of the suffix on hand, and for each of its prefixes the count of what it has left since it was put on.
+                    run: list[str] = []
+                    for w in words:
+                        written = known.get(w)
+                        if written is None:
+                            written = known[w] = write.token(lang, w)
+                        if written:
+                            run.append(written)
+                        elif run:
+                            if len(run) > 1:
+                                held.add(lang, run)
+                            run = []
+                    if len(run) > 1:
+                        held.add(lang, run)
+                    if held.size >= HELD:
+                        yield held.given_out()
+        yield held.given_out()
+
+    return docs.mapInArrow(cut, _HEAD_SQL)
+
+
+def prefix_counts(suffixes: list[tuple[str, int]], min_count: int, hot: dict[str, int]) -> Iterator[tuple[bool, list[str], int]]:
+    """(suffix, n) in reverse order -> partial, written words, n of all prefixes of two words at least that are found min_count times.
+
+    Those of frequent words alone (partial) are given out whatever their count, as other parts may add to it.  The stack holds the words of the suffix on
+    hand, for each of its prefixes the count of what has gone from above it, and whether it is partial.
     """
-    lang, stack, counts, edge = None, [], [], None  # edge: so many prefixes on the stack begin the first suffix too
+    stack: list[str] = []
+    counts: list[int] = []
+    partial: list[bool] = []
 
-    def popped(keep: int, edge: int) -> Iterator[tuple[str, str, int]]:
+    def popped(keep: int) -> Iterator[tuple[bool, list[str], int]]:
         while len(stack) > keep:
-            n = counts.pop()
-            if len(stack) > 1 and (n >= min_count or len(stack) <= edge):
-                yield lang, " ".join(stack), n
+            n, some = counts.pop(), partial.pop()
+            if len(stack) > 1 and (n >= min_count or some):
+                yield some, stack[:], n
             stack.pop()
             if counts:
                 counts[-1] += n
 
-    for new_lang, suffix, n in rows:
-        words, same = suffix.split(" ")[:-1], 0
-        if new_lang == lang:
-            for a, b in zip(stack, words):
-                if a != b:
-                    break
-                same += 1
+    for suffix, n in suffixes:
+        words, same = tokens(suffix), 0
+        for a, b in zip(stack, words):
+            if a != b:
+                break
+            same += 1
         if same < len(stack):
-            yield from popped(same, edge)
-            edge = min(edge, same)
-        lang = new_lang
-        stack += words[same:]
-        counts += [0] * (len(words) - same)
+            yield from popped(same)
+        for w in words[same:]:
+            partial.append((not partial or partial[-1]) and w in hot)
+            counts.append(0)
+            stack.append(w)
         counts[-1] += n
-        if edge is None:
-            edge = len(words)
-    yield from popped(0, len(stack))
+    yield from popped(0)
+
 
+def head_counts(head: str, rests: list[str], n: list[int], min_count: int, hot: dict[str, int]) -> Iterator[tuple[bool, list[str], int]]:
+    """All suffixes with one first word, in one part of it -> partial, written words, n.  Pairs that are too rare need no sorting."""
+    seconds = [r[0] if r[0] != "\t" else r[: r.index(" ") + 1] for r in rests]
+    pairs: dict[str, int] = {}
+    for w, k in zip(seconds, n):
+        pairs[w] = pairs.get(w, 0) + k
+    often = {w for w, k in pairs.items() if k >= min_count or head in hot and w in hot}
+    suffixes = [(head + r, k) for r, w, k in zip(rests, seconds, n) if w in often]
+    suffixes.sort(reverse=True)
+    return prefix_counts(suffixes, min_count, hot)
 
-def phrase_counts(suffixes: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
-    """lang, suffix, n -> lang, phrase (of two words at least), n, of those found min_count times."""
+
+def phrase_counts(suffixes: DataFrame, writing: Broadcast, hot: Hot, min_count: int = MIN_COUNT) -> DataFrame:
+    """lang, head, part, rests, n -> lang, phrase (of two words at least), n, of those found min_count times."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in range(3))))
+        key, rests, n = None, [], []
         out: list[tuple[str, str, int]] = []
-        for row in prefix_counts(rows, min_count):
-            out.append(row)
-            if len(out) >= 50_000:
-                yield _batch(out)
-                out = []
-        yield _batch(out)
-
-    order = [F.desc("lang"), F.desc("suffix")]
-    parts = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    counts = ranges.mapInArrow(count, _SUFFIX_SQL).withColumnRenamed("suffix", "phrase")
-    return counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+        partial: dict[tuple[str, str], int] = {}
+        words_of: dict[str, dict[str, str]] = {}
+
+        def done() -> None:
+            if key is None:
+                return
+            lang, head, _ = key
+            if lang not in words_of:
+                words_of[lang] = {c: w for w, c in writing.value[0].get(lang, {}).items()}
+            plain = words_of[lang]
+            for some, words, k in head_counts(head, rests, n, min_count, hot.get(lang, {})):
+                phrase = " ".join(plain[w] if len(w) == 1 else w[1:-1] for w in words)
+                if some:
+                    partial[lang, phrase] = partial.get((lang, phrase), 0) + k
+                else:
+                    out.append((lang, phrase, k))
+
+        def given_out() -> pa.RecordBatch:
+            rows = out + [(*k, v) for k, v in partial.items()]
+            out.clear(), partial.clear()
+            return _batch(_COUNT, rows)
 
+        for batch in batches:
+            for *place, more, ns in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                if place != key:
+                    done()
+                    key, rests, n = place, [], []
+                    if len(out) + len(partial) >= 50_000:
+                        yield given_out()
+                rests += more.split("\n")
+                n += ns
+        done()
+        yield given_out()
 
-def _batch(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
-    columns = zip(*rows) if rows else ([], [], [])
-    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _SUFFIX)], schema=_SUFFIX)
+    parts = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = suffixes.repartition(parts, "lang", "head", "part").sortWithinPartitions("lang", "head", "part")
+    counts = dealt.mapInArrow(count, _COUNT_SQL)
+    return counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
 
 
 def with_scores(phrases: DataFrame, words: DataFrame, totals: DataFrame) -> DataFrame:
@@ -244,7 +347,7 @@ def best_in_language(scored: DataFrame, best: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= best).drop("_part")
 
 
-def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, best: int = BEST, cover: int = 100) -> DataFrame:
+def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, best: int = BEST, cover: int = 100, coded: int = CODED) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first `best` phrases of each language by score, a and phrase.
 
     A phrase has 2 to max_words words that stand together in a piece at least min_count times (a; overlaps count).
@@ -254,14 +357,19 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = M
     ignored, and an empty table gives no rows.
     """
     texts = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), whole_text(docs).alias("text"))
-    counts = texts.mapInArrow(_count_words, _SUFFIX_SQL).groupBy("lang", F.col("suffix").alias("word")).agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(_count_words, _COUNT_SQL).groupBy("lang", F.col("phrase").alias("word")).agg(F.sum("n").alias("n"))
     counts = staged(counts, "word_counts")
     totals = staged(counts.groupBy("lang").agg(F.sum("n").alias("n")), "language_totals")
     words = staged(counts.where(F.col("n") >= min_count), "frequent_words")
     release(counts)
-    suffixes = staged(truncated_suffixes(texts, words, max_words), "suffixes", batch_rows=10_000)
-    phrases = staged(phrase_counts(suffixes, min_count).withColumnRenamed("n", "a"), "phrases")
-    release(suffixes)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(int((totals.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE / parts), min_count)
+    writing = docs.sparkSession.sparkContext.broadcast((word_codes(words, coded), _bitmap(words)))  # CODED words and 16 MB
+    hot: Hot = {}
+    for r in words.where(F.col("n") > most).collect():  # parts / HOT_SHARE at most
+        hot.setdefault(r.lang, {})[writing.value[0].get(r.lang, {}).get(r.word) or f"\t{r.word} "] = -(-r.n // most)
+    suffixes = truncated_suffixes(texts, writing, hot, max_words)
+    phrases = staged(phrase_counts(suffixes, writing, hot, min_count).withColumnRenamed("n", "a"), "phrases")
     scored = with_scores(phrases, words, maybe_broadcast(totals)).join(contained(phrases), ["lang", "phrase"], "left")
     scored = scored.where(F.coalesce(F.col("longest_a"), F.lit(0)) * 100 < F.col("a") * cover).drop("longest_a")
     return best_in_language(scored, best).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
