@@ -93,22 +93,22 @@ class Group:
 
 
 class Shard:
-    """An automaton over the halves of words; what stands under a half are its groups by side and length."""
+    """An automaton over the halves of words; what stands under a half are its groups by side, length and part (of those dealt to several)."""
 
     def __init__(self):
         import ahocorasick
 
         self.automaton, self.n, self.closed = ahocorasick.Automaton(), {}, False
-        self.halves: dict[str, dict[tuple[int, int], Group]] = {}
+        self.halves: dict[str, dict[tuple[int, int, int], Group]] = {}
         self.longer: dict[str, list] = {}
 
-    def add(self, word: str, n: int, side: int, length: int) -> None:
+    def add(self, word: str, n: int, side: int, length: int, part: int) -> None:
         mid = length // 2
         half, lo, hi = (word[mid:], 0, mid) if side else (word[:mid], mid, length)
-        self.halves.setdefault(half, {}).setdefault((side, length), Group(lo, hi)).words.append(word)
+        self.halves.setdefault(half, {}).setdefault((side, length, part), Group(lo, hi)).words.append(word)
         self.n[word] = n
 
-    def scan(self, v: str, n: int, side: int, length: int) -> tuple[str, int, str, int] | None:
+    def scan(self, v: str, n: int, side: int, length: int, part: int) -> tuple[str, int, str, int] | None:
         """(v, number of near words of the length that are found by this side, the most frequent of them, its number)."""
         if not self.closed:
             for half, groups in self.halves.items():
@@ -120,8 +120,8 @@ class Shard:
             return None
         found, short, mid = set(), length - len(v), length // 2
         for end, (size, groups) in self.automaton.iter(v):
-            if (end + 1 == len(v) if side else end + 1 == size) and (side, length) in groups:
-                groups[side, length].near(v, short, found)
+            if (end + 1 == len(v) if side else end + 1 == size) and (side, length, part) in groups:
+                groups[side, length, part].near(v, short, found)
         if side:  # those whose first half stands in v as well come by that
             found = {u for u in found if u[:mid] != v[:mid]}
         if not found:
@@ -157,13 +157,13 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _FOUND)], schema=_FOUND)
 
     for batch in batches:
-        for key, scan, word, n, side, length in zip(*(batch.column(c).to_pylist() for c in ("shard", "scan", "word", "n", "side", "length"))):
+        for key, scan, word, n, *place in zip(*(batch.column(c).to_pylist() for c in ("shard", "scan", "word", "n", "side", "length", "part"))):
             if key != name:
                 out += shard.rest()
                 shard, name = Shard(), key
             if not scan:
-                shard.add(word, n, side, length)
-            elif (row := shard.scan(word, n, side, length)) is not None:
+                shard.add(word, n, *place)
+            elif (row := shard.scan(word, n, *place)) is not None:
                 out.append(row)
         yield flushed()
         out.clear()
@@ -190,7 +190,7 @@ def near_words(words: DataFrame, shard_halves: int = SHARD_HALVES) -> DataFrame:
     own = F.coalesce(F.pmod(F.xxhash64("word"), F.col("parts")).cast("int"), F.lit(0))
     rows = dealt(halves, own).unionByName(dealt(scans, F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(*keys, "part"), F.lit(shards)).cast("long"))
-    rows = rows.select("shard", "scan", "word", "n", "side", "length").repartition(shards, "shard").sortWithinPartitions("shard", "scan")
+    rows = rows.select("shard", "scan", "word", "n", "side", "length", "part").repartition(shards, "shard").sortWithinPartitions("shard", "scan")
     found = rows.mapInArrow(_search, _FOUND_SQL).groupBy("word")
     best = F.min(F.struct((-F.col("best_n")).alias("minus"), F.col("best")))
     return found.agg(F.sum("n_near").alias("n_near"), best.alias("b")).select("word", "n_near", F.col("b.best").alias("best"), (-F.col("b.minus")).alias("best_n"))
