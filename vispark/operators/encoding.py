@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vispark.sources.staging import staged
+
 # The end of a word while merging, what marks a piece that goes on, the label of positions without one.
 WORD_END, GOES_ON, NO_LABEL = "</w>", "@@", -100
 MAX_PIECES = 96
@@ -120,10 +122,11 @@ def padded_batch(rows: DataFrame, batch: str, pad_id: int = 1) -> DataFrame:
 def flat_offsets(rows: DataFrame, key: str, values: str) -> DataFrame:
     """key, begin, stop: where each row's values lie in the table of all values, in the order of key.
 
-    Ranges of keys are summed first, so that no task has more than one range of them.
+    Ranges of keys are summed first, so that no task has more than one range of them; they are staged, as both what is summed and what is
+    joined must see the same ranges.
     """
     sized = rows.select(F.col(key), F.size(values).cast("long").alias("n"))
-    parts = sized.repartitionByRange(key).withColumn("part", F.spark_partition_id())
+    parts = staged(sized.repartitionByRange(key).withColumn("part", F.spark_partition_id()), "flat_offsets")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     base = parts.groupBy("part").agg(F.sum("n").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     running = F.sum("n").over(Window.partitionBy("part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))

@@ -5,35 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vispark.functions.text import apart
+from vispark.operators.windows import chain, how_many, let
 
-#: SQL: of an array `all` of (by, it), ordered, those whose issue starts where the last kept one has ended.
-KEPT = (
-    "aggregate(all, named_struct('last', -1, 'out', slice(all, 1, 0)), (a, x) -> CASE WHEN x.it.start >= a.last "
-    "THEN named_struct('last', x.it.end, 'out', array_append(a.out, x)) ELSE a END, a -> a.out)"
-)
+
+#: Positions of a document that make up a bin: spans meet by (document, bin), so a long document is many tasks.
+BIN = 4096
+
+
+def without_overlaps(rows: DataFrame) -> DataFrame:
+    """rows with `all`, an array of (by, it), ordered -> a row with x for each that starts where the last kept one has ended.
+
+    From each kept issue the next is found by binary search, so what is left out costs nothing.
+    """
+    rows = apart(rows, _starts=F.transform("all", lambda x: x["it"]["start"].cast("long")), _ends=F.transform("all", lambda x: x["it"]["end"].cast("long")))
+    following = lambda i: F.greatest(i + 1, let(F.get("_ends", i), lambda end: how_many(F.col("_starts"), lambda s: s < end)))
+    rows = apart(rows, _kept=chain(following, F.size("all")))
+    return rows.select("*", F.explode(F.transform("_kept", lambda i: F.get("all", i))).alias("x")).drop("all", "_starts", "_ends", "_kept")
 
 
 def dedupe_issues(issues: DataFrame) -> DataFrame:
     """Keeps, from the left, each issue that starts where the last kept one has ended.
 
     Of issues with one start the longest comes first, then the most confident, then the one with the smaller source and
-    suggestion.  One aggregation by document; the fold runs over that document's issues only.
+    suggestion.  One aggregation by document; what follows runs over that document's issues only.
     """
     columns = [c for c in issues.columns if c != "doc_id"]
     order = F.struct("start", (-F.col("end")).alias("short"), (-F.col("confidence")).alias("doubt"), "source", "suggestion")
     rows = issues.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("by"), F.struct(*columns).alias("it")))).alias("all"))
-    return rows.select("doc_id", F.explode(F.expr(KEPT)).alias("x")).select("doc_id", "x.it.*").select(*issues.columns)
+    return without_overlaps(rows).select("doc_id", "x.it.*").select(*issues.columns)
+
+
+def binned(spans: DataFrame, start: str, end: str) -> DataFrame:
+    """spans with _bin, a row for each bin that a span (end exclusive) touches; an empty span is in the bin of its place."""
+    last = F.greatest(F.col(end) - 1, F.col(start))
+    return spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / BIN), F.floor(last / BIN))))
 
 
 def merge_rule_first(rules: DataFrame, model: DataFrame) -> DataFrame:
     """All rule issues, and the model's that overlap none of them."""
-    r = rules.select(F.col("doc_id").alias("_doc"), F.col("start").alias("_start"), F.col("end").alias("_end"))
-    free = model.join(r, (F.col("doc_id") == F.col("_doc")) & (F.col("start") < F.col("_end")) & (F.col("_start") < F.col("end")), "left_anti")
-    return rules.unionByName(free)
+    r = binned(rules.select(F.col("doc_id").alias("_doc"), F.col("start").alias("_start"), F.col("end").alias("_end")), "_start", "_end").withColumnRenamed("_bin", "_at")
+    m = binned(model.select("doc_id", "start", "end").distinct(), "start", "end")
+    meet = (F.col("doc_id") == F.col("_doc")) & (F.col("_bin") == F.col("_at")) & (F.col("start") < F.col("_end")) & (F.col("_start") < F.col("end"))
+    taken = m.join(r, meet, "left_semi").select("doc_id", "start", "end").distinct()
+    return rules.unionByName(model.join(taken, ["doc_id", "start", "end"], "left_anti").select(*model.columns))
+
+
+def within(places: DataFrame, at: str, ranges: DataFrame, begin: str, stop: str, document: str = "doc_id") -> DataFrame:
+    """places joined with the ranges of their document in which they lie (stop exclusive), all columns of both; the others stay, with nulls."""
+    some = binned(ranges.withColumnRenamed(document, "_doc").where(F.col(stop) > F.col(begin)), begin, stop).withColumnRenamed("_bin", "_at")
+    inside = (F.col(document) == F.col("_doc")) & (F.floor(F.col(at) / BIN) == F.col("_at")) & (F.col(begin) <= F.col(at)) & (F.col(at) < F.col(stop))
+    return places.join(some, inside, "left").drop("_doc", "_at")
 
 
 def hits_in_ranges(issues: DataFrame, ranges: DataFrame) -> DataFrame:
     """Issues joined with the ranges (doc_id, begin, stop, and more) in which they start; unmatched ones stay, with nulls."""
-    r = ranges.select(F.col("doc_id").alias("_doc"), *[c for c in ranges.columns if c != "doc_id"])
-    inside = (F.col("doc_id") == F.col("_doc")) & (F.col("begin") <= F.col("start")) & (F.col("start") < F.col("stop"))
-    return issues.join(r, inside, "left").drop("_doc")
+    return within(issues, "start", ranges, "begin", "stop")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vispark.sources.staging import staged
+
 
 def _ratio(a, b):
     return F.when(b > 0, a / b).otherwise(0.0)
@@ -89,15 +91,44 @@ def paired(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("delta", F.col("only_b") - F.col("only_a")).withColumn("se", F.sqrt(F.col("only_a") + F.col("only_b")) / F.col("n"))
 
 
-def quantiles(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """median, p75, p90 by interpolation, and p50, p95, p99 by the value at index min(n - 1, floor(n q))."""
-    listed = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("n"),
-        *[F.percentile(value, F.lit(q)).alias(name) for q, name in ((0.5, "median"), (0.75, "p75"), (0.9, "p90"))],
-    )
-    from pyspark.sql import Window
+# Rules that give the index (from 0) of a quantile among n ordered values.
+INDEX_RULES = {
+    "floor": lambda n, q: F.least(n - 1, F.floor(n * q)),
+    "before": lambda n, q: F.pmod(F.floor(n * q) - 1, n),  # the one before; below the first, the last
+    "ceil": lambda n, q: F.greatest(F.ceil(n * q) - 1, F.lit(0)),
+}
+
 
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1)
-    at = lambda q: F.least(F.col("n") - 1, F.floor(F.col("n") * q))
-    picked = ranked.join(listed, by).groupBy(*by).agg(*[F.max(F.when(F.col("_i") == at(q), F.col(value))).alias(name) for q, name in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))])
-    return listed.join(picked, by)
+def order_statistics(rows: DataFrame, value: str, by: list[str], picks: dict[str, tuple[str, float]]) -> DataFrame:
+    """by, n and, for each name of picks, the quantile of a rule: linear (between the two nearest values) or one of INDEX_RULES.
+
+    Values are put into ranges over (by, value), so that no task has a whole group; the values in each range are counted, and a rank is
+    looked up in its range.  Null values do not count; groups of nulls alone are left out.
+    """
+    groups = [F.col(c) for c in by]
+    order = [*by, value]
+    ranges = rows.where(F.col(value).isNotNull()).select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    # After the sort, ids within a partition go up by one.
+    ranges = staged(ranges.select(*order, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id")), "ranges")
+    sizes = ranges.groupBy(*by, "_part").agg(F.count("*").alias("_count"), F.min("_id").alias("_first"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_count").over(before), F.lit(0))).withColumn("n", F.sum("_count").over(Window.partitionBy(*by)))
+    n, wanted = F.col("n"), []
+    for name, (rule, q) in picks.items():
+        at = (n - 1) * F.lit(q) if rule == "linear" else INDEX_RULES[rule](n, F.lit(q)).cast("double")
+        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            wanted.append(F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), rank.cast("long").alias("rank"), (at - F.floor(at)).alias("share")))
+    asked = sizes.select(*by, "_part", "_count", "_first", "_before", "n", F.inline(F.array(*wanted)))
+    asked = asked.where((F.col("_before") <= F.col("rank")) & (F.col("rank") < F.col("_before") + F.col("_count")))
+    asked = asked.select(*by, "n", "name", "side", "share", (F.col("_first") + F.col("rank") - F.col("_before")).alias("_id"))
+    found = asked.join(ranges.select("_id", F.col(value).cast("double").alias("_value")), "_id")
+    pick = lambda name, side: F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("_value")))
+    share = lambda name: F.max(F.when(F.col("name") == name, F.col("share")))
+    between = lambda name: pick(name, "lo") * (1 - share(name)) + pick(name, "hi") * share(name)
+    return found.groupBy(*groups, "n").agg(*[between(name).alias(name) for name in picks])
+
+
+def quantiles(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """n, median, p75, p90 by interpolation, and p50, p95, p99 by the value at index min(n - 1, floor(n q))."""
+    linear = {name: ("linear", q) for name, q in (("median", 0.5), ("p75", 0.75), ("p90", 0.9))}
+    return order_statistics(rows, value, by, linear | {name: ("floor", q) for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vispark.functions.alphabet import to_ascii
 from vispark.operators.corpus import tags_between
+from vispark.operators.issues import within
 from vispark.operators.metrics import confusion
 from vispark.operators.sampling import first_rows
 
@@ -138,6 +139,4 @@ def only_in_first(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 def node_offsets(nodes: DataFrame, lookups: DataFrame) -> DataFrame:
     """nodes (doc, node, start, end), lookups (doc, offset) -> offset with its node and the place in it; outside of all, null."""
-    n = nodes.select(F.col("doc").alias("_doc"), "node", "start", "end")
-    inside = (F.col("doc") == F.col("_doc")) & (F.col("start") <= F.col("offset")) & (F.col("offset") < F.col("end"))
-    return lookups.join(n, inside, "left").select("doc", "offset", "node", (F.col("offset") - F.col("start")).alias("inside"))
+    return within(lookups, "offset", nodes, "start", "end", "doc").select("doc", "offset", "node", (F.col("offset") - F.col("start")).alias("inside"))

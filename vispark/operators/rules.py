@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vispark.functions.syllable import match_case
 from vispark.functions.text import apart, gaps, token_spans, tokens, with_starts
-from vispark.operators.issues import KEPT, dedupe_issues
+from vispark.operators.issues import dedupe_issues, without_overlaps
 from vispark.operators.rule_tables import PAIRS, PHRASES
 
 MAX_WORDS, CUE_WINDOW, MARGIN = 3, 3, 2
@@ -202,7 +202,7 @@ def issues_in_row(docs: DataFrame, phrases=PHRASES, pairs=PAIRS) -> DataFrame:
     every = F.concat(F.transform("_phrases", phrase_issue), F.transform("_context", context_issue))
     order = lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("short"), (-x["confidence"]).alias("doubt"), x["source"].alias("source"), x["suggestion"].alias("suggestion"))
     rows = apart(rows, all=F.array_sort(F.transform(every, lambda x: F.struct(order(x).alias("by"), x.alias("it")))))
-    return rows.select("doc_id", F.explode(F.expr(KEPT)).alias("x")).select("doc_id", "x.it.*")
+    return without_overlaps(rows.select("doc_id", "all")).select("doc_id", "x.it.*")
 
 
 def check_text(docs: DataFrame, min_confidence: float = 0.8, ignored: DataFrame | None = None, phrases=PHRASES, pairs=PAIRS) -> DataFrame:

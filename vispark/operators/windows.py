@@ -42,6 +42,28 @@ def how_many(ordered: Column, fits: Callable[[Column], Column]) -> Column:
     return F.aggregate(rounds, begin, halve, lambda s: s["lo"])
 
 
+def chain(following: Callable[[Column], Column], n: Column) -> Column:
+    """Array of 0, following(0), following(following(0)), ... below n; following must be larger than what it is given.
+
+    A fold copies what it has gathered at each step, so places are gathered in blocks, and blocks in blocks.
+    """
+    empty = F.array().cast("array<int>")
+    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+
+    def one(s: Column, _: Column) -> Column:
+        return F.when(s["at"] >= n, s).otherwise(state(following(s["at"]).cast("int"), F.array_append(s["out"], s["at"])))
+
+    def several(inner: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
+        def step(s: Column, _: Column) -> Column:
+            some = F.aggregate(F.sequence(F.lit(1), F.lit(_BLOCK)), state(s["at"], empty), inner)
+            return F.when(s["at"] >= n, s).otherwise(let(some, lambda b: state(b["at"], F.concat(s["out"], b["out"]))))
+
+        return step
+
+    rounds = F.sequence(F.lit(1), F.floor(n / (_BLOCK * _BLOCK)).cast("int") + 1)
+    return F.aggregate(rounds, state(F.lit(0), empty), several(several(one)), lambda s: s["out"])
+
+
 def with_offsets(rows: DataFrame) -> DataFrame:
     """rows (counts) with _offs, the pieces before each word and, last, of all."""
     rows = running_sums(apart(rows, _counts=F.transform("counts", lambda x: x.cast("int"))), "_counts", "_before")

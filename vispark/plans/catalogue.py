@@ -183,6 +183,12 @@ def latency_quantiles(spark, d):
     return out.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("median", "p75", "p90", "p50", "p95", "p99")])
 
 
+def index_quantiles(spark, d):
+    """The other two rules by which a quantile is the value at an index."""
+    picks = {f"{rule}_{round(100 * q)}": (rule, q) for rule in ("before", "ceil") for q in (0.5, 0.9, 0.95)}
+    return metrics.order_statistics(spark.read.parquet(f"{d}/events.parquet"), "value", ["event_type"], picks)
+
+
 def corrupt_options(spark, d):
     return corpus.corruptions(_words(spark, d), corpus.lexicon(_tokens(spark, d), 20))
 
@@ -279,7 +285,7 @@ QUERIES: dict[str, Callable] = {
         syllable_lexicon, nfc_normalise, tone_strip, ascii_fold, tone_detect, tone_positions, initial_final_split, token_offsets, tag_candidates,
         tag_between_pairs, sentence_clean, gap_sentences, phrase_match, context_issues, check_text, dedupe_issues, merge_rule_first,
         interval_hit, html_text, hash_split, class_weights, propensity, oov_rate, softmax_gate, gate_argmax, policy_sweep, confusion_full,
-        confusion_scoped, outcome_pivot, sentence_buckets, false_alarm_report, paired_discordance, latency_quantiles, corrupt_options,
+        confusion_scoped, outcome_pivot, sentence_buckets, false_alarm_report, paired_discordance, latency_quantiles, index_quantiles, corrupt_options,
         corrupt_sentences, balanced_cases, mix_report, run_plan_f2, run_plan_f2s, run_plan_f1, run_plan_none, centred_pick, top_tags, weekly_tag_counts,
         debounce_latest, burst_metrics, latest_wins, change_only, acceptance_ratio,
     )

@@ -279,6 +279,9 @@ ORACLE_SQL: dict[str, str] = {
         SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS p75,
         round(quantile_cont(value, 0.9), 6) AS p90, round(max(value) FILTER (i = least(n - 1, floor(n * 0.5))), 6) AS p50,
         round(max(value) FILTER (i = least(n - 1, floor(n * 0.95))), 6) AS p95, round(max(value) FILTER (i = least(n - 1, floor(n * 0.99))), 6) AS p99 FROM r GROUP BY 1""",
+    "index_quantiles": "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, count(*) AS n, "
+    + ", ".join(f"max(value) FILTER (i = floor(n * {q}) - 1) AS before_{round(100 * q)}, max(value) FILTER (i = ceil(n * {q}) - 1) AS ceil_{round(100 * q)}" for q in (0.5, 0.9, 0.95))
+    + " FROM r GROUP BY 1",
     "balanced_cases": f"""WITH {_PAIR}, c AS (SELECT substr(want, 1, 1) AS tag, want AS word, doc_id, pos FROM p WHERE wrong <> want),
         h AS (SELECT *, {_u(5, 'tag', 'word', 'doc_id', 'pos')} AS u FROM c),
         k AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY tag, lower(word) ORDER BY u, doc_id, pos) <= 3)
