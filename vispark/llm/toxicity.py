@@ -28,9 +28,9 @@ from vispark.llm.common import release, staged, whole_row, whole_text
 
 #: Labelled rows of each class that the fit reads at most.
 MAX_ROWS_PER_CLASS = 1500
-#: Features of a model at most; those in so many toxic rows at least (half as many where toxic rows are fewer than FEW).
+#: Features of a model, the strongest; they are in so many toxic rows of the sample at least.
 MAX_FEATURES = 600
-MIN_DOCS, FEW = 4, 100
+MIN_DOCS = 2
 #: Log odds from which a feature speaks for toxicity, and from which it grades it.
 MIN_ODDS, STRONG_ODDS = 1.5, 2.5
 GRADES = 4
@@ -67,6 +67,11 @@ class SeverityModel:
     weights: dict[str, float] = field(default_factory=dict)
     thresholds: tuple[float, ...] = ()
     cut: float = math.inf
+    #: Words that grade a toxic row, and the numbers of them above which it is of the second and the third grade.
+    strong: frozenset[str] = frozenset()
+    levels: tuple[float, ...] = ()
+    #: Of the sample, each row rated by a model that has not seen it: severity, whether it is toxic, and its grade by that model's rule.
+    unseen: tuple[tuple[float, int, int], ...] = ()
 
     def severity(self, counts: dict[str, int]) -> tuple[float, int]:
         """Expected grade, and the likeliest one; counts may have LENGTH."""
@@ -78,6 +83,12 @@ class SeverityModel:
         return float(above.sum()), int(each.argmax())
 
 
+    def grade(self, counts: dict[str, int]) -> int:
+        """The grade of a row that is labelled toxic, by its strong words."""
+        amount = sum(c for f, c in counts.items() if f in self.strong)
+        return 1 + sum(amount > level for level in self.levels)
+
+
 class Counts:
     """Counts the features of a text that are in known; known: None for all."""
 
@@ -130,12 +141,11 @@ def choose_features(seen: dict[str, np.ndarray], sizes: np.ndarray, without: int
     """
     use = np.arange(sizes.shape[1]) != (-1 if without is None else without)
     n = np.maximum(1, sizes[:, use].sum(axis=1))
-    least = MIN_DOCS if sizes[1, use].sum() >= FEW else MIN_DOCS // 2
     rank, strong = {}, set()
     for f, counts in seen.items():
         clean, toxic = counts[:, use].sum(axis=1)
         odds = math.log((toxic + 0.5) / n[1]) - math.log((clean + 0.5) / n[0])
-        if toxic >= least and odds > MIN_ODDS:
+        if toxic >= MIN_DOCS and odds > MIN_ODDS:
             rank[f] = odds * math.sqrt(toxic)
             if odds > STRONG_ODDS and not f.endswith("-"):
                 strong.add(f)
@@ -157,7 +167,7 @@ def fit_counts(rows: list[dict[str, int]], toxic: np.ndarray, chosen: list[str],
     levels = np.quantile(amount[graded], [1 / 3, 2 / 3]) if graded.any() else [0, 0]
     y = np.where(toxic == 1, 1 + (amount > levels[0]) + (amount > levels[1]), 0)
     w, th = fit_ordinal(x, y, GRADES)
-    return SeverityModel({f: float(w[i]) for f, i in place.items()}, tuple(th.tolist()), 0.5)
+    return SeverityModel({f: float(w[i]) for f, i in place.items()}, tuple(th.tolist()), 0.5, frozenset(strong & place.keys()), tuple(map(float, levels)))
 
 
 def best_cut(severity: np.ndarray, toxic: np.ndarray) -> float:
@@ -220,14 +230,16 @@ def fit_severity(docs: DataFrame, labels: DataFrame, max_rows_per_class: int = M
     rows = sorted(counted.collect(), key=lambda r: (r.id, r.is_toxic, sorted(r.found.items())))
     release(sample, per)
     counts, toxic, folds = [r.found for r in rows], np.array([r.is_toxic for r in rows]), np.array([r.fold for r in rows])
-    severity = np.zeros(len(rows))
+    severity, grades = np.zeros(len(rows)), np.zeros(len(rows), int)
     for k in range(FOLDS):
         train, test = np.flatnonzero(folds != k), np.flatnonzero(folds == k)
         model = fit_counts([counts[i] for i in train], toxic[train], *choose_features(seen, sizes, k))
         severity[test] = [model.severity(counts[i])[0] for i in test]
+        grades[test] = [model.grade(counts[i]) if toxic[i] else 0 for i in test]
     model = fit_counts(counts, toxic, *choose_features(seen, sizes))
     if model.thresholds:
         model.cut = best_cut(severity, toxic)
+        model.unseen = tuple(zip(severity.tolist(), toxic.tolist(), grades.tolist()))
     return model
 
 
@@ -246,7 +258,7 @@ def _rank(sizes: np.ndarray, without: int | None) -> Column:
 def _could_be_chosen(sizes: np.ndarray) -> Column:
     """Whether a feature is in enough toxic rows for any of the models."""
     toxic, *_ = _parts(sizes, None)
-    return toxic >= MIN_DOCS // 2
+    return toxic >= MIN_DOCS
 
 
 def severity_column(model: SeverityModel, text: Column) -> Column:
