@@ -120,10 +120,11 @@ TEXT = "Chia sẽ nữa thì tốt. Nghĩ lại nỗ lực sẻ trở nên dể
 LONG = " ".join(["sẻ chia tre no sữa dành rành giành", "Lo lắng X"][i % 2] for i in range(60))
 
 
-def expected(docs, known, fallback, max_pieces, seed, **bars):
+def expected(docs, known, fallback, max_pieces, tokenizer=None, **bars):
     """doc_id, start, end, original, suggestion, tag, confidence by plain loops; the options of words come from the tested table."""
     run = model.hash_model(None)
-    ranks = {pair: i for i, pair in enumerate(MERGES)}
+    tokenizer = tokenizer or TOKENIZER
+    ranks = {pair: i for i, pair in enumerate(tokenizer.merges)}
     out = []
     for doc, text in docs:
         spans = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", text or "")]
@@ -136,7 +137,7 @@ def expected(docs, known, fallback, max_pieces, seed, **bars):
             sentences.append(spans[at:])
         for some in sentences:
             words = [text[a:b] for a, b in some]
-            ids = [[TOKENIZER.vocabulary.get(p, 3) for p in encoding.merge_word(w, ranks)] for w in words]
+            ids = [[tokenizer.vocabulary.get(p, 3) for p in encoding.merge_word(w, ranks)] for w in words]
             counts = [len(x) for x in ids]
             runs = plan(counts, max_pieces - 2, fallback)
             own = owners(counts, runs)
@@ -176,7 +177,7 @@ def test_text_to_issues(spark, fallback, max_pieces, tmp_path):
     bars = {"threshold": 0.5, "margin": 0.1, "consonant": 0.4}
     got = model.score_text(df, file, TOKENIZER, lexicon, fallback, max_pieces, batch=3, **bars)
     rows = got.collect()
-    want = expected(docs, known, fallback, max_pieces, 0, **bars)
+    want = expected(docs, known, fallback, max_pieces, **bars)
     assert len(want) > 5
     groups = {tuple(r)[:3]: r.g for r in spark.createDataFrame([w[3:6] for w in want], "o string, s string, t string").withColumn("g", display_group(F.col("t"), F.col("o"), F.col("s"))).collect()}
     assert sorted((r.doc_id, r.start, r.end, r.original, r.suggestion, r.tag, round(r.confidence, 9)) for r in rows) == sorted((*w[:5], groups[w[3:6]], w[6]) for w in want)

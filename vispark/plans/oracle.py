@@ -236,6 +236,9 @@ ORACLE_SQL: dict[str, str] = {
     "interval_hit": f"""WITH {_SPANS}, r AS (SELECT doc_id, k * 200 AS begin_, k * 200 + 100 AS stop FROM (SELECT doc_id, unnest(range(max(start) // 200 + 1)) AS k FROM i GROUP BY 1))
         SELECT CAST(coalesce(r.begin_, -1) AS INTEGER) AS "begin", count(*) AS n, count(DISTINCT i.doc_id) AS docs
         FROM i LEFT JOIN r ON i.doc_id = r.doc_id AND r.begin_ <= i.start AND i.start < r.stop GROUP BY 1""",
+    "html_text": r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+            '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<code\b.*?</code\s*>|<pre\b.*?</pre\s*>', '', 'g'),
+            '(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|blockquote)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), '\s*\n\s*', chr(10), 'g')) AS text FROM pages""",
     "hash_split": f"""SELECT doc_id, CASE WHEN CAST('0x' || substr(sha256(text), 1, 2) AS INTEGER) < 128 THEN 'mine' ELSE 'eval' END AS half,
         CASE WHEN u < 0.90 THEN 'train' WHEN u < 0.95 THEN 'dev' ELSE 'test' END AS split
         FROM (SELECT doc_id, coalesce(text, '') AS text, {_u(7, "coalesce(text, '')")} AS u FROM documents)""",
