@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 
+import pandas as pd
 import pytest
 
 from vispark.llm.chat_format import with_neighbours_answers
@@ -14,7 +15,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 def _rows(df):
-    plain = lambda v: "-" if v is None or v != v else str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
+    plain = lambda v: "-" if v is None or v is pd.NA or (isinstance(v, float) and v != v) else str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
     return sorted(tuple(plain(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False, name=None))
 
 
