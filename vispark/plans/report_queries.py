@@ -12,6 +12,7 @@ from vispark.functions.alphabet import TAGS, VOWELS
 from vispark.operators import corpus, decisions, encoding, metrics, model, reports, rules, sampling, scoring
 from vispark.plans.inputs import docs, logits, pairs, predicted, rule_docs, spans, tokens, words
 from vispark.plans.oracle import _CLEAN_CUT, _GAPS, _LOGITS, _OUTCOME, _PAIR, _PRED, _SPANS, _TOKENS, _TONE, _WORDS, _got, _text, _u
+from vispark.sources import files
 from vispark.sources.files import corpus_sentences, last_lines, text_nodes
 from vispark.operators.rule_tables import PAIRS, PHRASES
 
@@ -247,6 +248,39 @@ def confusable_words(spark, d):
     return sampling.confusions(words(spark, d), known)
 
 
+def disagreement_by_distance(spark, d):
+    """Two sets of predictions by how near to its document's edge a word stands."""
+    both = predicted(spark, d).select("doc_id", "pos", F.col("got").alias("a")).join(predicted(spark, d, 10).select("doc_id", "pos", F.col("got").alias("b")), ["doc_id", "pos"])
+    sizes = docs(spark, d).select("doc_id", F.size(tx.tokens(F.col("text"))).alias("n"))
+    rows = both.join(sizes, "doc_id").withColumn("distance", F.least(F.col("pos"), F.col("n") - 1 - F.col("pos")))
+    out = reports.disagreement_by_distance(rows)
+    return out.select("distance", "words", "differ", F.round("share", 9).alias("share"))
+
+
+def remap_faults(spark, d):
+    """Faults of a numbering of the lengths of tokens that leaves out the rare ones; with the rare ones asked for too, those are missing."""
+    counts = encoding.id_counts(_lengths(spark, d))
+    return encoding.remap_faults(encoding.trimmed_ids(counts.select("id"), counts, 20, []), counts, 2)
+
+
+def restored_tokens(spark, d):
+    """Documents whose broken tokens are repaired by their tags again: the checksum of what comes out."""
+    words_ = tokens(spark, d).select(F.col("tok").alias("word")).distinct()
+    options = corpus.corruptions(words_, corpus.lexicon(tokens(spark, d), 20)).select("word", "broken", "fix")
+    broken = corpus.corrupt(corpus.sentence_tokens(docs(spark, d)), options, rate=0.3)
+    rows = broken.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tok", "tag"))).alias("t"))
+    again = corpus.unbroken(F.transform("t", lambda x: x["tok"]), F.transform("t", lambda x: x["tag"]))
+    return rows.select("doc_id", F.md5(F.array_join(again, " ")).alias("restored"))
+
+
+def settings_after(spark, d):
+    """Users' settings are the types of their events by then, changed by all later events; a signup clears them."""
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("key"), "event_type", "event_id")
+    stored = rows.where("event_id % 5 = 0").groupBy("key").agg(F.max("event_type").alias("value"))
+    changes = rows.where("event_id % 5 <> 0").select("key", F.when(F.col("event_type") != "signup", F.col("event_type")).alias("value"), F.col("event_id").alias("seq"))
+    return files.settings_after(stored, changes)
+
+
 def scope_report(spark, d):
     return reports.scope_report(pairs(spark, d), corpus.lexicon(tokens(spark, d), 3))
 
@@ -309,7 +343,7 @@ QUERIES: dict[str, Callable] = {
         word_like, tag_groups, escaped_text, replaced_tokens, rebuilt_text, training_sentences, issue_severity, fix_confusion, start_matches, id_remap, flat_offsets,
         padded_batch, side_by_side, node_offsets, pool_shares, tag_confusion, confidence_outcomes, diagnosis, confidence_cuts, candidate_alarms, truncated_coverage,
         conditional_sums, median_differences, rule_statistics, first_examples, first_documents, policy_report, policy_pick, mixed_pools, sampled_documents,
-        only_first_caught, training_variants, assembled_documents, edited_words, picked_words, last_events, confusable_words, scope_report, scope_by_tag, scoped_confusion,
+        only_first_caught, disagreement_by_distance, remap_faults, restored_tokens, settings_after, training_variants, assembled_documents, edited_words, picked_words, last_events, confusable_words, scope_report, scope_by_tag, scoped_confusion,
         bpe_pieces, encoded_sentences, scored_decisions, score_text, page_nodes,
     )
 }
@@ -401,6 +435,16 @@ ORACLE_SQL: dict[str, str] = {
     "mixed_pools": " UNION ALL ".join(f"(SELECT '{p}' AS pool, doc_id FROM documents WHERE source = '{s}' ORDER BY {_u(13, 'doc_id')}, doc_id LIMIT {n})" for p, s, n in (("a", "src0", 3), ("b", "src1", 2))),
     "sampled_documents": f"SELECT doc_id FROM documents ORDER BY {_u(13, 'doc_id')}, doc_id LIMIT 25",
     "only_first_caught": f"WITH {_PRED}{_got('q2', 10)} {_CAUGHT.format('q')} EXCEPT {_CAUGHT.format('q2')}",
+    "disagreement_by_distance": f"""WITH {_PRED}{_got('q2', 10)}, n AS (SELECT doc_id, len({_A}) AS n FROM documents),
+        r AS (SELECT least(q.pos, n - 1 - q.pos, 9) AS distance, q.got IS DISTINCT FROM q2.got AS differs FROM q JOIN q2 USING (doc_id, pos) JOIN n USING (doc_id))
+        SELECT CAST(distance AS INTEGER) AS distance, count(*) AS words, count(*) FILTER (differs) AS differ, round(count(*) FILTER (differs) / count(*), 9) AS share FROM r GROUP BY 1""",
+    "remap_faults": f"""WITH {_TOKENS}, c AS (SELECT length(tok) AS id, count(*) AS n FROM t GROUP BY 1)
+        SELECT unnest(['old repeats', 'new repeats', 'unordered', 'missing']) AS fault, unnest([0, 0, 0, (SELECT count(*) FROM c WHERE n >= 2 AND n < 20)]) AS n""",
+    "restored_tokens": f"SELECT doc_id, md5(array_to_string(a, ' ')) AS restored FROM (SELECT doc_id, {_A} AS a FROM documents) WHERE len(a) > 0",
+    "settings_after": """WITH r AS (SELECT CAST(user_id AS VARCHAR) AS key, event_type, event_id FROM events),
+        s AS (SELECT key, max(event_type) AS value FROM r WHERE event_id % 5 = 0 GROUP BY 1),
+        c AS (SELECT key, arg_max(event_type, event_id) AS value FROM r WHERE event_id % 5 <> 0 GROUP BY 1)
+        SELECT key, value FROM c WHERE value <> 'signup' UNION ALL SELECT key, value FROM s ANTI JOIN c USING (key)""",
     "training_variants": f"""SELECT doc_id, CAST(unnest(range(1, CASE WHEN {_u(7, "coalesce(text, '')")} < 0.90 THEN 4 ELSE 2 END)) AS INTEGER) AS variant FROM documents""",
     "assembled_documents": """WITH r AS (SELECT doc_id AS k, md5(coalesce(text, '')) AS s, count(*) OVER () AS n FROM documents),
         p AS (SELECT t.k // 4 AS doc, t.k % 4 AS j, a.s AS s0, t.s AS s1, b.s AS s2 FROM r t JOIN r a ON a.k = (2 * t.k * 13 + 101) % t.n JOIN r b ON b.k = ((2 * t.k + 1) * 13 + 101) % t.n)
