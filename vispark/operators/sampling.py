@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from vispark.functions.alphabet import FINAL_TAGS, INITIAL_TAGS
 from vispark.functions.syllable import candidate_rows
-from vispark.functions.text import unit_hash
+from vispark.functions.text import apart, unit_hash
 from vispark.operators.corpus import tags_between
+from vispark.operators.windows import chain, how_many, let, with_offsets
 
 CONSONANT_TAGS = (*INITIAL_TAGS, *FINAL_TAGS)
 #: Rows at the cut of a sample that are ordered rather than counted again.
@@ -118,10 +119,23 @@ def confusions(words: DataFrame, known: DataFrame) -> DataFrame:
     return back.where(F.col("tag").isin(*CONSONANT_TAGS)).select(F.col("dst").alias("word"), F.col("src").alias("bad"), "tag")
 
 
+def _chunk_starts(rows: DataFrame, budget: int) -> DataFrame:
+    """rows (counts) with _starts: where each chunk begins, and last how many counts there are; chunks follow each other and end before what would overfill them."""
+    rows = with_offsets(rows)
+    offs, n = F.col("_offs"), F.size("counts")
+    following = lambda i: F.greatest(i + 1, let(F.get(offs, i), lambda begin: how_many(offs, lambda o: o <= begin + budget) - 1))
+    return apart(rows, _starts=F.array_append(chain(following, n), n)).drop("_offs")
+
+
 def packed_chunks(rows: DataFrame, budget: int = 94) -> DataFrame:
     """rows (counts) with chunk, each word's chunk: words follow each other, and a chunk ends before the word that would overfill it."""
-    step = lambda a, n: F.when((a["room"] + n > budget) & (a["room"] > 0), F.struct((a["k"] + 1).alias("k"), n.alias("room"), F.array_append(a["out"], a["k"] + 1).alias("out"))).otherwise(
-        F.struct(a["k"].alias("k"), (a["room"] + n).alias("room"), F.array_append(a["out"], a["k"]).alias("out"))
-    )
-    zero = F.struct(F.lit(0).alias("k"), F.lit(0).alias("room"), F.array().cast("array<int>").alias("out"))
-    return rows.withColumn("chunk", F.aggregate("counts", zero, step, lambda a: a["out"]))
+    rows = _chunk_starts(rows, budget)
+    chunk = F.transform(F.slice("_starts", F.lit(1), F.size("_starts") - 1), lambda s, k: F.array_repeat(k, F.get("_starts", k + 1) - s))
+    return rows.withColumn("chunk", F.flatten(chunk)).drop("_starts")
+
+
+def packed_sentences(rows: DataFrame, budget: int = 94) -> DataFrame:
+    """rows (sentences, counts: their pieces) with chunks: whole sentences, joined by blanks, as many as fit; one that is too long is alone."""
+    rows = _chunk_starts(rows, budget)
+    text = lambda s, k: F.array_join(F.slice("sentences", s + 1, F.get("_starts", k + 1) - s), " ")
+    return rows.withColumn("chunks", F.transform(F.slice("_starts", F.lit(1), F.size("_starts") - 1), text)).drop("_starts")

@@ -273,6 +273,14 @@ def restored_tokens(spark, d):
     return rows.select("doc_id", F.md5(F.array_join(again, " ")).alias("restored"))
 
 
+def packed_sentences(spark, d):
+    """Whole sentences in chunks of 94 pieces, a piece being three letters."""
+    pieces = lambda s: F.aggregate(tx.tokens(s), F.lit(0), lambda a, w: a + F.ceil(F.length(w) / 3).cast("int"))
+    rows = tx.apart(docs(spark, d).select("doc_id", F.filter(tx.sentences(F.col("text")), lambda s: F.length(s) > 1).alias("sentences")), counts=F.transform("sentences", pieces))
+    rows = sampling.packed_sentences(rows).select("doc_id", F.posexplode("chunks").alias("chunk", "text"))
+    return rows.select("doc_id", "chunk", F.md5("text").alias("text"))
+
+
 def settings_after(spark, d):
     """Users' settings are the types of their events by then, changed by all later events; a signup clears them."""
     rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("key"), "event_type", "event_id")
@@ -343,7 +351,7 @@ QUERIES: dict[str, Callable] = {
         word_like, tag_groups, escaped_text, replaced_tokens, rebuilt_text, training_sentences, issue_severity, fix_confusion, start_matches, id_remap, flat_offsets,
         padded_batch, side_by_side, node_offsets, pool_shares, tag_confusion, confidence_outcomes, diagnosis, confidence_cuts, candidate_alarms, truncated_coverage,
         conditional_sums, median_differences, rule_statistics, first_examples, first_documents, policy_report, policy_pick, mixed_pools, sampled_documents,
-        only_first_caught, disagreement_by_distance, remap_faults, restored_tokens, settings_after, training_variants, assembled_documents, edited_words, picked_words, last_events, confusable_words, scope_report, scope_by_tag, scoped_confusion,
+        only_first_caught, disagreement_by_distance, remap_faults, restored_tokens, settings_after, packed_sentences, training_variants, assembled_documents, edited_words, picked_words, last_events, confusable_words, scope_report, scope_by_tag, scoped_confusion,
         bpe_pieces, encoded_sentences, scored_decisions, score_text, page_nodes,
     )
 }
@@ -441,6 +449,12 @@ ORACLE_SQL: dict[str, str] = {
     "remap_faults": f"""WITH {_TOKENS}, c AS (SELECT length(tok) AS id, count(*) AS n FROM t GROUP BY 1)
         SELECT unnest(['old repeats', 'new repeats', 'unordered', 'missing']) AS fault, unnest([0, 0, 0, (SELECT count(*) FROM c WHERE n >= 2 AND n < 20)]) AS n""",
     "restored_tokens": f"SELECT doc_id, md5(array_to_string(a, ' ')) AS restored FROM (SELECT doc_id, {_A} AS a FROM documents) WHERE len(a) > 0",
+    "packed_sentences": rf"""WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform({_CLEAN_CUT}, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) > 1) AS s FROM documents),
+        c AS (SELECT doc_id, s, list_transform(s, lambda x: coalesce(list_sum(list_transform(regexp_extract_all(x, '[\p{{L}}\p{{M}}]+'), lambda w: CAST(ceil(length(w) / 3) AS INTEGER))), 0)) AS counts FROM s WHERE len(s) > 0),
+        o AS MATERIALIZED (SELECT doc_id, s, len(s) AS n, list_prepend(0, list_transform(range(1, len(s) + 1), lambda i: list_sum(counts[1:i]))) AS offs FROM c),
+        p AS (SELECT doc_id, 0 AS chunk, 0 AS beg, greatest(1, len(list_filter(offs, lambda x: x <= 94)) - 1) AS stop FROM o
+              UNION ALL SELECT p.doc_id, chunk + 1, stop, greatest(stop + 1, len(list_filter(offs, lambda x: x <= offs[stop + 1] + 94)) - 1) FROM p JOIN o USING (doc_id) WHERE stop < n)
+        SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, md5(array_to_string(s[beg + 1:stop], ' ')) AS text FROM p JOIN o USING (doc_id)""",
     "settings_after": """WITH r AS (SELECT CAST(user_id AS VARCHAR) AS key, event_type, event_id FROM events),
         s AS (SELECT key, max(event_type) AS value FROM r WHERE event_id % 5 = 0 GROUP BY 1),
         c AS (SELECT key, arg_max(event_type, event_id) AS value FROM r WHERE event_id % 5 <> 0 GROUP BY 1)
