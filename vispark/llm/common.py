@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -119,3 +122,19 @@ def keep_marked(docs: DataFrame, marks: DataFrame, text_key: Column) -> DataFram
         again = rows.join(maybe_broadcast(some.select(*keys, "_kept")), keys).withColumn("_n", F.row_number().over(order))
         out = out.unionByName(again.where("_n <= _kept").select("row.*"))
     return out
+
+
+def returning(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function over a task's batches, which gives freed memory back to the system in the end: the worker goes on to other tasks."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+            if trim is not None:
+                trim(0)
+
+    return whole

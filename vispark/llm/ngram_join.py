@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vispark.llm.common import keep_marked, maybe_broadcast, release, staged, whole_text
+from vispark.llm.common import keep_marked, maybe_broadcast, release, returning, staged, whole_text
 from vispark.llm.components import components
 from vispark.llm.shingles import digest, shingle_set
 
@@ -125,7 +125,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         often = seen.counts >= LOCAL_COUNT
         yield pa.RecordBatch.from_arrays([pa.array(seen.values[often].view(np.int64)), pa.array(seen.counts[often])], ["token", "docs"])
 
-    found = staged(docs.select(whole_text(docs).alias("text")).mapInArrow(count, "token long, docs long"), "counts")
+    found = staged(docs.select(whole_text(docs).alias("text")).mapInArrow(returning(count), "token long, docs long"), "counts")
     total = found.groupBy("token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= MIN_FREQUENT)
     rows = total.orderBy(F.desc("docs"), "token").limit(MAX_FREQUENT).toArrow()
     release(found)
@@ -156,7 +156,7 @@ def _signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             columns = zip(*rows) if rows else [[]] * len(_SIG)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SIG)], schema=_SIG)
 
-    return staged(_keyed(docs).mapInArrow(sign, _SIG_SQL), "signatures")
+    return staged(_keyed(docs).mapInArrow(returning(sign), _SIG_SQL), "signatures")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def _meetings(groups: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                 held, rows = [], 0
         yield _met(held)
 
-    posted = groups.select("gid", "n", "prefix").mapInArrow(post, "bucket long, postings binary")
+    posted = groups.select("gid", "n", "prefix").mapInArrow(returning(post), "bucket long, postings binary")
     return staged(posted.groupBy("bucket").applyInArrow(meet, _MET_SQL), "meetings", batch_rows=2000)
 
 
@@ -272,7 +272,7 @@ def _possible(classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     side = lambda c, s: classes.select(F.col("nid").alias(c), F.col("sketch").alias(s), F.col("n").alias(f"n_{c}"))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y", (F.col("n_a") + F.col("n_b")).alias("total"))
-    return staged(both.mapInArrow(compare, "a long, b long"), "possible")
+    return staged(both.mapInArrow(returning(compare), "a long, b long"), "possible")
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -306,14 +306,14 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
             kept = batch.filter(pa.array(good, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["u", "v"])
 
-    found = staged(texts.mapInArrow(sets, "nid long, elements binary"), "elements")
+    found = staged(texts.mapInArrow(returning(sets), "nid long, elements binary"), "elements")
     elements = found
     if found.count() > needed.count():  # repeated rows
         elements = found.dropDuplicates(["nid"])
     # a pair brings one set to the task that has the other
     left = pairs.join(elements.select(F.col("nid").alias("b"), F.col("elements").alias("y")), "b")
     both = left.join(elements.select(F.col("nid").alias("a"), F.col("elements").alias("x")), "a").select("a", "b", "x", "y")
-    links = staged(both.mapInArrow(compare, "u long, v long"), "links")
+    links = staged(both.mapInArrow(returning(compare), "u long, v long"), "links")
     release(found, needed)
     return links
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vispark.llm.common import scratch, whole_text, write_table
+from vispark.llm.common import returning, scratch, whole_text, write_table
 from vispark.llm.tokens import crc32, default_vocabulary, encoder
 
 #: Parts packed together in a round.
@@ -149,7 +149,7 @@ def pack_documents(
         return merge
 
     path = scratch(spark, "packing")
-    made = [write_table(rows.mapInArrow(first_round, _BIN_SQL), f"{path}/0")]
+    made = [write_table(rows.mapInArrow(returning(first_round), _BIN_SQL), f"{path}/0")]
     round_no, parts = 0, (made[0].agg(F.max("part")).first()[0] or 0) + 1
     while True:
         round_no += 1

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from vispark.llm.common import release, staged, whole_row, whole_text
+from vispark.llm.common import release, returning, staged, whole_row, whole_text
 
 #: Labelled rows of each class that the fit reads at most.
 MAX_ROWS_PER_CLASS = 1500
@@ -211,7 +211,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, max_rows_per_class: int = M
             names, cells, n = [f for f, _ in seen], [c for _, c in seen], list(seen.values())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(cells, pa.int32()), pa.array(n, pa.int64())], ["f", "cell", "n"])
 
-    cells = sample.select("words", "is_toxic", "fold").mapInArrow(count, "f string, cell int, n long")
+    cells = sample.select("words", "is_toxic", "fold").mapInArrow(returning(count), "f string, cell int, n long")
     per = cells.groupBy("f").agg(*[F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in range(2 * FOLDS)])
     per = staged(per.where(_could_be_chosen(sizes)), "features")
     seen: dict[str, np.ndarray] = {}
@@ -226,7 +226,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, max_rows_per_class: int = M
             found = [list(counts.of(text.as_py()).items()) for text in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, kind), *batch.columns[1:]], ["found", "is_toxic", "fold", "id"])
 
-    counted = sample.select("words", "is_toxic", "fold", "id").mapInArrow(look_up, "found map<string, long>, is_toxic int, fold int, id long")
+    counted = sample.select("words", "is_toxic", "fold", "id").mapInArrow(returning(look_up), "found map<string, long>, is_toxic int, fold int, id long")
     rows = sorted(counted.collect(), key=lambda r: (r.id, r.is_toxic, sorted(r.found.items())))
     release(sample, per)
     counts, toxic, folds = [r.found for r in rows], np.array([r.is_toxic for r in rows]), np.array([r.fold for r in rows])
