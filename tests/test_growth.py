@@ -6,7 +6,9 @@ import io
 from contextlib import redirect_stdout
 
 import pytest
+from pyspark.sql import functions as F
 
+from vispark.operators import reports
 from vispark.plans import catalogue
 from vispark.plans.inputs import pairs, predicted
 
@@ -41,3 +43,14 @@ def test_two_predictions_of_a_word_need_no_join(spark):
 @pytest.mark.parametrize("name", ["scope_report", "scope_by_tag"])
 def test_errors_meet_tags_in_one_pass(spark, name):
     assert plan(catalogue.QUERIES[name](spark, DATA)).count("FileScan parquet") == 3  # errors, their words, the lexicon
+
+
+def test_cuts_hold_no_group_of_values(spark):
+    rows = spark.range(4000).selectExpr("CASE WHEN id < 3000 THEN 'a' WHEN id < 3003 THEN NULL ELSE 'b' END AS k", "CASE WHEN id < 3003 THEN (id * 7919 % 3000) / 3000 END AS v")
+    found = reports.above_cuts(rows, "v", "k")
+    assert "percentile" not in plan(found)
+    got = {r["k"]: tuple(r)[1:] for r in found.collect()}
+    want = {r["k"]: tuple(r)[1:] for r in rows.groupBy("k").agg(F.count("v"), *[F.percentile("v", F.lit(p)) for p in (0.5, 0.75, 0.9)], *[F.count_if(F.col("v") >= c) for c in (0.8, 0.7, 0.6, 0.5)]).collect()}
+    assert got.keys() == want.keys() and got["b"] == (0, None, None, None, 0, 0, 0, 0)
+    for k in ("a", None):
+        assert got[k] == pytest.approx(want[k], abs=1e-12)
