@@ -8,7 +8,8 @@ from contextlib import redirect_stdout
 import pytest
 from pyspark.sql import functions as F
 
-from vispark.operators import reports
+from vispark.functions.text import token_spans
+from vispark.operators import corpus, reports
 from vispark.plans import catalogue
 from vispark.plans.inputs import pairs, predicted
 
@@ -54,3 +55,40 @@ def test_cuts_hold_no_group_of_values(spark):
     assert got.keys() == want.keys() and got["b"] == (0, None, None, None, 0, 0, 0, 0)
     for k in ("a", None):
         assert got[k] == pytest.approx(want[k], abs=1e-12)
+
+
+def test_sentences_of_tokens_are_numbered_within_the_row(spark):
+    docs = spark.createDataFrame([(1, "Một hai. Ba bốn! năm\nSáu? Bảy"), (2, ". Một hai"), (3, None)], "doc_id long, text string")
+    rows = corpus.sentence_tokens(docs)
+    assert "Exchange" not in plan(rows) and dict(rows.dtypes)["sent"] == "bigint"
+    got = sorted(map(tuple, rows.select("doc_id", "pos", "sent").collect()))
+    assert got == [(1, 0, 0), (1, 1, 0), (1, 2, 1), (1, 3, 1), (1, 4, 1), (1, 5, 1), (1, 6, 2), (2, 0, 1), (2, 1, 1)]
+
+
+def test_unknown_words_are_not_broken_first(spark):
+    words = spark.createDataFrame([("sẽ",), ("Sẽ",), ("trở",), ("zzz",)], "word string")
+    known = spark.createDataFrame([("sẽ",)], "word string")
+    found = corpus.corruptions(words, known)
+    shown = plan(found)  # both sides of the last join look words up before they are taken apart
+    assert shown.count("LeftSemi") == 2 and shown.rindex("LeftSemi") > shown.rindex("Generate inline")
+    assert {r.word for r in found.collect()} == {"sẽ", "Sẽ"}
+
+
+def test_one_option_of_a_class_travels_for_a_token(spark):
+    tokens = spark.createDataFrame([(1, 0, 0, "a")], "doc_id long, sent long, pos int, tok string")
+    options = spark.createDataFrame([("a", f"b{i}", "S_X") for i in range(40)], "word string, broken string, fix string")
+    out = corpus.corrupt(tokens, options, rate=1.1)
+    assert "array_min" in plan(out).rsplit("Exchange hashpartitioning(doc_id", 1)[-1]  # below the exchange by sentence
+    assert out.count() == 1 and out.first()["tag"] == "S_X"
+
+
+def test_cues_are_found_without_windows_over_tokens(spark):
+    shown = plan(catalogue.QUERIES["context_issues"](spark, DATA))
+    assert "lag(" not in shown and "lead(" not in shown
+    docs = spark.createDataFrame([(1, "a B c d"), (2, "e"), (3, None)], "doc_id long, text string")
+    names = ["near_0", "near_1", "near_2", "near_4", "near_5", "near_6"]
+    got = sorted(tuple(r) for r in token_spans(docs, near=3).select("doc_id", "pos", *names).collect())
+    assert got == [
+        (1, 0, None, None, None, "b", "c", "d"), (1, 1, None, None, "a", "c", "d", None), (1, 2, None, "a", "b", "d", None, None),
+        (1, 3, "a", "b", "c", None, None, None), (2, 0, *[None] * 6),
+    ]
