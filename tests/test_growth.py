@@ -84,7 +84,7 @@ def test_one_option_of_a_class_travels_for_a_token(spark):
 
 def test_cues_are_found_without_windows_over_tokens(spark):
     shown = plan(catalogue.QUERIES["context_issues"](spark, DATA))
-    assert "lag(" not in shown and "lead(" not in shown
+    assert "lag(" not in shown and "lead(" not in shown and "BroadcastHashJoin" in shown  # the pairs are a small fixed table
     docs = spark.createDataFrame([(1, "a B c d"), (2, "e"), (3, None)], "doc_id long, text string")
     names = ["near_0", "near_1", "near_2", "near_4", "near_5", "near_6"]
     got = sorted(tuple(r) for r in token_spans(docs, near=3).select("doc_id", "pos", *names).collect())

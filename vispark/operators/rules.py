@@ -81,10 +81,13 @@ def phrase_hits(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
 
 
 def cue_scores(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Each form's score and its rival's: cue words within three tokens, the next ones counting double."""
+    """Each form's score and its rival's: cue words within three tokens, the next ones counting double.
+
+    tokens: token_spans; if it was made with near=CUE_WINDOW, no tokens are exchanged to find their neighbours.
+    """
     by_doc = Window.partitionBy("doc_id").orderBy("pos")
     at = lambda d: F.lag("lower", -d).over(by_doc) if d < 0 else F.lead("lower", d).over(by_doc)
-    rows = tokens.select("*", *[at(d).alias(f"near_{d + CUE_WINDOW}") for d in _NEAR])
+    rows = tokens if f"near_{2 * CUE_WINDOW}" in tokens.columns else tokens.select("*", *[at(d).alias(f"near_{d + CUE_WINDOW}") for d in _NEAR])
     rows = rows.join(pairs, rows["lower"] == pairs["form"])
     near = lambda d: F.col(f"near_{d + CUE_WINDOW}")
     own = _cue_sum(F.col("before"), F.col("after"), near)
@@ -125,7 +128,7 @@ def _why(other: Column, other_gloss: Column, form: Column, gloss: Column) -> Col
 
 def rule_issues(docs: DataFrame, phrases: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_id and the fields of an issue: all phrase hits, and context hits on tokens that no phrase took; by joins."""
-    spans = token_spans(docs)
+    spans = token_spans(docs, near=CUE_WINDOW)
     hits = phrase_hits(spans, phrases)
     taken = hits.select("doc_id", F.explode(F.expr("sequence(pos, pos + n - 1)")).alias("pos"))
     context = context_hits(spans, pairs).join(taken, ["doc_id", "pos"], "left_anti")
