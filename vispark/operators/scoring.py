@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Policy, kind (plain: the common rule; drop: KEEP is out and the rest scaled up; names: as drop, but capitalised words
@@ -12,23 +12,40 @@ POLICIES = (
 )
 
 
+def _fires(kind: str, bar: float | None, known: Column, threshold: float, margin: float) -> Column:
+    """Whether rows (token, first_word, best, best_p, keep_p) are decided by a policy of this kind; known ones by the common rule."""
+    head = F.substring("token", 1, 1)
+    name = ~F.col("first_word") & (head == F.upper(head)) & (head != F.lower(head))
+    plain = (F.col("best_p") >= threshold) & (F.col("best_p") - F.col("keep_p") >= margin)
+    rest = 1 - F.col("keep_p")
+    scaled = F.when(rest > 1e-9, F.col("best_p") / rest).otherwise(1.0) >= threshold
+    own = {"plain": plain, "drop": scaled, "names": F.when(name, plain).otherwise(scaled), "bar": F.col("best_p") >= F.lit(bar).cast("double")}[kind]
+    return F.col("best").isNotNull() & F.when(known, plain).otherwise(own)
+
+
 def policy_decisions(rows: DataFrame, threshold: float = 0.95, margin: float = 0.25, policies=POLICIES) -> DataFrame:
     """rows (token, first_word, known, best, best_p, keep_p) for each policy, with policy and decision (best or KEEP).
 
     Only words that the lexicon lacks are decided by the policy; known ones by the common rule.  One pass: the policies are
     an array that each row is exploded with.
     """
-    each = F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(k).alias("kind"), F.lit(b).cast("double").alias("bar")) for p, k, b in policies])
-    out = rows.withColumn("_p", F.explode(each))
-    head = F.substring("token", 1, 1)
-    name = ~F.col("first_word") & (head == F.upper(head)) & (head != F.lower(head))
-    plain = (F.col("best_p") >= threshold) & (F.col("best_p") - F.col("keep_p") >= margin)
-    rest = 1 - F.col("keep_p")
-    scaled = F.when(rest > 1e-9, F.col("best_p") / rest).otherwise(1.0)
-    kind = F.col("_p.kind")
-    fires = F.when(F.col("known") | (kind == "plain") | ((kind == "names") & name), plain).when(kind == "bar", F.col("best_p") >= F.col("_p.bar")).otherwise(scaled >= threshold)
-    decision = F.when(F.col("best").isNotNull() & fires, F.col("best")).otherwise("KEEP")
-    return out.withColumn("policy", F.col("_p.policy")).withColumn("decision", decision).drop("_p")
+    decision = lambda k, b: F.when(_fires(k, b, F.col("known"), threshold, margin), F.col("best")).otherwise("KEEP")
+    each = F.array(*[F.struct(F.lit(p).alias("policy"), decision(k, b).alias("decision")) for p, k, b in policies])
+    return rows.select("*", F.inline(each))
+
+
+def policy_counts(rows: DataFrame, known: DataFrame, threshold: float = 0.95, margin: float = 0.25, policies=POLICIES) -> DataFrame:
+    """rows (word, token, first_word, best, best_p, keep_p); known: word, each once -> word, policy, known, n, fires (decisions but KEEP).
+
+    As policy_decisions counted by word.  Each policy's decisions are counted for the case that the word is known and that it is not, and
+    the lexicon is joined to the counts: neither rows nor rows times policies are exchanged.
+    """
+    count = lambda k, b, known: F.count_if(_fires(k, b, F.lit(known), threshold, margin))
+    unknown = {f"_fires{i}": count(k, b, False) for i, (_, k, b) in enumerate(policies)}
+    counts = rows.groupBy("word").agg(F.count("*").alias("n"), count("plain", None, True).alias("_plain"), *[c.alias(name) for name, c in unknown.items()])
+    counts = counts.join(known.select(F.col("word").alias("_word"), F.lit(True).alias("_known")), F.col("word") == F.col("_word"), "left")
+    each = [F.struct(F.lit(p).alias("policy"), F.coalesce("_known", F.lit(False)).alias("known"), "n", F.when(F.col("_known"), F.col("_plain")).otherwise(F.col(f"_fires{i}")).alias("fires")) for i, (p, *_) in enumerate(policies)]
+    return counts.select("word", F.inline(F.array(*each)))
 
 
 # What a policy must reach: measure, comparison, bar.
