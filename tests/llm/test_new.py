@@ -172,3 +172,13 @@ def test_scores_are_exact_beyond_64_bits(spark):
 def test_codes_are_single_characters():
     assert [len((co.code(i) or "").encode()) for i in (0, 93, 94, 94 + 1886, 94 + 1887, 94 + 1887 + 53_247, 94 + 1887 + 53_248)] == [1, 1, 2, 2, 3, 3, 0]
     assert len({co.code(i) for i in range(55_000)}) == 55_000 and not {co.code(i) for i in range(55_000)} & set(" \t\n")
+
+
+def test_suffixes_travel_by_bucket(spark):
+    """What a task hands on is a row for each bucket and language, however many first words it has."""
+    held = co.Suffixes({"en": {"a": 3}}, 5, 4)
+    words = [chr(0x100 + i) for i in range(2000)] + ["a", "b", "a", "c"]
+    held.add("en", words)
+    batch = held.given_out()
+    assert batch.num_rows <= 4
+    assert sum(map(len, batch.column("heads").to_pylist())) == 2003 and sum(map(sum, batch.column("n").to_pylist())) == len(words) - 1

@@ -41,6 +41,8 @@ CODED = 150_000
 #: A word is frequent that begins more suffixes than this many mean partitions, and is dealt to parts of that size; there are as many at
 #: most as partitions, over it.
 HOT_SHARE = 1.0
+#: Buckets that a partition of the shuffle has on average: first words travel by bucket, and a task holds one bucket at a time.
+BUCKETS = 8
 #: Different prefixes by which the best phrases of a language are sought at first.
 RANK_PARTS = 64
 
@@ -50,9 +52,10 @@ _TOKEN = re.compile("\t[^ ]* |.", re.DOTALL)
 _BITS = 32_768  # of a bucket of Spark's bitmap functions
 _COUNT = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 _COUNT_SQL = "lang string, phrase string, n long"
-#: Suffixes with one first word (and in one part of it): what follows it, sorted and joined by line ends, and how often each is found.
-_HEAD = pa.schema([("lang", pa.string()), ("head", pa.string()), ("part", pa.int32()), ("rests", pa.string()), ("n", pa.list_(pa.int32()))])
-_HEAD_SQL = "lang string, head string, part int, rests string, n array<int>"
+#: Suffixes of a bucket of first words (and parts of them): by first word and part, what follows it, sorted and joined by line ends, and how often
+#: each is found, the numbers of all first words in a row.
+_HEAD = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("heads", pa.list_(pa.string())), ("parts", pa.list_(pa.int32())), ("rests", pa.list_(pa.string())), ("n", pa.list_(pa.int32()))])
+_HEAD_SQL = "bucket int, lang string, heads array<string>, parts array<int>, rests array<string>, n array<int>"
 #: By language, the frequent words, as they are written, and the number of their parts.
 Hot = dict[str, dict[str, int]]
 
@@ -154,8 +157,8 @@ def _bitmap(words: DataFrame) -> dict[int, bytes]:
 class Suffixes:
     """Truncated suffixes by their first word and its part."""
 
-    def __init__(self, hot: Hot, max_words: int):
-        self.hot, self.max_words, self.size = hot, max_words, 0
+    def __init__(self, hot: Hot, max_words: int, buckets: int = 1):
+        self.hot, self.max_words, self.buckets, self.size = hot, max_words, buckets, 0
         self.counts: dict[str, dict[str | tuple[str, int], dict[str, int]]] = {}
 
     def add(self, lang: str, words: list[str]) -> None:
@@ -177,21 +180,25 @@ class Suffixes:
                 rests[rest] = rests.get(rest, 0) + 1
 
     def given_out(self) -> pa.RecordBatch:
-        rows = []
-        for lang, heads in self.counts.items():
-            for head, rests in heads.items():
-                order = sorted(rests)
+        """A row for each bucket and language, whatever the number of first words."""
+        rows: dict[tuple[int, str], tuple[list, list, list, list]] = {}
+        for lang, all_heads in self.counts.items():
+            for head, found in all_heads.items():
+                order = sorted(found)
                 word, part = (head, 0) if isinstance(head, str) else head
-                rows.append((lang, word, part, "\n".join(order), [rests[r] for r in order]))
+                bucket = zlib.crc32(f"{lang}\0{word}\0{part}".encode("utf-8", "surrogatepass")) % self.buckets
+                heads, parts, rests, n = rows.setdefault((bucket, lang), ([], [], [], []))
+                heads.append(word), parts.append(part), rests.append("\n".join(order)), n.extend([found[r] for r in order])
         self.counts, self.size = {}, 0
-        return _batch(_HEAD, rows)
+        return _batch(_HEAD, [(*key, *row) for key, row in rows.items()])
 
 
 def truncated_suffixes(docs: DataFrame, writing: Broadcast, hot: Hot, max_words: int = MAX_WORDS) -> DataFrame:
-    """lang, text; codes and bitmap -> lang, head, part, rests, n."""
+    """lang, text; codes and bitmap -> bucket, lang, heads, parts, rests, n."""
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, write = Suffixes(hot, max_words), Writing(*writing.value)
+        held, write = Suffixes(hot, max_words, buckets), Writing(*writing.value)
         for batch in batches:
             for lang, text in _rows(batch):
                 known = write.of(lang)
@@ -264,27 +271,31 @@ def head_counts(head: str, rests: list[str], n: list[int], min_count: int, hot:
 
 
 def phrase_counts(suffixes: DataFrame, writing: Broadcast, hot: Hot, min_count: int = MIN_COUNT) -> DataFrame:
-    """lang, head, part, rests, n -> lang, phrase (of two words at least), n, of those found min_count times."""
+    """bucket, lang, heads, parts, rests, n -> lang, phrase (of two words at least), n, of those found min_count times."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rests, n = None, [], []
+        key, held = None, {}
         out: list[tuple[str, str, int]] = []
         partial: dict[tuple[str, str], int] = {}
         words_of: dict[str, dict[str, str]] = {}
 
-        def done() -> None:
+        def done() -> Iterator[pa.RecordBatch]:
             if key is None:
                 return
-            lang, head, _ = key
+            lang = key[1]
             if lang not in words_of:
                 words_of[lang] = {c: w for w, c in writing.value[0].get(lang, {}).items()}
             plain = words_of[lang]
-            for some, words, k in head_counts(head, rests, n, min_count, hot.get(lang, {})):
-                phrase = " ".join(plain[w] if len(w) == 1 else w[1:-1] for w in words)
-                if some:
-                    partial[lang, phrase] = partial.get((lang, phrase), 0) + k
-                else:
-                    out.append((lang, phrase, k))
+            while held:
+                (head, _), (rests, n) = held.popitem()
+                for some, words, k in head_counts(head, [r for more in rests for r in more.split("\n")], [k for ns in n for k in ns], min_count, hot.get(lang, {})):
+                    phrase = " ".join(plain[w] if len(w) == 1 else w[1:-1] for w in words)
+                    if some:
+                        partial[lang, phrase] = partial.get((lang, phrase), 0) + k
+                    else:
+                        out.append((lang, phrase, k))
+                if len(out) + len(partial) >= 50_000:
+                    yield given_out()
 
         def given_out() -> pa.RecordBatch:
             rows = out + [(*k, v) for k, v in partial.items()]
@@ -292,19 +303,21 @@ def phrase_counts(suffixes: DataFrame, writing: Broadcast, hot: Hot, min_count:
             return _batch(_COUNT, rows)
 
         for batch in batches:
-            for *place, more, ns in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            bucket, lang, heads, parts, rests, n = (batch.column(c) for c in range(6))
+            for i, place in enumerate(zip(bucket.to_pylist(), lang.to_pylist())):
                 if place != key:
-                    done()
-                    key, rests, n = place, [], []
-                    if len(out) + len(partial) >= 50_000:
-                        yield given_out()
-                rests += more.split("\n")
-                n += ns
-        done()
+                    yield from done()
+                    key = place
+                numbers, at = n[i].values.to_numpy(), 0
+                for head, part, more in zip(heads[i].as_py(), parts[i].as_py(), rests[i].as_py()):
+                    some, end = held.setdefault((head, part), ([], [])), at + more.count("\n") + 1
+                    some[0].append(more), some[1].append(numbers[at:end].tolist())
+                    at = end
+        yield from done()
         yield given_out()
 
     parts = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = suffixes.repartition(parts, "lang", "head", "part").sortWithinPartitions("lang", "head", "part")
+    dealt = suffixes.repartition(parts, "bucket").sortWithinPartitions("bucket", "lang")
     counts = dealt.mapInArrow(count, _COUNT_SQL)
     return counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
 
