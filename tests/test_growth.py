@@ -8,8 +8,8 @@ from contextlib import redirect_stdout
 import pytest
 from pyspark.sql import functions as F
 
-from vispark.functions.text import token_spans
-from vispark.operators import corpus, reports
+from vispark.functions.text import hash_below, token_spans, unit_hash
+from vispark.operators import corpus, issues, reports
 from vispark.plans import catalogue
 from vispark.plans.inputs import pairs, predicted
 
@@ -92,3 +92,30 @@ def test_cues_are_found_without_windows_over_tokens(spark):
         (1, 0, None, None, None, "b", "c", "d"), (1, 1, None, None, "a", "c", "d", None), (1, 2, None, "a", "b", "d", None, None),
         (1, 3, "a", "b", "c", None, None, None), (2, 0, *[None] * 6),
     ]
+
+
+def test_spans_that_are_merged_are_made_once(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        shown = plan(catalogue.QUERIES["merge_rule_first"](spark, DATA))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert shown.count("FileScan parquet") == 1 and shown.count("ReusedExchange") == 1 and "Join" not in shown
+
+
+def test_rules_first_without_pairs(spark):
+    places = [(1, s, e) for s, e in ((0, 0), (0, 5), (5, 5), (5, 9), (4090, 4096), (4095, 9000), (4096, 4096), (8192, 8200), (9000, 9001), (None, 3), (3, None))] + [(None, 0, 5), (2, 5, 9)]
+    for r in range(0, len(places), 3):
+        rows = [(*p, k % 3 == r // 3 % 3, k) for k, p in enumerate(places)] + [(*places[r], False, 99)] * 2  # and two rows alike
+        known = lambda *v: None not in v
+        over = lambda m, r: known(*m[:3], *r[:3]) and m[0] == r[0] and m[1] < r[2] and r[1] < m[2]
+        want = [m for m in rows if m[3] or not any(over(m, x) for x in rows if x[3])]
+        df = spark.createDataFrame(rows, 'doc_id long, start int, `end` int, rule boolean, k int')
+        got = issues.rule_first(df, F.col("rule"))
+        assert got.columns == df.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.5, 1 / 3, 0.999])
+def test_a_share_is_told_by_digits(spark, share):
+    rows = spark.range(3000).withColumn("k", F.when(F.col("id") % 7 > 0, F.col("id")))
+    assert rows.where((unit_hash(4, F.col("id"), F.col("k")) < share) != hash_below(share, 4, F.col("id"), F.col("k"))).count() == 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vispark.functions.text import apart
@@ -42,13 +42,35 @@ def binned(spans: DataFrame, start: str, end: str) -> DataFrame:
     return spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / BIN), F.floor(last / BIN))))
 
 
+def rule_first(issues: DataFrame, is_rule: Column) -> DataFrame:
+    """The issues (doc_id, start, end, and more) for which is_rule holds, and of the others those that overlap none of them; start must not exceed end.
+
+    Issues meet once, by (document, bin), in the order of their starts: what starts no later than an issue overlaps it if it ends behind its
+    start, and what starts later if that is before its end.  So the farthest end until there and the next start tell, and no pairs are made.
+    An empty issue overlaps nothing that starts where it does, so it goes before that.  Only issues in several bins are brought together again.
+    """
+    first, last = F.floor(F.col("start") / BIN), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / BIN)
+    rows = issues.withColumn("_bin", F.explode_outer(F.sequence(first, last))).repartition("doc_id", "_bin")  # what follows is made behind the exchange
+    rows = rows.withColumns({"_first": first, "_last": last, "_rule": F.coalesce(is_rule, F.lit(False))})
+    rows = rows.withColumn("_order", F.when(F.col("_rule"), 1).when(F.col("start") < F.col("end"), 2).otherwise(0))
+    rows = rows.withColumn("_from", F.when(F.col("_rule") & F.col("end").isNotNull(), F.col("start")))
+    near = "OVER (PARTITION BY doc_id, _bin ORDER BY start, _order"
+    rows = rows.withColumns({
+        "_reached": F.expr(f"max(CASE WHEN _rule THEN end END) {near} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"),
+        "_next": F.expr(f"lead(_from) IGNORE NULLS {near})"),
+    })
+    touched = F.col("doc_id").isNotNull() & F.col("end").isNotNull() & ((F.col("_reached") > F.col("start")) | (F.col("_next") < F.col("end")))
+    rows = rows.withColumn("_hit", ~F.col("_rule") & F.coalesce(touched, F.lit(False)))
+    once, several = F.coalesce(F.col("_bin") == F.col("_first"), F.lit(True)), F.coalesce(F.col("_first") < F.col("_last"), F.lit(False))
+    alone = rows.where(once & (F.col("_rule") | ~several) & ~F.col("_hit"))
+    spread = rows.where(several & ~F.col("_rule")).withColumn("_hit", F.max("_hit").over(Window.partitionBy("doc_id", "start", "end")))
+    return alone.unionByName(spread.where(once & ~F.col("_hit"))).select(*issues.columns)
+
+
 def merge_rule_first(rules: DataFrame, model: DataFrame) -> DataFrame:
-    """All rule issues, and the model's that overlap none of them."""
-    r = binned(rules.select(F.col("doc_id").alias("_doc"), F.col("start").alias("_start"), F.col("end").alias("_end")), "_start", "_end").withColumnRenamed("_bin", "_at")
-    m = binned(model.select("doc_id", "start", "end").distinct(), "start", "end")
-    meet = (F.col("doc_id") == F.col("_doc")) & (F.col("_bin") == F.col("_at")) & (F.col("start") < F.col("_end")) & (F.col("_start") < F.col("end"))
-    taken = m.join(r, meet, "left_semi").select("doc_id", "start", "end").distinct()
-    return rules.unionByName(model.join(taken, ["doc_id", "start", "end"], "left_anti").select(*model.columns))
+    """All rule issues, and the model's that overlap none of them; where both come from one table, rule_first reads it once."""
+    marked = rules.withColumn("_of_rules", F.lit(True)).unionByName(model.withColumn("_of_rules", F.lit(False)))
+    return rule_first(marked, F.col("_of_rules")).drop("_of_rules")
 
 
 def within(places: DataFrame, at: str, ranges: DataFrame, begin: str, stop: str, document: str = "doc_id") -> DataFrame:
