@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vispark.functions.text import hash_below, token_spans, unit_hash
-from vispark.operators import corpus, issues, reports
+from vispark.operators import corpus, encoding, issues, reports
 from vispark.plans import catalogue
 from vispark.plans.inputs import pairs, predicted
 
@@ -119,3 +119,18 @@ def test_rules_first_without_pairs(spark):
 def test_a_share_is_told_by_digits(spark, share):
     rows = spark.range(3000).withColumn("k", F.when(F.col("id") % 7 > 0, F.col("id")))
     assert rows.where((unit_hash(4, F.col("id"), F.col("k")) < share) != hash_below(share, 4, F.col("id"), F.col("k"))).count() == 0
+
+
+def test_only_words_within_reach_are_looked_up(spark):
+    sentences = [("a", [f"w{i}" for i in range(5000)]), ("b", ["w0", None, "long", "w1"]), ("c", []), ("d", None), ("e", ["w1"] * 6), ("f", ["long"] * 9)]
+    table = spark.createDataFrame([("w0", [7]), ("w1", [8]), ("long", [1, 2, 3, 4]), ("w2", [])], "word string, ids array<int>")
+    rows = spark.createDataFrame([(*r, 1) for r in sentences], "key string, words array<string>, more int")
+    out = encoding.encode_words(rows, table, 6)
+    got = {r.key: (r.ids, r.word_ids, r.first) for r in out.collect()}
+    assert out.columns == ["key", "words", "more", "ids", "word_ids", "first"]
+    assert got["a"] == ([0, 7, 8, 3, 3, 2], [-1, 0, 1, 2, 3, -1], [1, 2, 3, 4] + [-1] * 4996)
+    assert got["b"] == ([0, 7, 3, 2], [-1, 0, 1, -1], [1, 2, -1, -1]) and got["c"] == ([0, 2], [-1, -1], []) and got["d"] == ([0, 2], [-1, -1], None)
+    assert got["e"] == ([0, 8, 8, 8, 8, 2], [-1, 0, 1, 2, 3, -1], [1, 2, 3, 4, -1, -1]) and got["f"] == ([0, 1, 2, 3, 4, 2], [-1, 0, 0, 0, 0, -1], [1] + [-1] * 8)
+    assert encoding.encode_words(rows, table, 1).where("size(ids) = 2 AND (words IS NULL OR forall(first, x -> x = -1))").count() == 6
+    shown = plan(catalogue.QUERIES["encoded_sentences"](spark, DATA))
+    assert shown.count("explode(slice(") == shown.count("explode(") == 2  # the words that are taken apart, and those that are looked up

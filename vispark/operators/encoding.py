@@ -80,24 +80,32 @@ def word_pieces(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
     return words.where("word is not null").select("word").distinct().withColumn("pieces", pieces("word"))
 
 
+def within_reach(words: Column, max_pieces: int = MAX_PIECES) -> Column:
+    """The words that an input of max_pieces can have: each takes one piece at least, so none behind these ever fits between bos and eos."""
+    return F.slice(words, F.lit(1), F.lit(max(max_pieces - 2, 0)))
+
+
 def encode_words(sentences: DataFrame, pieces: DataFrame, max_pieces: int = MAX_PIECES, bos: int = 0, eos: int = 2, unknown: int = 3) -> DataFrame:
-    """key, words; word, ids -> key, words, ids, word_ids, first: a model's input.
+    """key, words and more; word, ids -> the same with ids, word_ids, first: a model's input.
 
     Words are taken while they fit whole between bos and eos; the first that does not ends the sentence.  word_ids has each
     piece's word (-1: bos and eos), first each word's first piece (-1: cut off).  A word without ids is the unknown one.
+    Only words within reach are looked up, and what is not asked for of words and more does not travel.
     """
-    each = sentences.select("key", F.posexplode_outer("words").alias("pos", "word"))
+    each = sentences.select("key", F.posexplode(within_reach(F.col("words"), max_pieces)).alias("pos", "word"))
     known = each.join(pieces.select("word", "ids"), "word", "left")
     ids = F.when(F.coalesce(F.size("ids"), F.lit(0)) > 0, F.col("ids")).otherwise(F.array(F.lit(unknown)))
-    rows = known.where("pos is not null").select("key", "pos", ids.alias("ids"))
+    rows = known.select("key", "pos", ids.alias("ids"))
     before = F.sum(F.size("ids")).over(Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("end", before).where(F.col("end") <= max_pieces - 2)
     kept = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "ids", "end"))).alias("w"))
-    out = sentences.join(kept, "key", "left").withColumn("w", F.coalesce("w", F.array()))
+    out = sentences.withColumn("_n", F.size("words")).join(kept, "key", "left").withColumn("w", F.coalesce("w", F.array()))
     flat = F.flatten(F.transform("w", lambda x: x["ids"]))
     owners = F.flatten(F.transform("w", lambda x: F.array_repeat(x["pos"], F.size(x["ids"]))))
-    first = F.transform("words", lambda _, i: F.coalesce(F.get("w", i)["end"] - F.size(F.get("w", i)["ids"]) + 1, F.lit(-1)).cast("int"))
-    return out.select("key", "words", F.concat(F.array(F.lit(bos)), flat, F.array(F.lit(eos))).alias("ids"), F.concat(F.array(F.lit(-1)), owners, F.array(F.lit(-1))).alias("word_ids"), first.alias("first"))
+    taken = F.transform("w", lambda x: (x["end"] - F.size(x["ids"]) + 1).cast("int"))
+    first = F.concat(taken, F.array_repeat(F.lit(-1), F.col("_n") - F.size("w")))  # the words that fit are the first ones
+    wrapped = lambda middle, begin, stop: F.concat(F.array(F.lit(begin)), middle, F.array(F.lit(stop)))
+    return out.select(*sentences.columns, wrapped(flat, bos, eos).alias("ids"), wrapped(owners, -1, -1).alias("word_ids"), first.alias("first"))
 
 
 def align_labels(word_ids: Column, labels: Column) -> Column:
