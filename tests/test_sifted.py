@@ -22,3 +22,15 @@ def test_offsets_are_kept(spark):
     plans = windows.run_plan(rows)
     assert "_offs" in plans.columns and windows.owned(plans).columns[-1] == "windows"
     assert sorted(windows.centred(plans).collect()) == sorted(plain.collect())
+
+
+def test_sentences_without_a_choice_are_not_scored(spark):
+    from tests.test_model import TOKENIZER
+    from vispark.operators import model
+
+    rows = [("a", ["sẽ", "chia"]), ("b", ["xyz"] * 3), ("c", ["xyz"] * 200 + ["sẽ"]), ("d", []), ("e", ["xyz"] * 200)]
+    df = spark.createDataFrame(rows, "key string, words array<string>")
+    bits = model.marked(spark.createDataFrame([("sẽ",)], "word string"), "word")
+    every = {(r.key, *o) for r in model.encoded_windows(df, TOKENIZER).collect() for o in r.own}
+    some = {(r.key, *o) for r in model.encoded_windows(df, TOKENIZER, bits=bits).collect() for o in r.own}
+    assert some == {o for o in every if o[1] == "sẽ"} and {o[0] for o in some} == {"a", "c"} and {o[0] for o in every} == {"a", "b", "c", "e"}

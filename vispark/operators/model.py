@@ -7,6 +7,7 @@ is shipped to the executors and loaded once a worker.  Windows go to it in batch
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -95,38 +96,95 @@ def sentence_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return rows.select(key, F.inline(F.transform("_begins", sentence)))
 
 
-def piece_ids(words: Column, tokenizer: Tokenizer) -> Column:
-    """For each of an array of words the ids of its pieces; a word is taken apart once a worker.  As long as a vocabulary, the tokenizer goes along."""
+def marked(options: DataFrame, word: str) -> np.ndarray:
+    """A bitmap of a fixed size, by checksums of words: a word without its bit is none of these."""
+    at = F.pmod(F.crc32(F.col(word).cast("binary")), F.lit(corpus.SIFT_BITS))
+    parts = options.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("part")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    table, bits = parts.toArrow(), np.zeros(corpus.SIFT_BITS // 64, np.int64)  # the bitmap's size at most
+    bits[table.column("part").to_numpy()] = table.column("bits").to_numpy()
+    return bits
+
+
+def piece_rows(sentences: DataFrame, tokenizer: Tokenizer, budget: int, bits: np.ndarray | None = None) -> DataFrame:
+    """key, words -> key, words, _ids (of the pieces of each word), may (whether a word is looked for), short: ids, own.
+
+    A sentence whose pieces fit into the budget is short, a window of its own, and needs no plan; its words and _ids are left out.  A word is taken
+    apart once a worker; as long as a vocabulary, the tokenizer goes along.  Sentences without a word that is looked for (by bits) are left out.
+    """
     ranks = {pair: i for i, pair in enumerate(tokenizer.merges)}
-    known: dict[str, list[int]] = {}
+    known: dict[str, tuple[list[int], bool]] = {}
 
-    def ids(word: str) -> list[int]:
+    def looked_up(word: str) -> tuple[list[int], bool]:
         out = known.get(word)
         if out is None:
             if len(known) > 500_000:
                 known.clear()
-            out = [tokenizer.vocabulary.get(p, tokenizer.unknown) for p in merge_word(word, ranks)] or [tokenizer.unknown]
-            known[word] = out
+            ids = [tokenizer.vocabulary.get(p, tokenizer.unknown) for p in merge_word(word, ranks)] or [tokenizer.unknown]
+            at = zlib.crc32(word.encode()) % corpus.SIFT_BITS
+            out = known[word] = ids, bits is None or bool(int(bits[at // 64]) >> at % 64 & 1)
         return out
 
-    @F.arrow_udf("array<array<int>>")
-    def each(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for some in column:
-            coded = some.flatten().dictionary_encode()
-            lists = pa.array([ids(w) for w in coded.dictionary.to_pylist()], pa.list_(pa.int32()))
-            ends = np.append(0, np.cumsum(pc.list_value_length(some).to_numpy(zero_copy_only=False)))
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lists.take(coded.indices))
-
-    return each(words)
-
-
-def encoded_windows(sentences: DataFrame, tokenizer: Tokenizer, fallback: str = "F2", max_pieces: int = MAX_PIECES) -> DataFrame:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, lists = batch.column("key"), batch.column("words")
+            coded = lists.flatten().dictionary_encode()
+            found = [looked_up(w) for w in coded.dictionary.to_pylist()]
+            codes = coded.indices.to_numpy()
+            may = np.array([m for _, m in found], bool)[codes]
+            counts = np.array([len(i) for i, _ in found], np.int64)[codes]
+            ids = pa.array([i for i, _ in found], pa.list_(pa.int32()))
+            lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            ends = np.append(0, np.cumsum(lengths))
+            pieces, asked = (np.append(0, np.cumsum(x)) for x in (counts, may))
+            row_pieces = pieces[ends[1:]] - pieces[ends[:-1]]
+            wanted = asked[ends[1:]] > asked[ends[:-1]]
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            for short in (True, False):
+                rows = np.flatnonzero(wanted & ((row_pieces <= budget) == short))
+                at = np.flatnonzero(np.isin(row, rows, kind="table")) if len(rows) else np.empty(0, np.int64)
+                words, each = coded.dictionary.take(pa.array(codes[at])), ids.take(pa.array(codes[at]))
+                bounds = np.append(0, np.cumsum(lengths[rows]))
+                none = pa.array(np.zeros(len(rows) + 1, np.int32))
+                if short:
+                    sizes = row_pieces[rows] + 2
+                    stops = np.append(0, np.cumsum(sizes))
+                    flat = np.full(stops[-1], -1, np.int32)
+                    flat[stops[:-1]], flat[stops[1:] - 1] = tokenizer.bos, tokenizer.eos
+                    inner = np.ones(len(flat), bool)
+                    inner[stops[:-1]] = inner[stops[1:] - 1] = False
+                    flat[inner] = each.flatten().to_numpy()
+                    own = may[at]
+                    pos = at - ends[row[at]]
+                    first = pieces[at] - pieces[ends[row[at]]] + 1
+                    owned_by = np.append(0, np.cumsum(own))[bounds]
+                    struct = pa.StructArray.from_arrays([words.filter(pa.array(own)), pa.array(pos[own], pa.int32()), pa.array(first[own], pa.int32())], ["word", "pos", "first"])
+                    windows = pa.StructArray.from_arrays(
+                        [pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(flat)), pa.ListArray.from_arrays(pa.array(owned_by, pa.int32()), struct)], ["ids", "own"]
+                    )
+                    columns = [pa.ListArray.from_arrays(none, words.slice(0, 0)), pa.ListArray.from_arrays(none, ids.slice(0, 0)), pa.ListArray.from_arrays(none, pa.array([], pa.bool_()))]
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1), pa.int32()), windows))
+                else:
+                    bounds = pa.array(bounds, pa.int32())
+                    columns = [pa.ListArray.from_arrays(bounds, words), pa.ListArray.from_arrays(bounds, each), pa.ListArray.from_arrays(bounds, pa.array(may[at]))]
+                    columns.append(pa.ListArray.from_arrays(none, pa.array([], _WINDOW)))
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([key.take(pa.array(rows)), *columns], names=["key", "words", "_ids", "may", "short"])
+
+    return sentences.select("key", "words").mapInArrow(split, f"key string, words array<string>, _ids array<array<int>>, may array<boolean>, short array<{_OWN}>")
+
+
+_OWN = "struct<ids: array<int>, own: array<struct<word: string, pos: int, first: int>>>"
+_WINDOW = pa.struct({"ids": pa.list_(pa.int32()), "own": pa.list_(pa.struct({"word": pa.string(), "pos": pa.int32(), "first": pa.int32()}))})
+
+
+def encoded_windows(sentences: DataFrame, tokenizer: Tokenizer, fallback: str = "F2", max_pieces: int = MAX_PIECES, bits: np.ndarray | None = None) -> DataFrame:
     """key, words -> key, ids (a model's input), own: word, pos, first (its first piece in ids) of the words that this window decides.
 
-    A word that does not fit whole between the first and the last piece, and those behind it, are cut off and in no row's own.
+    A word that does not fit whole between the first and the last piece, and those behind it, are cut off and in no row's own.  bits: as
+    `marked` gives them; words without a bit are in no row's own, either.
     """
     budget = max_pieces - 2
-    rows = apart(sentences.select("key", "words"), _ids=piece_ids(F.col("words"), tokenizer))
+    rows = piece_rows(sentences, tokenizer, budget, bits)
     rows = with_offsets(apart(rows, counts=F.transform("_ids", lambda x: F.size(x))))
     rows = owned(run_plan(rows, fallback, budget))
     offs = F.col("_offs")
@@ -138,13 +196,13 @@ def encoded_windows(sentences: DataFrame, tokenizer: Tokenizer, fallback: str =
         def cut(to: Column) -> Column:
             pieces = F.flatten(F.slice("_ids", w["from"] + 1, F.greatest(to - w["from"], F.lit(0))))
             own = F.transform(
-                F.filter(w["own"], lambda i: i < to), lambda i: F.struct(F.get("words", i).alias("word"), i.alias("pos"), (F.get(offs, i) - begin + 1).alias("first"))
+                F.filter(w["own"], lambda i: (i < to) & F.get("may", i)), lambda i: F.struct(F.get("words", i).alias("word"), i.alias("pos"), (F.get(offs, i) - begin + 1).alias("first"))
             )
             return F.struct(F.concat(F.array(F.lit(tokenizer.bos)), pieces, F.array(F.lit(tokenizer.eos))).alias("ids"), own.alias("own"))
 
         return let(fitting, cut)
 
-    return rows.select("key", F.inline(F.transform("windows", encoded))).where(F.size("own") > 0)
+    return rows.select("key", F.inline(F.concat("short", F.transform("windows", encoded).cast(f"array<{_OWN}>")))).where(F.size("own") > 0)
 
 
 def score_windows(windows: DataFrame, model: ModelFile, pad: int = 1, batch: int = BATCH) -> DataFrame:
@@ -204,9 +262,9 @@ def scored_words(
 ) -> DataFrame:
     """Distinct sentences (key, words) -> key, pos, word, tags, results and logits (parallel) of the words that a window reaches and that have a choice."""
     sentences = staged(sentences.select("key", "words"), "sentences")  # for the windows and for the words
-    scores = score_windows(encoded_windows(sentences, tokenizer, fallback, max_pieces), model, tokenizer.pad, batch)
     options = staged(word_options(sentences.select(F.explode("words").alias("word")).distinct(), lexicon), "word_options")
-    scores = corpus.sifted(scores, F.col("word"), options.select(F.col("word").alias("_word_of")), "_word_of")
+    # A sentence without a word that has a choice is not scored: what the model says of it is not asked for.
+    scores = score_windows(encoded_windows(sentences, tokenizer, fallback, max_pieces, marked(options, "word")), model, tokenizer.pad, batch)
     return scores.join(options, "word").select("key", "pos", "word", "tags", "results", F.transform("idx", lambda i: F.get("logits", i)).alias("logits"))
 
 
@@ -232,6 +290,8 @@ def score_text(
     found = decisions.gate(rows, **gate).where("decision <> 'KEEP'")
     new = F.get("results", F.array_position("tags", F.col("best")).cast("int") - 1)
     found = found.select("key", "pos", new.alias("suggestion"), F.col("best").alias("tag"), F.col("best_p").alias("confidence"))
+    found = staged(found, "found")  # for the sieve and for the rows
+    sentences = corpus.sifted(sentences, F.col("key"), found.select(F.col("key").alias("_member")), "_member")
     # One row for each distinct sentence with issues, so that a sentence that stands everywhere can be split by the join.
     hits = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "suggestion", "tag", "confidence"))).alias("hits"))
     placed = sentences.join(hits, "key").select("doc_id", "words", "starts", F.inline("hits"))
